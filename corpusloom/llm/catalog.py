@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from corpusloom.llm import queries_free as free
 from corpusloom.llm import queries_native as native
 
-LLM_QUERIES = dict(native.QUERIES)
-LLM_ORACLES = dict(native.ORACLES)
+
+def _number(name: str) -> int:
+    return int(name[2:].split("_")[0])
+
+
+LLM_QUERIES = dict(sorted((free.QUERIES | native.QUERIES).items(), key=lambda x: _number(x[0])))
+LLM_ORACLES = free.ORACLES | native.ORACLES
