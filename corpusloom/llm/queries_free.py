@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import best_fit, suffix_decontam
+from corpusloom.llm import best_fit, near_dedup, quality, suffix_decontam
 from corpusloom.storage import materialize
 
 #: The tokenizer definition that op2 uses; any byte-level definition can be given to the operator.
@@ -24,9 +24,19 @@ def op2_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return best_fit.pack_pieces(pieces)[0].select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Four-word shingles, as the contract says."""
+    return near_dedup.near_groups(spark.read.parquet(f"{d}/documents.parquet"), words=4, percent=80)
+
+
+def op7_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{d}/labels.parquet")))
+
+
 def op6_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return suffix_decontam.contamination_digest(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op6_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_near_dedup, op6_decontamination, op7_quality_classifier)}
 ORACLES: dict[str, str] = {}
