@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import best_fit, near_dedup, quality, suffix_decontam
+from corpusloom.llm import best_fit, html_extract, near_dedup, quality, suffix_decontam
 from corpusloom.storage import materialize
 
 #: The tokenizer definition that op2 uses; any byte-level definition can be given to the operator.
@@ -18,6 +19,11 @@ def tokenizer_definition(name: str = TOKENIZER) -> str:
         return f.read()
 
 
+def op1_html_extraction(spark: SparkSession, d: str) -> DataFrame:
+    got = html_extract.page_texts(spark.read.parquet(f"{d}/pages.parquet"))
+    return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet")
     pieces = materialize(best_fit.token_pieces(docs, tokenizer_definition()), "pieces")
@@ -38,5 +44,5 @@ def op6_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return suffix_decontam.contamination_digest(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_near_dedup, op6_decontamination, op7_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_best_fit_packing, op4_near_dedup, op6_decontamination, op7_quality_classifier)}
 ORACLES: dict[str, str] = {}
