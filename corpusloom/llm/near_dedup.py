@@ -1,15 +1,15 @@
 """MinHash near-deduplication by fast similarity sketches, bands and exact verification.
 
 1. Texts become sets of word shingles. Equal sets form a class; its smallest id stands for it from here on.
-2. A sketch has COORDINATES places. In round i every element is hashed to a place with a value in [i, i+1), and a place
-   keeps its smallest value; rounds end when every place is filled. Rounds from COORDINATES on send all elements to one
-   place each, so 2*COORDINATES rounds always suffice. Two sets agree in a place with the probability of their Jaccard
+2. A sketch has a number of places. In round i every element is hashed to a place with a value in [i, i+1), and a place
+   keeps its smallest value; rounds end when every place is filled. Rounds from that number on send all elements to one
+   place each, so that twice the number of places in rounds always suffices. Two sets agree in a place with the probability of their Jaccard
    similarity, and agreements are concentrated about it.
 3. BANDS groups of ROWS places are the buckets. A pair at similarity 0.8 shares no bucket with a probability of 3e-7.
    In each bucket every class is paired with one leader: the class that stands in the fullest buckets, which in a family
    of copies is the one nearest to all others. A group of n makes n-1 pairs, not n*n.
 4. Pairs whose sizes rule the similarity out go, and those whose sketches agree in so few places that the similarity
-   has a probability of 3e-6 at most (fewest_agreements()). The others are confirmed on the full sets, which are made again from the texts of candidates alone.
+   has a probability of 3e-6 at most (fewest_agreements(), on a larger sketch of the classes that share a bucket). The others are confirmed on the full sets, which are made again from the texts of candidates alone.
 5. Links are joined to components by smallest-label steps with pointer jumping. Buckets that still hold several
    components get a second leader, chosen by hash. What then is still mixed is compared between components, sketch by
    sketch, in blocks of BLOCK classes inside a task; only pairs that the sketches allow leave it, once each, and are
@@ -40,56 +40,65 @@ from corpusloom.storage import materialize
 #: Words of a shingle and the similarity in percent, unless the caller says otherwise.
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 21, 3
-#: Places of a sketch; the first BANDS * ROWS make the buckets, all of them estimate similarities.
-COORDINATES = 504
+#: Places of the sketch that makes the buckets, and of the sketch that estimates similarities; pairs are looked at by the
+#: latter's first GLANCE places first.
+COORDINATES, ESTIMATE, GLANCE = BANDS * ROWS, 1008, 126
 #: Classes of a block that a task compares.
 BLOCK = 4096
 #: Sets of at most so many elements run all rounds at once.
 SMALL_SET = 64
-SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(BASE))
+SEEDS = mix(np.arange(1, 2 * ESTIMATE + 1, dtype=np.uint64) * np.uint64(BASE))
 EMPTY = np.uint64(2**64 - 1)
 LOW = np.uint64(0xFFFFFFFF)
 
 
-def sketch(u: np.ndarray) -> np.ndarray:
+def sketch(u: np.ndarray, size: int = COORDINATES) -> np.ndarray:
     """The sketch of a non-empty set of 64-bit hashes: round << 32 | value of each place."""
-    places = np.full(COORDINATES, EMPTY, np.uint64)
-    t, half = np.uint64(COORDINATES), np.uint64(32)
+    places = np.full(size, EMPTY, np.uint64)
+    t, half = np.uint64(size), np.uint64(32)
     if len(u) <= SMALL_SET:
-        v = mix(u[:, None] ^ SEEDS[None, :])
-        rounds = np.arange(2 * COORDINATES, dtype=np.uint64) << half
-        value = rounds | (v & LOW)
-        place = ((v[:, :COORDINATES] >> half) * t >> half).astype(np.int64)
-        np.minimum.at(places, place.ravel(), value[:, :COORDINATES].ravel())
-        return np.minimum(places, value[:, COORDINATES:].min(axis=0))
-    for i in range(2 * COORDINATES):
+        v = mix(u[:, None] ^ SEEDS[None, : 2 * size])
+        value = (np.arange(2 * size, dtype=np.uint64) << half) | (v & LOW)
+        place = ((v[:, :size] >> half) * t >> half).astype(np.int64)
+        np.minimum.at(places, place.ravel(), value[:, :size].ravel())
+        return np.minimum(places, value[:, size:].min(axis=0))
+    for i in range(2 * size):
         v = mix(u ^ SEEDS[i])
         value = np.uint64(i << 32) | (v & LOW)
-        if i < COORDINATES:
+        if i < size:
             np.minimum.at(places, ((v >> half) * t >> half).astype(np.int64), value)
         else:
-            places[i - COORDINATES] = min(places[i - COORDINATES], value.min())
+            places[i - size] = min(places[i - size], value.min())
         if places.max() != EMPTY:
             break
     return places
 
 
 def band_keys(places: np.ndarray) -> np.ndarray:
-    rows = places[: BANDS * ROWS].reshape(BANDS, ROWS)
+    rows = places.reshape(BANDS, ROWS)
     key = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
     for j in range(ROWS):
         key = mix(key * np.uint64(BASE) + rows[:, j])
     return key.view(np.int64)
 
 
-def fewest_agreements(percent: int) -> int:
-    """Places in which two sets of that similarity agree at least, but for 4.75 standard deviations."""
+def fewest_agreements(percent: int, places: int) -> int:
+    """Places of so many in which two sets of that similarity agree at least, but for 4.75 standard deviations."""
     p = percent / 100
-    return math.floor(COORDINATES * p - 4.75 * math.sqrt(COORDINATES * p * (1 - p)))
+    return math.floor(places * p - 4.75 * math.sqrt(places * p * (1 - p)))
+
+
+def agree(one: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of others have sketches that allow the similarity to one (a row, or a row each)."""
+    ok = np.count_nonzero(others[:, :GLANCE] == one[..., :GLANCE], axis=1) >= fewest_agreements(percent, GLANCE)
+    left = np.flatnonzero(ok)
+    rest = one[left] if one.ndim == 2 else one
+    ok[left] = np.count_nonzero(others[left] == rest, axis=1) >= fewest_agreements(percent, ESTIMATE)
+    return ok
 
 
 def sketches(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, digest, bands, places): set size, digest of the set, bucket keys, 8 bits of each place."""
+    """(id, n, digest, bands): set size, digest of the set, bucket keys."""
     require(docs, key, text)
     ship_package(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
@@ -97,22 +106,27 @@ def sketches(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                n, digest, bands, places = [], [], [], []
+                n, digest, bands = [], [], []
                 for u in shingle_sets(part.column(1).to_pylist(), words):
                     n.append(len(u))
-                    if len(u):
-                        s = sketch(u)
-                        digest.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest())
-                        bands.append(band_keys(s))
-                        places.append((mix(s) & np.uint64(0xFF)).astype(np.uint8).tobytes())
-                    else:
-                        digest.append(None)
-                        bands.append(None)
-                        places.append(None)
-                cols = [part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(places, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "n", "digest", "bands", "places"])
+                    digest.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
+                    bands.append(band_keys(sketch(u)) if len(u) else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "digest", "bands"])
+
+    return docs.select(key, text).mapInArrow(run, f"id {kind}, n long, digest binary, bands array<long>")
+
+
+def estimates(docs: DataFrame, ids: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, places) of the documents in ids: 8 bits of each place of the larger sketch; a written table."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                places = [(mix(sketch(u, ESTIMATE)) & np.uint64(0xFF)).astype(np.uint8).tobytes() for u in shingle_sets(part.column(1).to_pylist(), words)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(places, pa.binary())], ["id", "places"])
 
-    return docs.select(key, text).mapInArrow(run, f"id {kind}, n long, digest binary, bands array<long>, places binary")
+    return materialize(_of_ids(docs.select(key, text), ids, key).mapInArrow(run, f"id {kind}, places binary").dropDuplicates(["id"]), "estimates")
 
 
 def _of_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -121,18 +135,15 @@ def _of_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, docs[key] == ids["id"], "left_semi")
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _likely(pairs: DataFrame, places: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sketches allow the similarity."""
-    least = fewest_agreements(percent)
-    s = reps.select("id", "places")
-    both = pairs.join(s.toDF("a", "pa"), "a").join(s.toDF("b", "pb"), "b")
+    both = pairs.join(places.toDF("a", "pa"), "a").join(places.toDF("b", "pb"), "b")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                a = np.frombuffer(b"".join(x.column(2).to_pylist()), np.uint8).reshape(-1, COORDINATES)
-                b = np.frombuffer(b"".join(x.column(3).to_pylist()), np.uint8).reshape(-1, COORDINATES)
-                yield x.select(["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= least))
+                a, b = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint8).reshape(-1, ESTIMATE) for i in (2, 3))
+                yield x.select(["a", "b"]).filter(pa.array(agree(a, b, percent)))
 
     kind = pairs.schema["a"].dataType.simpleString()
     return both.select("a", "b", "pa", "pb").mapInArrow(keep, f"a {kind}, b {kind}")
@@ -207,11 +218,10 @@ def _with_leaders(rows: DataFrame, rank: Column, percent: int) -> DataFrame:
 def cross_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Pairs (a, b) of one block: other components, sizes and sketches that allow the similarity, and this bucket their first."""
     ids, n, comp = rows["id"].to_numpy(), rows["n"].to_numpy(), rows["component"].to_numpy()
-    places = np.frombuffer(b"".join(rows["places"]), np.uint8).reshape(-1, COORDINATES)
+    places = np.frombuffer(b"".join(rows["places"]), np.uint8).reshape(-1, ESTIMATE)
     bands = np.stack(rows["bands"].to_numpy())
     side, bucket = rows["side"].to_numpy(), int(rows["bucket"].iloc[0])
     this = int(np.flatnonzero(bands[0] == bucket)[0])
-    least = fewest_agreements(percent)
     a, b = [], []
     for i in np.flatnonzero(side != 1):  # side 0: the block with itself; 1 and 2: two blocks
         j = np.flatnonzero(side == (1 if side[i] else 0))
@@ -219,14 +229,14 @@ def cross_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
         if side[i] == 0:
             j = j[ids[j] > ids[i]]
         j = j[~(bands[j, :this] == bands[i, :this]).any(axis=1)]
-        j = j[(places[j] == places[i]).sum(axis=1) >= least]
+        j = j[agree(places[i], places[j], percent)]
         a.append(np.minimum(ids[j], ids[i]))
         b.append(np.maximum(ids[j], ids[i]))
     whole = lambda x: np.concatenate(x) if x else ids[:0]
     return pd.DataFrame({"a": whole(a), "b": whole(b)})
 
 
-def _across(rest: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _across(rest: DataFrame, reps: DataFrame, places: DataFrame, percent: int) -> DataFrame:
     """The pairs between components of mixed buckets that sketches allow.
 
     A bucket of c classes is cut into c/BLOCK blocks, and a task gets two blocks at most.
@@ -241,7 +251,7 @@ def _across(rest: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
     )
     kind = rest.schema["id"].dataType.simpleString()
-    full = task.join(reps.select("id", "bands", "places"), "id")
+    full = task.join(reps.select("id", "bands").join(places, "id"), "id")
     return full.groupBy("bucket", "x", "y").applyInPandas(lambda rows: cross_pairs(rows, percent), f"a {kind}, b {kind}")
 
 
@@ -254,17 +264,19 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key
     buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = materialize(rows.join(buckets, "bucket"), "buckets")
 
-    central = shared.groupBy("id").agg(F.least(F.sum("c"), F.lit(1 << 30)).alias("score"))
+    central = materialize(shared.groupBy("id").agg(F.least(F.sum("c"), F.lit(1 << 30)).alias("score")), "central")
+    places = estimates(docs, central.select("id"), words, key, text)
     scored = shared.join(central, "id").withColumn("component", F.col("id"))
     rank = F.shiftleft("score", 32) + F.pmod(F.xxhash64("id"), F.lit(1 << 32))
-    links = _confirmed(docs, _likely(_with_leaders(scored, rank, percent), reps, percent), words, percent, key, text)
+    links = _confirmed(docs, _likely(_with_leaders(scored, rank, percent), places, percent), words, percent, key, text)
     label = components(links)
 
     rest = _mixed(shared, label)
-    links = links.union(_confirmed(docs, _likely(_with_leaders(rest, F.xxhash64("id", "bucket"), percent), reps, percent), words, percent, key, text))
+    second = _with_leaders(rest, F.xxhash64("id", "bucket"), percent)
+    links = links.union(_confirmed(docs, _likely(second, places, percent), words, percent, key, text))
     label = components(links)
 
-    more = _confirmed(docs, _across(_mixed(rest, label), reps, percent), words, percent, key, text)
+    more = _confirmed(docs, _across(_mixed(rest, label), reps, places, percent), words, percent, key, text)
     if more.head(1):
         label = components(links.union(more))
 
