@@ -26,8 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.worker import frugal, prepare
 from corpusloom.schemas import require
-from corpusloom.shipping import ship_package
 from corpusloom.storage import materialize
 
 SEQUENCE, END_ID = 1024, 2
@@ -59,12 +59,7 @@ class Encoder:
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, definition: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_str(definition)
+        self.definition, self._exact = definition, None
         d = json.loads(definition)
         self.special = [t["content"] for t in d.get("added_tokens", [])]
         self.fast = None
@@ -79,6 +74,18 @@ class Encoder:
             if ids == sorted(ids):  # else ranks don't order the merges
                 self.fast = tiktoken.Encoding("ranks", pat_str=self.SPLIT, mergeable_ranks=ranks, special_tokens={})
 
+    @property
+    def exact(self):
+        """The definition's own encoder, made when a text first needs it."""
+        if self._exact is None:
+            import os
+
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self._exact = Tokenizer.from_str(self.definition)
+        return self._exact
+
     def encode(self, text: str) -> list[int]:
         if self.fast is not None and PLAIN.fullmatch(text) and not any(s in text for s in self.special):
             return self.fast.encode_ordinary(text)
@@ -106,7 +113,7 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, definition: str, key: str = "doc_id", text: str = "text", size: int = SEQUENCE, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """(key, piece, start, length, ids_crc32[, ids]) of every document; ids are little-endian unsigned 32-bit."""
     require(docs, key, text)
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(definition)  # a vocabulary: its size does not follow the data
     kind = docs.schema[key].dataType.simpleString()
 
@@ -128,7 +135,7 @@ def token_pieces(docs: DataFrame, definition: str, key: str = "doc_id", text: st
                 out, names = [*out, pa.array(rows[5], pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(out, names)
 
-    return docs.select(key, text).mapInArrow(encode, f"`{key}` {kind}, {PIECE_COLUMNS}" + ", ids binary" * keep_ids)
+    return docs.select(key, text).mapInArrow(frugal(encode), f"`{key}` {kind}, {PIECE_COLUMNS}" + ", ids binary" * keep_ids)
 
 
 # ---- bins
@@ -194,7 +201,7 @@ def _pack_group(rows: pd.DataFrame, size: int, order: list[str]) -> pd.DataFrame
 
 def _packed(pieces: DataFrame, parts: int, size: int, number: int, key: str) -> DataFrame:
     """pieces with sequence_id, offset and released, packed inside parts partitions; a written table."""
-    ship_package(pieces.sparkSession)
+    prepare(pieces.sparkSession)
     columns = [c for c in pieces.columns if c not in ("sequence_id", "offset", "released")]
     dealt = pieces.select(*columns, F.pmod(F.xxhash64(key, "piece", F.lit(number)), F.lit(parts)).cast("int").alias("_part"))
     order = [key, "piece", "start"]

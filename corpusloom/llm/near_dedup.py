@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import BROADCAST_IDS
 from corpusloom.llm.hashing import BASE, mix, shingle_sets, slices
+from corpusloom.llm.worker import frugal, prepare
 from corpusloom.schemas import require
-from corpusloom.shipping import ship_package
 from corpusloom.storage import materialize
 
 #: Words of a shingle and the similarity in percent, unless the caller says otherwise.
@@ -100,7 +100,7 @@ def agree(one: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
 def sketches(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n, digest, bands): set size, digest of the set, bucket keys."""
     require(docs, key, text)
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +113,7 @@ def sketches(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text
                     bands.append(band_keys(sketch(u)) if len(u) else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "digest", "bands"])
 
-    return docs.select(key, text).mapInArrow(run, f"id {kind}, n long, digest binary, bands array<long>")
+    return docs.select(key, text).mapInArrow(frugal(run), f"id {kind}, n long, digest binary, bands array<long>")
 
 
 def estimates(docs: DataFrame, ids: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -126,7 +126,7 @@ def estimates(docs: DataFrame, ids: DataFrame, words: int, key: str = "doc_id",
                 places = [(mix(sketch(u, ESTIMATE)) & np.uint64(0xFF)).astype(np.uint8).tobytes() for u in shingle_sets(part.column(1).to_pylist(), words)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(places, pa.binary())], ["id", "places"])
 
-    return materialize(_of_ids(docs.select(key, text), ids, key).mapInArrow(run, f"id {kind}, places binary").dropDuplicates(["id"]), "estimates")
+    return materialize(_of_ids(docs.select(key, text), ids, key).mapInArrow(frugal(run), f"id {kind}, places binary").dropDuplicates(["id"]), "estimates")
 
 
 def _of_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -146,12 +146,12 @@ def _likely(pairs: DataFrame, places: DataFrame, percent: int) -> DataFrame:
                 yield x.select(["a", "b"]).filter(pa.array(agree(a, b, percent)))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "pa", "pb").mapInArrow(keep, f"a {kind}, b {kind}")
+    return both.select("a", "b", "pa", "pb").mapInArrow(frugal(keep), f"a {kind}, b {kind}")
 
 
 def _confirmed(docs: DataFrame, likely: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union on their full sets; a written table."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     likely = materialize(likely, "likely-pairs")
     ids = materialize(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
@@ -162,7 +162,7 @@ def _confirmed(docs: DataFrame, likely: DataFrame, words: int, percent: int, key
                 raw = [u.tobytes() for u in shingle_sets(part.column(1).to_pylist(), words)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], ["id", "u"])
 
-    full = _of_ids(docs.select(key, text), ids, key).mapInArrow(sets, f"id {kind}, u binary")
+    full = _of_ids(docs.select(key, text), ids, key).mapInArrow(frugal(sets), f"id {kind}, u binary")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -175,7 +175,7 @@ def _confirmed(docs: DataFrame, likely: DataFrame, words: int, percent: int, key
             yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = likely.join(full.toDF("a", "ua"), "a").join(full.toDF("b", "ub"), "b").select("a", "b", "ua", "ub")
-    return materialize(both.mapInArrow(confirm, f"a {kind}, b {kind}").distinct(), "links")
+    return materialize(both.mapInArrow(frugal(confirm), f"a {kind}, b {kind}").distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:

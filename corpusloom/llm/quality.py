@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.hashing import run_hashes, slices
+from corpusloom.llm.worker import frugal, prepare
 from corpusloom.schemas import require
-from corpusloom.shipping import ship_package
 
 #: Labelled rows and pool rows that fitting reads at most.
 MAX_LABELLED, POOL = 20_000, 5_000
@@ -193,7 +193,7 @@ METADATA = ("source", "lang", "n_chars")
 
 def _featured(docs: DataFrame, extra: str) -> list[tuple[np.ndarray, list[int], int | None]]:
     """(text features, metadata features, extra) of a bounded sample, in the order of the ids' hashes."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +203,7 @@ def _featured(docs: DataFrame, extra: str) -> list[tuple[np.ndarray, list[int],
                 m = pa.array([meta_features(*x) for x in zip(source, lang, size, strict=True)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), t, m, pa.array(y, pa.int32())], ["h", "t", "m", "y"])
 
-    rows = docs.select(F.xxhash64("doc_id").alias("h"), "text", *METADATA, F.col(extra).cast("int")).mapInArrow(run, "h long, t array<int>, m array<int>, y int")
+    rows = docs.select(F.xxhash64("doc_id").alias("h"), "text", *METADATA, F.col(extra).cast("int")).mapInArrow(frugal(run), "h long, t array<int>, m array<int>, y int")
     table = rows.toArrow().sort_by([("h", "ascending")])
     t, m, y = table["t"].combine_chunks(), table["m"].to_pylist(), table["y"].to_pylist()
     at, values = t.offsets.to_numpy(), t.values.to_numpy()
@@ -264,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, po
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, p_text, p_meta, p_good, accepted) of every row."""
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     sent = spark.sparkContext.broadcast(model)  # two vectors of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,13 +275,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(t), pa.array(v), pa.array(p), pa.array(p >= 0.5)], ["doc_id", "p_text", "p_meta", "p_good", "accepted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", *METADATA).mapInArrow(run, f"doc_id {kind}, p_text double, p_meta double, p_good double, accepted boolean")
+    return docs.select("doc_id", "text", *METADATA).mapInArrow(frugal(run), f"doc_id {kind}, p_text double, p_meta double, p_good double, accepted boolean")
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that the model accepts; scored and filtered in place."""
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     sent = spark.sparkContext.broadcast(model)
     at = [docs.columns.index(c) for c in ("text", *METADATA)]
 
@@ -291,4 +291,4 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch):
                 yield part.filter(pa.array(m.score(*(part.column(i).to_pylist() for i in at))[2] >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

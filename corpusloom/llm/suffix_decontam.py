@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.worker import frugal, prepare
 from corpusloom.schemas import require
-from corpusloom.shipping import ship_package
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW, DEPTH = 10, 16
@@ -168,7 +168,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """(key, n_words, n_hit, items, longest_match, match_start) of each row of docs; places and lengths in words."""
     require(docs, key, text)
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     blocks = [spark.sparkContext.broadcast(q) for q in query_blocks(benchmark)]  # each bounded by BLOCK_WORDS
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "n_words", "n_hit", "items", "longest_match", "match_start"]
@@ -181,7 +181,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                 got = list(zip(*scan_shard(part.column(1).to_pylist(), queries), strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, t) for x, t in zip(got, types, strict=True)]], names)
 
-    return docs.select(key, text).mapInArrow(scan, f"`{key}` {kind}, n_words long, n_hit long, items array<string>, longest_match long, match_start long")
+    return docs.select(key, text).mapInArrow(frugal(scan), f"`{key}` {kind}, n_words long, n_hit long, items array<string>, longest_match long, match_start long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,7 +190,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     Rows are scanned where they lie, next to their text: nothing is shuffled or joined.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     blocks = [spark.sparkContext.broadcast(q) for q in query_blocks(benchmark)]
     at = docs.columns.index(text)
 
@@ -201,7 +201,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                 hit = [x[1] for x in scan_shard(part.column(at).to_pylist(), queries)]
                 yield part.filter(pa.array([not x for x in hit], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(frugal(keep), docs.schema)
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
