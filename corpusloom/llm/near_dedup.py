@@ -3,13 +3,14 @@
 1. Texts become sets of word shingles. Equal sets form a class; its smallest id stands for it from here on.
 2. A sketch has a number of places. In round i every element is hashed to a place with a value in [i, i+1), and a place
    keeps its smallest value; rounds end when every place is filled. Rounds from that number on send all elements to one
-   place each, so that twice the number of places in rounds always suffices. Two sets agree in a place with the probability of their Jaccard
-   similarity, and agreements are concentrated about it.
+   place each, so that twice the number of places in rounds always suffices. Two sets agree in a place with the
+   probability of their Jaccard similarity, and agreements are concentrated about it.
 3. BANDS groups of ROWS places are the buckets. A pair at similarity 0.8 shares no bucket with a probability of 3e-7.
    In each bucket every class is paired with one leader: the class that stands in the fullest buckets, which in a family
    of copies is the one nearest to all others. A group of n makes n-1 pairs, not n*n.
 4. Pairs whose sizes rule the similarity out go, and those whose sketches agree in so few places that the similarity
-   has a probability of 3e-6 at most (fewest_agreements(), on a larger sketch of the classes that share a bucket). The others are confirmed on the full sets, which are made again from the texts of candidates alone.
+   has a probability of 3e-6 at most (fewest_agreements(), on a larger sketch of the classes that share a bucket). The
+   others are confirmed on the full sets, which are made again from the texts of candidates alone.
 5. Links are joined to components by smallest-label steps with pointer jumping. Buckets that still hold several
    components get a second leader, chosen by hash. What then is still mixed is compared between components, sketch by
    sketch, in blocks of BLOCK classes inside a task; only pairs that the sketches allow leave it, once each, and are

@@ -3,8 +3,9 @@
 The text view sees hashed words and punctuation runs (present or not) and binned shape measures; the metadata view sees
 source, language and length. Both are logistic regressions fitted here on a bounded sample of labelled rows. In each
 round, each view labels the rows of an unlabelled pool that it is sure of, and they join the other view's training rows.
-On held-out labelled rows each view's score is calibrated, and the calibrated views are combined. All documents are then
-scored whole, in one pass next to their text, without a shuffle.
+On held-out labelled rows each view's score is calibrated, the calibrated views are combined, and the threshold is set:
+0.5, or less where that is needed to keep KEEP of the good rows. All documents are then scored whole, in one pass next
+to their text, without a shuffle.
 
 Samples: MAX_LABELLED labelled rows and POOL unlabelled ones, those with the smallest hashes of their ids; the driver
 gets their feature numbers alone. Everything else covers all rows.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.hashing import run_hashes, slices
-from corpusloom.llm.worker import frugal, prepare
+from corpusloom.llm.worker import frugal, prepare, trim
 from corpusloom.schemas import require
 
 #: Labelled rows and pool rows that fitting reads at most.
@@ -35,6 +36,8 @@ MAX_LABELLED, POOL = 20_000, 5_000
 HELD_OUT, ROUNDS, SURE = 0.2, 3, 0.97
 #: Rows that a feature needs to be used, and the least log ratio of its shares in both kinds.
 MIN_ROWS, MIN_RATIO = 3, 0.3
+#: Share of the good held-out rows that are accepted at least; the threshold is 0.5 where that keeps as many.
+KEEP = 0.99
 #: Features of the text view (two to this power) and of the metadata view.
 TEXT_BITS, META_BITS = 18, 12
 SHAPES, BINS = 8, 16
@@ -108,8 +111,8 @@ class Rows:
     @classmethod
     def of(cls, lists: list[np.ndarray]) -> Rows:
         sizes = np.array([len(x) for x in lists], np.int64)
-        whole = np.concatenate(lists).astype(np.int64) if lists else np.empty(0, np.int64)
-        return cls(np.repeat(np.arange(len(lists)), sizes), whole, len(lists))
+        whole = np.concatenate(lists).astype(np.int32) if lists else np.empty(0, np.int32)
+        return cls(np.repeat(np.arange(len(lists), dtype=np.int32), sizes), whole, len(lists))
 
     def scores(self, w: np.ndarray, bias: float) -> np.ndarray:
         return np.bincount(self.row, w[self.feature], self.n) + bias
@@ -132,7 +135,7 @@ def fit_logistic(x: Rows, y: np.ndarray, size: int, steps: int = 120, rate: floa
     number = np.full(size, -1, np.int32)
     number[used] = np.arange(len(used), dtype=np.int32)
     has = number[x.feature] >= 0
-    row, feature, scale = x.row[has].astype(np.int32), number[x.feature[has]], ratio[used]
+    row, feature, scale = x.row[has].astype(np.int64), number[x.feature[has]].astype(np.int64), ratio[used]
     w, g2 = np.zeros(len(used)), np.full(len(used), 1e-12)
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     bias, b2 = float(np.log(share / (1 - share))), 1e-12
@@ -169,6 +172,8 @@ class Model:
     calibrated: tuple[np.ndarray, np.ndarray]
     combined: np.ndarray
     known: bool = True
+    #: The least score of an accepted document.
+    threshold: float = 0.5
 
     def views(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         """Calibrated log odds of both views."""
@@ -243,7 +248,10 @@ def co_train(labelled: list, pool: list, rounds: int = ROUNDS) -> Model:
     scores = [Rows.of([np.asarray(r[v]) for r, h in zip(labelled, held, strict=True) if h]).scores(*fitted[v]) for v, _ in views]
     calibrated = tuple(_calibrate(s[:, None], y[held]) for s in scores)
     z = np.column_stack([c[0] * s + c[1] for c, s in zip(calibrated, scores, strict=True)])
-    return Model(fitted[0], fitted[1], calibrated, _calibrate(z, y[held]))
+    combined = _calibrate(z, y[held])
+    p = _sigmoid(np.column_stack([z, np.ones(len(z))]) @ combined)
+    threshold = min(0.5, float(np.quantile(p[y[held] == 1], 1 - KEEP)))
+    return Model(fitted[0], fitted[1], calibrated, combined, True, threshold)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Model:
@@ -258,7 +266,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, po
     base = docs.select("doc_id", "text", *METADATA)
     labelled = _featured(base.join(F.broadcast(some), "doc_id"), "_good")  # max_labelled rows at most
     unlabelled = _featured(base.withColumn("_good", F.lit(0)).join(F.broadcast(rest.distinct()), "doc_id", "left_semi"), "_good")  # pool rows at most
-    return co_train(labelled, unlabelled, rounds)
+    model = co_train(labelled, unlabelled, rounds)
+    del labelled, unlabelled
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -272,7 +283,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 t, v, p = m.score(*(part.column(i).to_pylist() for i in range(1, 5)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(t), pa.array(v), pa.array(p), pa.array(p >= 0.5)], ["doc_id", "p_text", "p_meta", "p_good", "accepted"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(t), pa.array(v), pa.array(p), pa.array(p >= m.threshold)], ["doc_id", "p_text", "p_meta", "p_good", "accepted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", *METADATA).mapInArrow(frugal(run), f"doc_id {kind}, p_text double, p_meta double, p_good double, accepted boolean")
@@ -289,6 +300,6 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         m = sent.value
         for batch in batches:
             for part in slices(batch):
-                yield part.filter(pa.array(m.score(*(part.column(i).to_pylist() for i in at))[2] >= 0.5))
+                yield part.filter(pa.array(m.score(*(part.column(i).to_pylist() for i in at))[2] >= m.threshold))
 
     return docs.mapInArrow(frugal(run), docs.schema)

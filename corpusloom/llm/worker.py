@@ -16,7 +16,8 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 Batches = Iterator[pa.RecordBatch]
 
 
-def _trim() -> None:
+def trim() -> None:
+    """Returns freed memory to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -32,7 +33,7 @@ def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
         try:
             yield from run(batches)
         finally:
-            _trim()
+            trim()
 
     return wrapped
 
