@@ -2,7 +2,8 @@
 
 quality -> exact_dedup -> near_dedup -> decontaminate -> pack. All but the last return the columns of documents. A
 document that the quality classifier rejects goes; of equal texts the one with the largest doc_id stays, of near
-duplicates the one with the smallest; a document that holds a benchmark window goes; what is left is packed.
+duplicates the one with the smallest; a document that holds a benchmark window goes; what is left is packed. Rows without
+an id are judged by their text in all stages but those that drop documents by id, the second and third: there they stay.
 """
 
 from __future__ import annotations

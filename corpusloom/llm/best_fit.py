@@ -10,7 +10,7 @@ needs fewer bins.
 Memory: a task holds PIECES rows of a few integers; the driver gets one row of sums per round and a histogram of lengths.
 
 Defined results: null text is empty text, one end id; an empty table gives no rows; repeated rows are packed as often as
-they come; further columns are ignored.
+they come, and so are rows without an id; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -189,29 +188,33 @@ def lower_bound(counts: np.ndarray, size: int) -> int:
     return best
 
 
-def _pack_group(rows: pd.DataFrame, size: int, order: list[str]) -> pd.DataFrame:
-    rows = rows.sort_values(["length", *order], ascending=[False] + [True] * len(order), kind="stable")
-    bins, offsets, fill = best_fit_decreasing(rows["length"].to_numpy(), size)
-    gap = len(fill) - lower_bound(np.bincount(rows["length"], minlength=size + 1), size)
+def _pack_group(rows: pa.Table, size: int, order: list[str]) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """rows in the order of packing, and each one's bin, offset and whether it is released."""
+    rows = rows.sort_by([("length", "descending"), *((c, "ascending") for c in order)])
+    lengths = rows["length"].to_numpy()
+    bins, offsets, fill = best_fit_decreasing(lengths, size)
+    gap = len(fill) - lower_bound(np.bincount(lengths, minlength=size + 1), size)
     # the emptiest bins take part in the exchange: as many as would hold the gap's missing bins many times over
     open_bins = np.argsort(fill, kind="stable")[: 16 * gap + 1] if gap > 0 else np.empty(0, np.int64)
-    released = np.isin(bins, open_bins[fill[open_bins] < size])
-    return rows.assign(bin=bins, offset=offsets, gap=gap, released=released)
+    return rows, bins, offsets, np.isin(bins, open_bins[fill[open_bins] < size])
 
 
 def _packed(pieces: DataFrame, parts: int, size: int, number: int, key: str) -> DataFrame:
     """pieces with sequence_id, offset and released, packed inside parts partitions; a written table."""
     prepare(pieces.sparkSession)
     columns = [c for c in pieces.columns if c not in ("sequence_id", "offset", "released")]
-    dealt = pieces.select(*columns, F.pmod(F.xxhash64(key, "piece", F.lit(number)), F.lit(parts)).cast("int").alias("_part"))
+    by = F.when(F.col(key).isNull(), F.xxhash64("ids_crc32", "piece", F.lit(number))).otherwise(F.xxhash64(key, "piece", F.lit(number)))
+    dealt = pieces.select(*columns, F.pmod(by, F.lit(parts)).cast("int").alias("_part"))
     order = [key, "piece", "start"]
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        out = _pack_group(rows, size, order)
-        return out.assign(sequence_id=(number << 56) + out["_part"].astype("int64") * 2**32 + out["bin"])[[*columns, "sequence_id", "offset", "released"]]
+    def pack(rows: pa.Table) -> pa.Table:
+        first = (number << 56) + (rows["_part"][0].as_py() << 32)
+        out, bins, offsets, released = _pack_group(rows, size, order)
+        made = {"sequence_id": first + bins, "offset": offsets, "released": released}
+        return pa.table([*(out[c] for c in columns), *map(pa.array, made.values())], [*columns, *made])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select(*columns).schema.fields)
-    return materialize(dealt.groupBy("_part").applyInPandas(pack, f"{schema}, sequence_id long, offset long, released boolean"), "packed")
+    return materialize(dealt.groupBy("_part").applyInArrow(pack, f"{schema}, sequence_id long, offset long, released boolean"), "packed")
 
 
 def _bins(df: DataFrame) -> int:

@@ -47,6 +47,9 @@ BROADCAST_IDS = 1_000_000
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", bound: int = BROADCAST_IDS) -> DataFrame:
-    """docs without the rows whose key is in ids (a written table); broadcast only behind a count of it."""
+    """docs without the rows whose key is in ids (a written table); broadcast only behind a count of it.
+
+    Rows without a key can't be told apart by it: they stay.
+    """
     few = ids.limit(bound + 1).count() <= bound
     return docs.join(F.broadcast(ids) if few else ids, key, "left_anti")

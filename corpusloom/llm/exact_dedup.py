@@ -9,7 +9,8 @@
 4. Owner tasks take key ranges: each row finds its entry by key and text digest.
 
 Defined results: null text counts as empty; an empty table gives no rows; of equal texts the largest doc_id stays, and
-rows that repeat both doc_id and text are kept or dropped together; further columns are ignored.
+rows that repeat both doc_id and text are kept or dropped together; a null doc_id is smaller than any other, and rows
+whose text has no other are kept with a null keep_id; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,4 +78,4 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", capac
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(key, F.xxhash64(t).alias("h"), F.sha2(t, 256).alias("text_sha256"))
     found = rows.join(index.drop("bucket"), ["h", "text_sha256"])
-    return found.select(key, "keep_id", "group_size", (F.col(key) == F.col("keep_id")).alias("kept"), "text_sha256")
+    return found.select(key, "keep_id", "group_size", F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

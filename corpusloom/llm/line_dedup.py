@@ -9,7 +9,8 @@ Each task combines a group's occurrences before the shuffle, so a line with a th
 Only groups with more than one occurrence are joined back.
 
 Defined results: null text counts as empty and has no line; an empty table gives no rows; rows that repeat a doc_id and
-its text are equal occurrences and stay or go together; further columns are ignored.
+its text are equal occurrences and stay or go together; rows without an id have no place in the order, so they lose no
+line and are no line's earliest occurrence; further columns are ignored.
 """
 
 from __future__ import annotations

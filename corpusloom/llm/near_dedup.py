@@ -17,7 +17,8 @@
    confirmed. So no candidate pair of different components is left out, and no group's pairs are all emitted.
 
 Defined results: null and empty texts have the empty set, are linked with nothing and kept; rows that repeat an id count
-as one document in each of its rows; an empty table gives no rows; further columns are ignored.
+as one document in each of its rows; a row without an id takes the component of the documents with its set and goes, or
+else has a null component and stays; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -284,4 +285,4 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key
     of_class = classes.join(label, classes["cid"] == label["id"], "left").select("digest", F.coalesce("component", "cid").alias("component_id"))
     found = sk.select("id", "n", "digest").join(of_class, "digest", "left")
     whose = F.coalesce("component_id", "id")
-    return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), whose.alias("component_id"), (F.col("id") == whose).alias("kept"))
+    return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), whose.alias("component_id"), F.col("id").eqNullSafe(whose).alias("kept"))

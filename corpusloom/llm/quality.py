@@ -11,8 +11,8 @@ Samples: MAX_LABELLED labelled rows and POOL unlabelled ones, those with the sma
 gets their feature numbers alone. Everything else covers all rows.
 
 Defined results: null text counts as empty; null metadata is a value of its own; repeated rows have equal scores; an
-empty table gives no rows; without labels of both kinds, every document scores 1 and is accepted; further columns are
-ignored.
+empty table gives no rows; without labels of both kinds, every document scores 1 and is accepted; rows without an id are
+scored, but not fitted on, and of rows that repeat an id one is fitted on; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -264,8 +264,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, po
     some = known.groupBy("doc_id").agg(F.min("_good").alias("_good")).orderBy(F.xxhash64("doc_id")).limit(max_labelled)
     rest = docs.select("doc_id").join(known.select("doc_id"), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id")).limit(pool)
     base = docs.select("doc_id", "text", *METADATA)
-    labelled = _featured(base.join(F.broadcast(some), "doc_id"), "_good")  # max_labelled rows at most
-    unlabelled = _featured(base.withColumn("_good", F.lit(0)).join(F.broadcast(rest.distinct()), "doc_id", "left_semi"), "_good")  # pool rows at most
+    labelled = _featured(base.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]), "_good")  # max_labelled rows at most
+    unlabelled = _featured(base.withColumn("_good", F.lit(0)).join(F.broadcast(rest.distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "_good")  # pool rows at most
     model = co_train(labelled, unlabelled, rounds)
     del labelled, unlabelled
     trim()

@@ -11,7 +11,8 @@ in blocks of BLOCK_WORDS words, each broadcast and each looked up in every shard
 the benchmark's.
 
 Defined results: null text has no words, and an item without words has no window; an empty table gives no rows; an empty
-benchmark hits nothing; repeated rows have equal results; further columns are ignored.
+benchmark hits nothing; repeated rows have equal results, also without an id; an item without an id is named by the empty
+string; items of one id count once; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -158,7 +159,7 @@ def query_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text"
         if now and size + len(words) > block_words:
             yield Queries(now)
             now, size = [], 0
-        now.append((str(r[0]), words))
+        now.append(("" if r[0] is None else str(r[0]), words))
         size += len(words)
     if now:
         yield Queries(now)

@@ -294,3 +294,68 @@ def test_pipeline_stages(spark):
         docs = after
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}
+
+
+# ---- rows without an id
+
+SAME = " ".join(f"word{i}" for i in range(30))
+
+
+def without_some_ids(spark):
+    rows = [(1, SAME), (None, SAME), (None, "alone here"), (2**60 + 1, "two\nlines"), (None, None), (2**60 + 1, "two\nlines"), (None, "alone here")]
+    return spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+
+
+def test_exact_and_near_groups_of_rows_without_an_id(spark):
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(without_some_ids(spark)).collect()}
+    big = 2**60 + 1
+    assert got == {(1, 1, 2, True), (None, 1, 2, False), (None, None, 2, True), (big, big, 2, True), (None, None, 1, True)}
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_groups(without_some_ids(spark), 4).collect()]
+    want = [(1, 27, 1, True), (None, 27, 1, False), (big, 1, big, True), (big, 1, big, True), (None, 0, None, True)] + [(None, 1, None, True)] * 2
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_packing_of_rows_without_an_id(spark):
+    pieces = best_fit.token_pieces(without_some_ids(spark), tokenizer_definition())
+    rows = best_fit.pack_pieces(pieces)[0].collect()
+    ids = [r.doc_id for r in rows]
+    assert len(rows) == 7 and ids.count(None) == 4 and ids.count(2**60 + 1) == 2 and ids.count(1) == 1
+    assert len({r.sequence_id for r in rows}) == 1 and sum(r.length for r in rows) == max(r.offset + r.length for r in rows)
+
+
+def test_other_operators_on_rows_without_an_id(spark):
+    docs = without_some_ids(spark)
+    items = spark.createDataFrame([(None, "alone here"), (3, "lines"), (3, "two lines"), (None, None)], ITEMS)
+    got = {(r.doc_id, r.n_hit, tuple(r["items"])) for r in suffix_decontam.contamination(docs, items).collect()}
+    assert got == {(1, 0, ()), (None, 0, ()), (None, 2, ("",)), (2**60 + 1, 2, ("3",))}
+    assert suffix_decontam.decontaminate(docs, items).count() == 3
+    labels = spark.createDataFrame([(1, 1, 0), (None, 0, 0), (2**60 + 1, None, None)], "doc_id long, quality int, toxic int")
+    assert quality.accepted(docs, quality.fit(docs, labels)).count() == 7
+    assert secret_scan.scan_digest(docs).count() == 7
+    lines = {(r.doc_id, r.clean_text) for r in line_dedup.dedup_lines(docs).collect()}
+    assert lines == {(1, SAME), (None, SAME), (None, "alone here"), (2**60 + 1, "two\nlines"), (None, "")}
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        assert stage(spark, docs, SF).count() == 7
+
+
+def test_pages_turns_and_shards_without_an_id(spark, tmp_path):
+    pages = spark.createDataFrame([(None, None, "<p>a</p>"), (1, None, None), (None, "x", "<p>a</p>")], "page_id long, url string, html string")
+    assert sorted((str(r.page_id), r.text) for r in html_extract.page_texts(pages).collect()) == [("1", ""), ("None", "a"), ("None", "a")]
+    turns = spark.createDataFrame([(None, 1, "user", "b"), (None, None, None, "a"), (1, None, None, None)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat_format.read_back(chat_format.format_turns(chat_format.canonical_turns(turns))).collect()}
+    assert got == {None: [("", "a"), ("user", "b")], 1: [("", "")]}
+    root = f"{tmp_path}/no-ids"
+    sharding.append(without_some_ids(spark), root, F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    sharding.compact(spark, root)
+    assert sorted(map(str, sharding.read(spark, root).collect())) == sorted(map(str, without_some_ids(spark).collect()))
+    sharding.append(without_some_ids(spark), root, F.lit(None).cast("int"))
+    assert sharding.read(spark, root).count() == 14
+
+
+def test_empty_tables_of_pages_turns_and_shards(spark, tmp_path):
+    assert html_extract.page_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_format.read_back(chat_format.format_turns(chat_format.canonical_turns(none))).count() == 0
+    root = f"{tmp_path}/empty"
+    sharding.append(empty(spark), root)
+    assert sharding.compact(spark, root)["version"] == 1 and sharding.read(spark, root).count() == 0
