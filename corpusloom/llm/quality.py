@@ -1,23 +1,25 @@
 """Quality classification by co-training two views: text content and page metadata.
 
 The text view sees hashed words and punctuation runs (present or not) and binned shape measures; the metadata view sees
-source, language and length. Both are logistic regressions fitted here on a bounded sample of labelled rows. In each
-round, each view labels the rows of an unlabelled pool that it is sure of, and they join the other view's training rows.
-On held-out labelled rows each view's score is calibrated, the calibrated views are combined, and the threshold is set:
+source, language and length. Both are logistic regressions that begin with a bounded sample of labelled rows. In each
+round, both views score all unlabelled rows where these lie, and the rows that one view is sure of join the other view's
+training rows: each task sums counts and gradients by feature over its rows, and the driver gets the sums. On held-out labelled rows each view's score is calibrated, the calibrated views are combined, and the threshold is set:
 0.5, or less where that is needed to keep KEEP of the good rows. All documents are then scored whole, in one pass next
 to their text, without a shuffle.
 
-Samples: MAX_LABELLED labelled rows and POOL unlabelled ones, those with the smallest hashes of their ids; the driver
-gets their feature numbers alone. Everything else covers all rows.
+Sample: MAX_LABELLED labelled rows, those with the smallest hashes of their ids; the driver gets their feature numbers
+alone. Everything else covers all rows. Feature numbers of the unlabelled rows are written once and read by each pass.
+Sums are of integers (residuals in units of 1/UNIT), so they don't depend on how rows are dealt to tasks.
 
 Defined results: null text counts as empty; null metadata is a value of its own; repeated rows have equal scores; an
 empty table gives no rows; without labels of both kinds, every document scores 1 and is accepted; rows without an id are
-scored, but not fitted on, and of rows that repeat an id one is fitted on; further columns are ignored.
+scored, and are unlabelled ones; of labelled rows that repeat an id one is fitted on, unlabelled rows count each for
+itself; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,14 +28,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import without_ids
 from corpusloom.llm.hashing import run_hashes, slices
 from corpusloom.llm.worker import frugal, prepare, trim
 from corpusloom.schemas import require
+from corpusloom.storage import drop_tables, materialize
 
-#: Labelled rows and pool rows that fitting reads at most.
-MAX_LABELLED, POOL = 20_000, 5_000
+#: Labelled rows that fitting reads at most.
+MAX_LABELLED = 20_000
 #: Of the labelled rows, those kept for calibration; rounds of exchange; how sure a view must be to label a row.
 HELD_OUT, ROUNDS, SURE = 0.2, 3, 0.97
+#: Gradient steps over labelled and unlabelled rows in each round; parts of one in which residuals are summed.
+PASSES, UNIT = 4, 1 << 24
 #: Rows that a feature needs to be used, and the least log ratio of its shares in both kinds.
 MIN_ROWS, MIN_RATIO = 3, 0.3
 #: Share of the good held-out rows that are accepted at least; the threshold is 0.5 where that keeps as many.
@@ -118,38 +124,68 @@ class Rows:
         return np.bincount(self.row, w[self.feature], self.n) + bias
 
 
+@dataclass
+class Sums:
+    """By feature, over rows outside the driver: rows and good rows, or residuals in units; the last element is of all rows."""
+
+    a: np.ndarray
+    b: np.ndarray
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(x: Rows, y: np.ndarray, size: int, steps: int = 120, rate: float = 0.2, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch adaptive gradient steps; the bias starts at the log odds.
+class Logistic:
+    """A logistic regression of rows on the driver and of others of which only sums by feature are known.
 
-    Features of fewer than MIN_ROWS rows, and those about as frequent in both kinds, are left out. Each other one is scaled by the log ratio of its shares in good
-    and other rows, so that a rare word that stands in one kind alone counts from the first step.
+    Features of fewer than MIN_ROWS rows, and those about as frequent in both kinds, are left out. Each other one is scaled
+    by the log ratio of its shares in good and other rows, so that a rare word that stands in one kind alone counts from
+    the first step. The bias starts at the log odds. Steps are adaptive gradient steps.
     """
-    seen = np.bincount(x.feature, minlength=size)
-    good = np.bincount(x.feature, y[x.row], size)
-    ratio = np.log((good + 0.5) / (y.sum() + 1)) - np.log((seen - good + 0.5) / ((1 - y).sum() + 1))
-    used = np.flatnonzero((seen >= MIN_ROWS) & (np.abs(ratio) >= MIN_RATIO))
-    number = np.full(size, -1, np.int32)
-    number[used] = np.arange(len(used), dtype=np.int32)
-    has = number[x.feature] >= 0
-    row, feature, scale = x.row[has].astype(np.int64), number[x.feature[has]].astype(np.int64), ratio[used]
-    w, g2 = np.zeros(len(used)), np.full(len(used), 1e-12)
-    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    bias, b2 = float(np.log(share / (1 - share))), 1e-12
+
+    def __init__(self, x: Rows, y: np.ndarray, size: int, others: Sums | None = None):
+        seen = np.bincount(x.feature, minlength=size)
+        good = np.bincount(x.feature, y[x.row], size)
+        n, n_good = len(y), y.sum()
+        if others:
+            seen, good, n, n_good = seen + others.a[:-1], good + others.b[:-1], n + others.a[-1], n_good + others.b[-1]
+        ratio = np.log((good + 0.5) / (n_good + 1)) - np.log((seen - good + 0.5) / (n - n_good + 1))
+        self.used = np.flatnonzero((seen >= MIN_ROWS) & (np.abs(ratio) >= MIN_RATIO))
+        number = np.full(size, -1, np.int32)
+        number[self.used] = np.arange(len(self.used), dtype=np.int32)
+        has = number[x.feature] >= 0
+        self.row, self.feature, self.scale = x.row[has].astype(np.int64), number[x.feature[has]].astype(np.int64), ratio[self.used]
+        self.y, self.size = y, size
+        self.w, self.g2 = np.zeros(len(self.used)), np.full(len(self.used), 1e-12)
+        share = np.clip(n_good / n, 1e-3, 1 - 1e-3)
+        self.bias, self.b2 = float(np.log(share / (1 - share))), 1e-12
+
+    def step(self, others: Sums | None = None, n_others: int = 0, rate: float = 0.2, decay: float = 1e-5) -> None:
+        """One step down the mean loss of the own rows and, by the sums of their residuals, n_others other ones."""
+        n = len(self.y) + n_others
+        r = _sigmoid(np.bincount(self.row, (self.w * self.scale)[self.feature], len(self.y)) + self.bias) - self.y
+        g, b = np.bincount(self.feature, r[self.row], len(self.used)), r.sum()
+        if others:
+            g, b = g + others.a[self.used] / UNIT, b + others.a[-1] / UNIT
+        g, b = g * self.scale / n + decay * self.w, b / n
+        self.g2 += g * g
+        self.w -= rate * g / np.sqrt(self.g2)
+        self.b2 += b * b
+        self.bias -= rate * b / np.sqrt(self.b2)
+
+    def fitted(self) -> tuple[np.ndarray, float]:
+        whole = np.zeros(self.size)
+        whole[self.used] = self.w * self.scale
+        return whole, float(self.bias)
+
+
+def fit_logistic(x: Rows, y: np.ndarray, size: int, steps: int = 120, others: Sums | None = None) -> Logistic:
+    """The regression after full-batch steps on the rows x; others: counts of further rows, for what steps follow."""
+    model = Logistic(x, y, size, others)
     for _ in range(steps):
-        r = (_sigmoid(np.bincount(row, (w * scale)[feature], x.n) + bias) - y) / x.n
-        g = np.bincount(feature, r[row], len(used)) * scale + decay * w
-        g2 += g * g
-        w -= rate * g / np.sqrt(g2)
-        b = r.sum()
-        b2 += b * b
-        bias -= rate * b / np.sqrt(b2)
-    whole = np.zeros(size)
-    whole[used] = w * scale
-    return whole, bias
+        model.step()
+    return model
 
 
 def _calibrate(z: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
@@ -196,8 +232,8 @@ UNKNOWN = Model((np.zeros(1), 0.0), (np.zeros(1), 0.0), (np.zeros(2), np.zeros(2
 METADATA = ("source", "lang", "n_chars")
 
 
-def _featured(docs: DataFrame, extra: str) -> list[tuple[np.ndarray, list[int], int | None]]:
-    """(text features, metadata features, extra) of a bounded sample, in the order of the ids' hashes."""
+def _featured(docs: DataFrame) -> DataFrame:
+    """(h, t, m, y): the id's hash, text features, metadata features and _good of every row."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,44 +244,108 @@ def _featured(docs: DataFrame, extra: str) -> list[tuple[np.ndarray, list[int],
                 m = pa.array([meta_features(*x) for x in zip(source, lang, size, strict=True)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), t, m, pa.array(y, pa.int32())], ["h", "t", "m", "y"])
 
-    rows = docs.select(F.xxhash64("doc_id").alias("h"), "text", *METADATA, F.col(extra).cast("int")).mapInArrow(frugal(run), "h long, t array<int>, m array<int>, y int")
-    table = rows.toArrow().sort_by([("h", "ascending")])
+    return docs.select(F.xxhash64("doc_id").alias("h"), "text", *METADATA, F.col("_good").cast("int")).mapInArrow(frugal(run), "h long, t array<int>, m array<int>, y int")
+
+
+def _sampled(docs: DataFrame) -> list[tuple[np.ndarray, list[int], int]]:
+    """(text features, metadata features, _good) of a bounded sample, in the order of the ids' hashes."""
+    table = _featured(docs).toArrow().sort_by([("h", "ascending")])
     t, m, y = table["t"].combine_chunks(), table["m"].to_pylist(), table["y"].to_pylist()
     at, values = t.offsets.to_numpy(), t.values.to_numpy()
     return [(values[at[i] : at[i + 1]], m[i], y[i]) for i in range(table.num_rows)]
 
 
-def co_train(labelled: list, pool: list, rounds: int = ROUNDS) -> Model:
-    """The model of rows (text features, metadata features, label), and of a pool without labels."""
+#: Sizes of both views; a judge is, for each view, its weights, bias and calibration in one round.
+SIZES = (1 << TEXT_BITS, 1 << META_BITS)
+Judge = tuple[tuple[np.ndarray, float, np.ndarray], ...]
+
+
+def told(judges: list[Judge], views: list[Rows]) -> list[np.ndarray]:
+    """For each view, what the other view says of each row: 1 good, -1 not, 0 unsure.
+
+    The first judge of which one view is sure of a row decides; what that judge leaves open stays open.
+    """
+    said = [np.zeros(views[0].n, np.int64) for _ in views]
+    free = np.ones(views[0].n, bool)
+    for judge in judges:
+        sure = []
+        for x, (w, bias, c) in zip(views, judge, strict=True):
+            p = _sigmoid(x.scores(w, bias) * c[0] + c[1])
+            sure.append((p >= SURE).astype(np.int64) - (p <= 1 - SURE))
+        for v in (0, 1):
+            said[v] = np.where(free, sure[1 - v], said[v])
+        free &= (sure[0] == 0) & (sure[1] == 0)
+    return said
+
+
+def _add(sums: list[Sums], views: list[Rows], judges: list[Judge], at: list[tuple[np.ndarray, float]] | None) -> None:
+    """Adds to each view's sums those of its told rows: counts, or residuals at the weights and biases at."""
+    for v, said in enumerate(told(judges, views)):
+        x, s = views[v], sums[v]
+        mine = said != 0
+        a, b = mine.astype(float), (said > 0).astype(float)
+        if at:
+            a, b = np.rint((_sigmoid(x.scores(*at[v])) - b) * UNIT) * mine, np.zeros(x.n)
+        for total, value in ((s.a, a), (s.b, b)):
+            if value.any():
+                total[:-1] += np.bincount(x.feature, value[x.row], SIZES[v]).astype(np.int64)
+                total[-1] += int(value.sum())
+
+
+def _lists(column: pa.Array) -> Rows:
+    sizes = np.diff(column.offsets.to_numpy())
+    values = column.flatten().to_numpy()
+    return Rows(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), values, len(sizes))
+
+
+def _pass(rows: DataFrame, judges: list[Judge], at: list[tuple[np.ndarray, float]] | None = None) -> list[Sums]:
+    """Both views' sums over all rows (t, m): one pass; each task leaves one row a feature."""
+    sent = rows.sparkSession.sparkContext.broadcast((judges, at))  # vectors of fixed size
+    first = (0, SIZES[0] + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [Sums(np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)) for n in SIZES]
+        for batch in batches:
+            for part in slices(batch):
+                _add(sums, [_lists(part.column(0)), _lists(part.column(1))], *sent.value)
+        for s, begin in zip(sums, first, strict=True):
+            k = np.flatnonzero((s.a != 0) | (s.b != 0))
+            yield pa.RecordBatch.from_arrays([pa.array((k + begin).astype(np.int32)), pa.array(s.a[k]), pa.array(s.b[k])], ["k", "a", "b"])
+
+    got = rows.select("t", "m").mapInArrow(frugal(run), "k int, a long, b long").groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+    sent.destroy()
+    a, b = (np.zeros(sum(SIZES) + 2, np.int64) for _ in "ab")
+    k = got["k"].to_numpy()
+    a[k], b[k] = got["a"].to_numpy(), got["b"].to_numpy()
+    return [Sums(a[i : i + n + 1], b[i : i + n + 1]) for i, n in zip(first, SIZES, strict=True)]
+
+
+def co_train(labelled: list, sums: Callable[[list[Judge], list | None], list[Sums]] | None, rounds: int = ROUNDS) -> Model:
+    """The model of rows (text features, metadata features, label), and of unlabelled ones by a pass over all of them."""
     y = np.array([r[2] for r in labelled], float)
     held = np.arange(len(y)) % round(1 / HELD_OUT) == 0  # rows come in the order of hashes
     if len(y) < 10 or min(y[held].sum(), (1 - y[held]).sum(), y[~held].sum(), (1 - y[~held]).sum()) < 1:
         return UNKNOWN
-    views = (0, 1 << TEXT_BITS), (1, 1 << META_BITS)
-    train = [[r[v] for r, h in zip(labelled, held, strict=True) if not h] for v, _ in views]
-    target = [y[~held], y[~held]]
-    left = np.arange(len(pool))
-    fitted = [fit_logistic(Rows.of(train[v]), target[v], size) for v, size in views]
-    for _ in range(rounds):
-        told = []
-        for v, _ in views:
-            x = Rows.of([np.asarray(pool[i][v]) for i in left])
-            held_x = Rows.of([np.asarray(r[v]) for r, h in zip(labelled, held, strict=True) if h])
-            c = _calibrate(held_x.scores(*fitted[v])[:, None], y[held])
-            p = _sigmoid(x.scores(*fitted[v]) * c[0] + c[1])
-            told.append((p >= SURE).astype(int) - (p <= 1 - SURE))
-        if not len(left) or not any(t.any() for t in told):
+    train, test = ([Rows.of([np.asarray(r[v]) for r, h in zip(labelled, held, strict=True) if h == which]) for v in (0, 1)] for which in (False, True))
+    models = [fit_logistic(train[v], y[~held], SIZES[v]) for v in (0, 1)]
+    judges: list[Judge] = []
+    before = 0
+    for _ in range(rounds if sums else 0):
+        fitted = [m.fitted() for m in models]
+        judges.append(tuple((*f, _calibrate(x.scores(*f)[:, None], y[held])) for f, x in zip(fitted, test, strict=True)))
+        counts = sums(judges, None)
+        now = sum(int(c.a[-1]) for c in counts)
+        if now == before:
             break
-        for v, size in views:
-            other = told[1 - v]
-            new = np.flatnonzero(other)
-            if not len(new):
-                continue
-            train[v] = train[v] + [pool[left[i]][v] for i in new]
-            target[v] = np.concatenate([target[v], (other[new] > 0).astype(float)])
-            fitted[v] = fit_logistic(Rows.of([np.asarray(f) for f in train[v]]), target[v], size)
-        left = left[(told[0] == 0) & (told[1] == 0)]
-    scores = [Rows.of([np.asarray(r[v]) for r, h in zip(labelled, held, strict=True) if h]).scores(*fitted[v]) for v, _ in views]
+        before = now
+        models = [fit_logistic(train[v], y[~held], SIZES[v], others=counts[v]) if counts[v].a[-1] else models[v] for v in (0, 1)]
+        for _ in range(PASSES):
+            others = sums(judges, [m.fitted() for m in models])
+            for v in (0, 1):
+                if counts[v].a[-1]:
+                    models[v].step(others[v], int(counts[v].a[-1]))
+    fitted = [m.fitted() for m in models]
+    scores = [x.scores(*f) for x, f in zip(test, fitted, strict=True)]
     calibrated = tuple(_calibrate(s[:, None], y[held]) for s in scores)
     z = np.column_stack([c[0] * s + c[1] for c, s in zip(calibrated, scores, strict=True)])
     combined = _calibrate(z, y[held])
@@ -254,20 +354,24 @@ def co_train(labelled: list, pool: list, rounds: int = ROUNDS) -> Model:
     return Model(fitted[0], fitted[1], calibrated, combined, True, threshold)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> Model:
     """The model of docs (doc_id, text, source, lang, n_chars) and labels (doc_id, quality, toxic).
 
-    A row is good if its quality is 1 and it is not toxic. max_labelled and pool bound what fitting reads.
+    A row is good if its quality is 1 and it is not toxic. max_labelled bounds the labelled rows that fitting reads; the
+    unlabelled ones are all read.
     """
     require(docs, "doc_id", "text", *METADATA)
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.expr("CAST(quality = 1 AND coalesce(toxic, 0) = 0 AS INT)").alias("_good"))
     some = known.groupBy("doc_id").agg(F.min("_good").alias("_good")).orderBy(F.xxhash64("doc_id")).limit(max_labelled)
-    rest = docs.select("doc_id").join(known.select("doc_id"), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id")).limit(pool)
     base = docs.select("doc_id", "text", *METADATA)
-    labelled = _featured(base.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]), "_good")  # max_labelled rows at most
-    unlabelled = _featured(base.withColumn("_good", F.lit(0)).join(F.broadcast(rest.distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "_good")  # pool rows at most
-    model = co_train(labelled, unlabelled, rounds)
-    del labelled, unlabelled
+    labelled = _sampled(base.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]))  # max_labelled rows at most
+    if len({r[2] for r in labelled}) < 2:
+        return UNKNOWN
+    ids = materialize(known.select("doc_id").distinct(), "labelled-ids")
+    rows = materialize(_featured(without_ids(base, ids).withColumn("_good", F.lit(0))).select("t", "m"), "unlabelled")
+    model = co_train(labelled, lambda judges, at: _pass(rows, judges, at), rounds)
+    drop_tables(rows, ids)
+    del labelled
     trim()
     return model
 

@@ -278,6 +278,25 @@ def test_classifier_on_held_out_labels(spark):
     assert by[True] > 0.985 and by[False] < 0.5  # 3,000 labels; with 15,000: 1.0 and 0.05
 
 
+def test_every_unlabelled_row_takes_part(spark):
+    """A kind without labels that only rows beyond the 5,000 smallest id hashes have."""
+    ids = spark.range(7000).withColumn("h", F.xxhash64("id")).orderBy("h").collect()
+    rows, labels = [], []
+    for place, r in enumerate(ids):
+        good = r.id % 2 == 0
+        kind = "calm" if good else "spam"
+        if place < 400:
+            labels.append((r.id, int(good), 0))
+        elif place >= 6800:
+            kind = "fresh" if good else "novel"
+        rows.append((r.id, " ".join(f"{kind}{(r.id + j) % 5}" for j in range(4)), "en", "books" if good else "junk", 40))
+    docs = spark.createDataFrame(rows, DOCS)
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    texts = ["novel0 novel1 novel2 novel3", "fresh0 fresh1 fresh2 fresh3", "spam0 spam1 spam2 spam3", "calm0 calm1 calm2 calm3"]
+    p = {r.doc_id: r.p_text for r in quality.score(documents(spark, texts), model).collect()}
+    assert p[0] < 0.2 and p[1] > 0.8 and p[2] < 0.2 and p[3] > 0.8
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
