@@ -5,7 +5,8 @@
    their elements, roles, classes and ids, and go.
 2. Each host has a reference tree: that of its page with the smallest hash. Every page's tree is aligned with it by
    simple tree matching: roots must agree, and the children's best ordered matching maximises the matched nodes. Children
-   with equal shapes at both ends are matched as they stand; the dynamic programme runs on what lies between.
+   with equal shapes at both ends are matched as they stand; the dynamic programme runs on what lies between, whatever its
+   length: long lists are halved until a part's table is small. Trees are matched to their full depth.
 3. The text of every aligned block votes for its slot. A text that stands in one slot in most of a host's pages, and in
    MIN_PAGES at least, makes it constant: template. Slots whose texts vary are content.
 4. The main text is the blocks of the article (an article, main or equally marked element) where a page has one, and
@@ -27,6 +28,7 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -41,7 +43,7 @@ from corpusloom.storage import materialize
 MIN_PAGES, SHARE = 4, 0.5
 #: Reference trees and constants that are broadcast together at most, in bytes.
 BROADCAST_BYTES = 32 << 20
-#: Cells of one dynamic programme; longer lists of unlike children are matched in order.
+#: Cells of one dynamic programme's table; longer lists of unlike children are halved first, at the best place.
 CELLS = 40_000
 
 # Element names of HTML by their parts in parsing.
@@ -77,12 +79,12 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Node:
     """A block element: its label, children, whether it is chrome or an article, and its texts (blocks) in order."""
 
-    __slots__ = ("article", "children", "chrome", "label", "shape", "soft", "tag")
+    __slots__ = ("article", "children", "chrome", "label", "number", "shape", "size", "soft", "tag")
 
     def __init__(self, tag: str, label: str, chrome: bool, soft: bool, article: bool):
         self.tag, self.label, self.chrome, self.soft, self.article = tag, label, chrome, soft, article
         self.children: list[Node] = []
-        self.shape = 0
+        self.shape, self.size, self.number = 0, 1, 0
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -200,6 +202,12 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, list[str]]]]:
     return root, blocks
 
 
+def _measure(x: Node) -> None:
+    """Sets a node's shape and size from its children's."""
+    x.shape = hash((x.label, tuple(c.shape for c in x.children)))
+    x.size = 1 + sum(c.size for c in x.children)
+
+
 def _finish(root: Node) -> None:
     """Sets shapes, and makes chrome of what looks like it and holds no article and no first heading.
 
@@ -216,74 +224,129 @@ def _finish(root: Node) -> None:
         stack.pop()
         found = holds[id(x)] = x.article or x.tag == "h1" or any([holds.pop(id(c)) for c in x.children])
         x.chrome = x.chrome or (x.soft and not found)
-        x.shape = hash((x.label, tuple(c.shape for c in x.children)))
+        _measure(x)
 
 
-def skeleton(root: Node, depth: int = 60) -> list:
-    """[label, children] of a tree, to depth: what pages are aligned with."""
-    return [root.label, [skeleton(c, depth - 1) for c in root.children] if depth else []]
+def skeleton(root: Node) -> list:
+    """[label, number of children] of a tree's nodes in document order: what pages are aligned with."""
+    out, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        out.append([x.label, len(x.children)])
+        todo += reversed(x.children)
+    return out
 
 
 class Reference:
     """A reference tree; its nodes are numbered in document order."""
 
     def __init__(self, tree: list):
-        self.count = 0
-        self.root = self._build(tree)
-
-    def _build(self, tree: list) -> tuple[int, str, int, list]:
-        number = self.count
-        self.count += 1
-        children = [self._build(c) for c in tree[1]]
-        return number, tree[0], hash((tree[0], tuple(c[2] for c in children))), children
+        self.count = len(tree)
+        nodes: list[Node] = []
+        open_: list[list] = []  # nodes that lack children, with how many
+        for number, (label, n) in enumerate(tree):
+            x = Node("", label, False, False, False)
+            x.number = number
+            nodes.append(x)
+            if open_:
+                open_[-1][0].children.append(x)
+                open_[-1][1] -= 1
+            open_.append([x, n])
+            while open_ and not open_[-1][1]:
+                open_.pop()
+        for x in reversed(nodes):
+            _measure(x)
+        self.root = nodes[0]
+
+
+def _ends(x: list[Node], y: list[Node]) -> tuple[int, int]:
+    """How many children have equal shapes at the beginning, and at the end after these."""
+    most = min(len(x), len(y))
+    i = 0
+    while i < most and x[i].shape == y[i].shape:
+        i += 1
+    j = 0
+    while j < most - i and x[-1 - j].shape == y[-1 - j].shape:
+        j += 1
+    return i, j
 
 
-def _weight(a: Node, b: tuple, memo: dict) -> int:
-    """Matched nodes of two trees by simple tree matching."""
-    if a.label != b[1]:
-        return 0
-    key = (a.shape, b[2])
-    if key not in memo:
-        memo[key] = 1 + sum(w for _, _, w in _pairs(a, b, memo))
-    return memo[key]
+def _weight(a: Node, b: Node, memo: dict) -> int:
+    """Matched nodes of two trees by simple tree matching; an explicit stack, for trees of any depth."""
+    todo = [(a, b)]
+    while todo:
+        c, d = todo[-1]
+        key = (c.shape, d.shape)
+        if key in memo:
+            todo.pop()
+        elif c.label != d.label:
+            memo[key] = 0
+        elif c.shape == d.shape:
+            memo[key] = c.size
+        else:
+            i, j = _ends(c.children, d.children)
+            x, y = ({e.shape: e for e in z.children[i : len(z.children) - j]} for z in (c, d))
+            lacking = [(e, f) for e in x.values() for f in y.values() if e.label == f.label and (e.shape, f.shape) not in memo]
+            if lacking:
+                todo += lacking
+            else:
+                memo[key] = 1 + sum(w for _, _, w in _pairs(c, d, memo))
+    return memo[a.shape, b.shape]
+
+
+def _weights(x: list[Node], y: list[Node], memo: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights by shape of x and of y, and the shapes' numbers in both lists."""
+    first, second = ({n.shape: n for n in z} for z in (x, y))
+    w = np.array([[_weight(c, d, memo) if c.label == d.label else 0 for d in second.values()] for c in first.values()], np.int64)
+    places = [{shape: k for k, shape in enumerate(z)} for z in (first, second)]
+    return w, np.array([places[0][c.shape] for c in x]), np.array([places[1][d.shape] for d in y])
+
+
+def _last_row(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The best weights of matching all of x with each beginning of y, in two rows."""
+    best = np.zeros(len(y) + 1, np.int64)
+    for c in x:
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + w[c][y]))
+    return best
+
+
+def _middle(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """The best ordered matching of two lists of shapes, as places."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if a == b or c == d:
+            continue
+        if b - a > 1 and (b - a) * (d - c) > CELLS:
+            half = (a + b) // 2
+            split = c + int(np.argmax(_last_row(w, x[a:half], y[c:d]) + _last_row(w, x[half:b][::-1], y[c:d][::-1])[::-1]))
+            todo += [(a, half, c, split), (half, b, split, d)]
+            continue
+        best = np.zeros((b - a + 1, d - c + 1), np.int64)
+        for p in range(b - a):
+            best[p + 1, 1:] = np.maximum.accumulate(np.maximum(best[p, 1:], best[p, :-1] + w[x[a + p]][y[c:d]]))
+        p, q = b - a, d - c
+        while p and q:
+            if best[p, q] == best[p - 1, q]:
+                p -= 1
+            elif best[p, q] == best[p, q - 1]:
+                q -= 1
+            else:
+                p, q = p - 1, q - 1
+                out.append((a + p, c + q))
+    return out
 
 
-def _pairs(a: Node, b: tuple, memo: dict) -> list[tuple[Node, tuple, int]]:
+def _pairs(a: Node, b: Node, memo: dict) -> list[tuple[Node, Node, int]]:
     """The matched children of two matched nodes, with the nodes that each match brings."""
-    x, y = a.children, b[3]
-    i, n, m = 0, len(x), len(y)
-    out: list[tuple[Node, tuple, int]] = []
-    while i < n and i < m and x[i].shape == y[i][2]:
-        out.append((x[i], y[i], _weight(x[i], y[i], memo)))
-        i += 1
-    while n > i and m > i and x[n - 1].shape == y[m - 1][2]:
-        n, m = n - 1, m - 1
-        out.append((x[n], y[m], _weight(x[n], y[m], memo)))
-    x, y = x[i:n], y[i:m]
-    if not x or not y:
-        return out
-    if len(x) * len(y) > CELLS:
-        j = 0
-        for c in x:
-            k = next((k for k in range(j, min(j + 50, len(y))) if y[k][1] == c.label), None)
-            if k is not None:
-                out.append((c, y[k], _weight(c, y[k], memo)))
-                j = k + 1
-        return out
-    w = [[_weight(c, d, memo) for d in y] for c in x]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for p in range(1, len(x) + 1):
-        for q in range(1, len(y) + 1):
-            best[p][q] = max(best[p - 1][q], best[p][q - 1], best[p - 1][q - 1] + w[p - 1][q - 1])
-    p, q = len(x), len(y)
-    while p and q:
-        if best[p][q] == best[p - 1][q]:
-            p -= 1
-        elif best[p][q] == best[p][q - 1]:
-            q -= 1
-        else:
-            p, q = p - 1, q - 1
-            out.append((x[p], y[q], w[p][q]))
+    x, y = a.children, b.children
+    i, j = _ends(x, y)
+    out = [(c, d, c.size) for c, d in [*zip(x[:i], y[:i], strict=True), *zip(x[len(x) - j :], y[len(y) - j :], strict=True)]]
+    x, y = x[i : len(x) - j], y[i : len(y) - j]
+    if x and y:
+        w, first, second = _weights(x, y, memo)
+        out += [(x[p], y[q], int(w[first[p], second[q]])) for p, q in _middle(w, first, second)]
     return out
 
 
@@ -291,10 +354,10 @@ def align(root: Node, reference: Reference) -> dict[int, int]:
     """id of each aligned node -> number of its reference node."""
     found: dict[int, int] = {}
     memo: dict = {}
-    todo = [(root, reference.root)] if root.label == reference.root[1] else []
+    todo = [(root, reference.root)] if root.label == reference.root.label else []
     while todo:
         a, b = todo.pop()
-        found[id(a)] = b[0]
+        found[id(a)] = b.number
         todo += [(c, d) for c, d, w in _pairs(a, b, memo) if w]
     return found
 

@@ -269,6 +269,40 @@ def test_template_is_what_stays_the_same(spark):
     assert {r.page_id: r.text for r in html_extract.page_texts(df).collect()} == {i: f"Story {i}\n\nMore of {i * 7}" for i in range(8)}
 
 
+def test_long_and_deep_pages_are_aligned(spark):
+    """A constant part after hundreds of unlike siblings, and one nested 80 deep."""
+    rng = random.Random(4)
+
+    def flat(i):
+        side = lambda s: "".join(f"<div class={rng.choice('abc')}><{t}>Story {i} {s} {j}</{t}></div>" for j, t in enumerate(rng.choices(["p", "h2"], k=rng.randrange(220, 240))))
+        return f"<body>{side('x')}<div class=mark>{''.join(f'<p>Fixed {j}</p>' for j in range(60))}</div>{side('y')}</body>"
+
+    rows = [(i, "http://flat.x/", flat(i)) for i in range(6)]
+    rows += [(i, "http://deep.x/", "<body>" + "<div>" * 80 + f"<p>Fixed</p><p>Story {i}</p>") for i in range(6, 12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.page_texts(df).collect()}
+    assert not any("Fixed" in t for t in got.values())
+    assert all(got[i].count("Story") == rows[i][2].count("Story") for i in range(12))
+
+
+def test_halved_lists_are_matched_as_well_as_whole_ones(monkeypatch):
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        w = rng.integers(0, 4, (5, 6))
+        x, y = rng.integers(0, 5, rng.integers(1, 30)), rng.integers(0, 6, rng.integers(1, 30))
+        found = []
+        for cells in (40_000, 4):
+            monkeypatch.setattr(html_extract, "CELLS", cells)
+            pairs = sorted(html_extract._middle(w, x, y))
+            assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:]))  # noqa: B905
+            found.append(sum(w[x[p], y[q]] for p, q in pairs))
+        best = np.zeros((len(x) + 1, len(y) + 1), int)
+        for p in range(len(x)):
+            for q in range(len(y)):
+                best[p + 1, q + 1] = max(best[p, q + 1], best[p + 1, q], best[p, q] + w[x[p], y[q]])
+        assert found == [best[-1, -1]] * 2
+
+
 def test_classifier_on_held_out_labels(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     held = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(4)) == 0
