@@ -6,7 +6,8 @@
 2. The entries' keys are counted by prefix, and directory doubling splits every bucket with more entries than its
    capacity. Only these counts, 2**MAX_DEPTH at most, reach the driver.
 3. The entries are written to the shared folder, one folder per bucket, sorted by key.
-4. Owner tasks take key ranges: each row finds its entry by key and text digest.
+4. Each row finds its entry by a join on key and text digest over all buckets: the grouping has decided by then, and
+   directory and buckets are the index's layout alone.
 
 Defined results: null text counts as empty; an empty table gives no rows; of equal texts the largest doc_id stays, and
 rows that repeat both doc_id and text are kept or dropped together; a null doc_id is smaller than any other, and rows
