@@ -1,11 +1,11 @@
-"""Queries of operators 1, 2, 4, 6 and 7."""
+"""Queries of operators 1, 2, 4, 6, 7 and 10, and the DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import best_fit, html_extract, near_dedup, quality, suffix_decontam
+from corpusloom.llm import best_fit, html_extract, line_dedup, near_dedup, quality, suffix_decontam
 from corpusloom.storage import materialize
 
 #: The tokenizer definition that op2 uses; any byte-level definition can be given to the operator.
@@ -44,5 +44,37 @@ def op6_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return suffix_decontam.contamination_digest(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_best_fit_packing, op4_near_dedup, op6_decontamination, op7_quality_classifier)}
-ORACLES: dict[str, str] = {}
+def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return line_dedup.dedup_digest(spark.read.parquet(f"{d}/documents.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_best_fit_packing, op4_near_dedup, op6_decontamination, op7_quality_classifier, op10_line_dedup)}
+
+_WHITE = r"[ \t\n\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_LEAST = line_dedup.MIN_WORDS
+# c: cut units; n: normalised ones; u: units, equal ones in a row as one; e: entries (k: 0 alone, 1 with the next unit);
+# r: repeated entries; g: units that go; z: spans.
+_OP10 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+     c AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i
+           FROM (SELECT doc_id, string_split(regexp_replace(t, '({line_dedup.ENDS})', '\\1' || chr(1), 'g'), chr(1)) AS p FROM d)),
+     n AS (SELECT doc_id, i, sum(length(x)) OVER w AS b, (sum(length(x)) OVER w) - length(x) AS a, trim(regexp_replace(lower(x), '{_WHITE}', ' ', 'g')) AS norm
+           FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+     m AS (SELECT *, CASE WHEN norm = lag(norm) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS fresh FROM n WHERE norm <> ''),
+     f AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS q FROM m),
+     u AS (SELECT doc_id, q, norm, min(a) AS a, max(b) AS b, greatest(len(string_split(norm, ' ')), length(norm) // {line_dedup.CHARS_A_WORD}) AS words FROM f GROUP BY doc_id, q, norm),
+     e AS (SELECT doc_id, q, 0 AS k, norm AS key FROM u WHERE words >= {_LEAST}
+           UNION ALL SELECT doc_id, q, 1, norm || chr(10) || after FROM (SELECT *, lead(norm) OVER (PARTITION BY doc_id ORDER BY q) AS after FROM u) WHERE after IS NOT NULL),
+     r AS (SELECT doc_id, q, k FROM (SELECT *, min(doc_id) OVER (PARTITION BY key) AS first, row_number() OVER (PARTITION BY key, doc_id ORDER BY q) AS again FROM e) WHERE doc_id > first OR again > 1),
+     h AS (SELECT doc_id, q, q - row_number() OVER (PARTITION BY doc_id ORDER BY q) AS run FROM r WHERE k = 1),
+     j AS (SELECT doc_id, run, min(q) AS a, max(q) + 1 AS b FROM h GROUP BY doc_id, run),
+     g AS (SELECT doc_id, q FROM r WHERE k = 0
+           UNION SELECT u.doc_id, u.q FROM u JOIN (SELECT j.doc_id, j.a, j.b FROM j JOIN u ON u.doc_id = j.doc_id AND u.q BETWEEN j.a AND j.b GROUP BY ALL HAVING sum(words) >= {_LEAST}) x ON u.doc_id = x.doc_id AND u.q BETWEEN x.a AND x.b),
+     y AS (SELECT g.doc_id, g.q, u.a, u.b, g.q - row_number() OVER (PARTITION BY g.doc_id ORDER BY g.q) AS run FROM g JOIN u ON u.doc_id = g.doc_id AND u.q = g.q),
+     z AS (SELECT doc_id, min(a)::BIGINT AS a, max(b)::BIGINT AS b FROM y GROUP BY doc_id, run),
+     k AS (SELECT doc_id, count(*) AS n_removed, sum(b - a)::BIGINT AS removed_chars, string_agg(a || ':' || b, ',' ORDER BY a) AS spans, list(a ORDER BY a) AS la, list(b ORDER BY a) AS lb FROM z GROUP BY doc_id)
+SELECT doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed_chars, 0) AS removed_chars, coalesce(spans, '') AS spans,
+       sha256(CASE WHEN n_removed IS NULL THEN t ELSE array_to_string(list_transform(range(1, len(la) + 2), lambda i: t[(CASE WHEN i = 1 THEN 0 ELSE lb[i - 1] END) + 1 : (CASE WHEN i > len(la) THEN length(t) ELSE la[i] END)]), '') END) AS clean_sha256
+FROM d LEFT JOIN k USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op10_line_dedup": _OP10}

@@ -1,11 +1,11 @@
-"""Queries of operators 3, 5, 8, 9 and 10, and their DuckDB SQL."""
+"""Queries of operators 3, 5, 8 and 9, and their DuckDB SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_format, exact_dedup, line_dedup, secret_scan, sharding
+from corpusloom.llm import chat_format, exact_dedup, secret_scan, sharding
 from corpusloom.storage import scratch_path
 
 #: Arrivals that op8 appends the table in.
@@ -52,11 +52,7 @@ def op9_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return secret_scan.scan_digest(_documents(spark, d))
 
 
-def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return line_dedup.dedup_digest(_documents(spark, d))
-
-
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_chat_formatting, op8_sharding, op9_secret_scan, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_chat_formatting, op8_sharding, op9_secret_scan)}
 
 _ESCAPED = "regexp_replace(regexp_replace(replace({}, '\\', '\\s'), '<(\\||/?s>|</?SYS>>)', '\\\\l\\1', 'g'), '\\[(/?INST\\])', '\\\\b\\1', 'g')"
 _TURNS = "(SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'))"
@@ -95,22 +91,9 @@ def _op9_sql() -> str:
     )
 
 
-_NORM = "trim(regexp_replace(lower(line), '[ \\t\\r\\f]+', ' ', 'g'), ' ')"
-_OP10 = f"""
-WITH l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i
-           FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
-     u AS (SELECT *, (coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start,
-                  md5({_NORM}) AS digest, len(string_split({_NORM}, ' ')) >= {line_dedup.MIN_WORDS} AS long FROM l),
-     r AS (SELECT *, long AND row_number() OVER (PARTITION BY long, digest ORDER BY doc_id, i) > 1 AS gone FROM u),
-     g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(sum(length(line)) FILTER (gone), 0)::BIGINT AS removed_chars,
-                  coalesce(string_agg(start || ':' || (start + length(line)), ',' ORDER BY i) FILTER (gone), '') AS spans,
-                  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS clean FROM r GROUP BY doc_id)
-SELECT doc_id, n_removed, removed_chars, spans, sha256(clean) AS clean_sha256 FROM g"""
-
 ORACLES = {
     "op3_exact_dedup": "SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))",
     "op5_chat_formatting": f"SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(length('<|turn|>' || role || chr(10) || {_ESCAPED.format('text')} || '<|end|>' || chr(10)))::BIGINT AS formatted_chars FROM {_TURNS} GROUP BY conv_id",
     "op8_sharding": "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, sha256(coalesce(text, '')) AS text_sha256, source, lang FROM documents",
     "op9_secret_scan": _op9_sql(),
-    "op10_line_dedup": _OP10,
 }

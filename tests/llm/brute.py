@@ -61,3 +61,49 @@ def base_spans(text):
     spans += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
     spans += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
     return sorted(spans)
+
+
+def passages(rows, least=25):
+    """{id: (spans, what is left)} of (id, text), by looking every pair of units up in all earlier documents."""
+    cut = {}
+    for i, t in rows:
+        units, at = [], 0
+        for piece in re.findall(r"(?s)(?:(?!\n|[\u3002\uff01\uff1f]|[.!?][ \t\r\f]).)*(?:[.!?][ \t\r\f]|[\n\u3002\uff01\uff1f]|$)", t or ""):
+            norm = " ".join(piece.lower().split())
+            if norm and units and units[-1][0] == norm:
+                units[-1] = (norm, units[-1][1], at + len(piece))
+            elif norm:
+                units.append((norm, at, at + len(piece)))
+            at += len(piece)
+        cut[i] = units
+    size = lambda n: max(len(n.split(" ")), len(n) // 8)
+    out = {}
+    for i, t in rows:
+        u = cut[i]
+        n = len(u)
+        names = [x[0] for x in u]
+        alone, pairs = set(), set()
+        for j, other in cut.items():
+            if j < i:
+                alone |= {x[0] for x in other}
+                pairs |= {(a[0], b[0]) for a, b in zip(other, other[1:])}  # noqa: B905
+        gone = [False] * n
+        for k in range(n):
+            if size(names[k]) >= least and (names[k] in alone or names[k] in names[:k]):
+                gone[k] = True
+        late = [(names[k], names[k + 1]) in pairs or any((names[m], names[m + 1]) == (names[k], names[k + 1]) for m in range(k)) for k in range(n - 1)]
+        for a in range(n):
+            for b in range(a + 1, n):
+                if all(late[a:b]) and sum(map(size, names[a : b + 1])) >= least:
+                    gone[a : b + 1] = [True] * (b + 1 - a)
+        spans = []
+        for k in range(n):
+            if gone[k] and k and gone[k - 1]:
+                spans[-1] = (spans[-1][0], u[k][2])
+            elif gone[k]:
+                spans.append((u[k][1], u[k][2]))
+        left, at = "", 0
+        for a, b in spans:
+            left, at = left + t[at:a], b
+        out[i] = (spans, left + (t or "")[at:])
+    return out

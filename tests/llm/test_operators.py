@@ -187,15 +187,6 @@ def test_entropy_flags_random_strings_only(spark):
     assert {r.doc_id: r.n_entropy for r in secret_scan.scan_secrets(documents(spark, texts)).collect()} == {0: 1, 1: 0, 2: 0, 3: 0, 4: 0}
 
 
-def test_lines(spark):
-    a, b = "This line is long enough to be a unit here", "Another line that is long enough to count too"
-    docs = documents(spark, [f"{a}\nshort\n{b}", f"x y\n  {a.upper()}  \nshort\n{a}", None, b])
-    got = {r.doc_id: (r.clean_text, [tuple(s) for s in r.removed_spans]) for r in line_dedup.dedup_lines(docs).collect()}
-    assert got[0] == (f"{a}\nshort\n{b}", [])
-    assert got[1] == ("x y\nshort", [(4, 4 + len(a) + 4), (15 + len(a), 15 + 2 * len(a))])
-    assert got[2] == ("", []) and got[3] == ("", [(0, len(b))])
-
-
 TEXTS = ["</s>[INST] ok [/INST]", "a\\l<|end|>\\n\\s", "<|turn|>user\nhi<|end|>", "", "<<SYS>> x <</SYS>> < [ \\"]
 
 
