@@ -15,9 +15,9 @@ corpus, and passages of repeated units removed; the earliest occurrence stays.
 
 Words are counted by blanks; a unit with fewer, as in scripts without blanks, counts one for each CHARS_A_WORD characters.
 
-Each task combines a digest's entries before the shuffle, and a digest leaves a document once. The entries of digests with
-over 1/HOT of all repeated entries are found by a broadcast of these (HOT at most); all others by a shuffle join. Units are
-cut again only in the documents that hold a repeated entry.
+Each task combines a digest's entries before the shuffle, and a digest leaves a document once. The entries of very common
+digests are found by a broadcast of these, all others by a shuffle join (skew_join()). Units are cut again only in the
+documents that hold a repeated entry.
 
 Defined results: null text counts as empty and has no unit; an empty table gives no rows; rows that repeat a doc_id,
 whether with the same text or another one, are no earlier than each other: a passage that only they share stays in all
@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm.common import LEAST_HOT, skew_join
 from corpusloom.llm.hashing import slices
 from corpusloom.llm.worker import frugal, prepare
 from corpusloom.schemas import require
@@ -43,8 +44,6 @@ from corpusloom.storage import drop_tables, materialize
 
 #: Words of a removed run at least, and characters that count as a word where a unit has few blanks.
 MIN_WORDS, CHARS_A_WORD = 25, 8
-#: Digests that are joined by broadcast at most.
-HOT = 10_000
 # What ends a unit (a sentence end takes the blank after it), and white space.
 ENDS = r"[\n。！？]|[.!?][ \t\r\f]"
 END = re.compile(ENDS)
@@ -138,7 +137,7 @@ def _entries(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
     return docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), text).mapInArrow(frugal(run), f"id {kind}, h long, own boolean, places array<int>, digests array<binary>")
 
 
-def repeated_entries(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, hot: int = HOT) -> DataFrame:
+def repeated_entries(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, least_hot: int = LEAST_HOT) -> DataFrame:
     """(id, h, places): the repeated entries of each text (h: its hash) that has some; a written table.
 
     places lacks the entries that a text repeats itself; a text with such entries alone has no place here.
@@ -148,14 +147,9 @@ def repeated_entries(docs: DataFrame, key: str = "doc_id", text: str = "text", m
     found = materialize(_entries(docs, key, text, min_words).where("id IS NOT NULL OR own"), "entries")
     each = found.where("id IS NOT NULL").select("id", "h", F.explode(F.arrays_zip("places", "digests")).alias("e")).select("id", "h", F.col("e.places").alias("place"), F.col("e.digests").alias("digest"))
     groups = materialize(each.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-digests")
-    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    limit = total // hot
-    often = F.broadcast(groups.where(F.col("n") > limit).select("digest", F.col("first").alias("first_hot")))  # fewer than hot rows, as n sums to total
-    told = each.join(often, "digest", "left")
-    late = told.where("id > first_hot").select("id", "h", "place")
-    rest = told.where("first_hot IS NULL").drop("first_hot").join(groups.where(F.col("n") <= limit).select("digest", "first"), "digest").where("id > first").select("id", "h", "place")
+    late = skew_join(each, groups, "digest", "n", least=least_hot).where("id > first").select("id", "h", "place")
     own = found.where("own").select("id", "h", F.lit(None).cast("int").alias("place"))
-    places = late.unionByName(rest).unionByName(own).groupBy("id", "h").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    places = late.unionByName(own).groupBy("id", "h").agg(F.sort_array(F.collect_set("place")).alias("places"))
     out = materialize(places, "repeated-entries")
     drop_tables(found, groups)
     return out

@@ -1,6 +1,6 @@
 """MinHash near-deduplication by fast similarity sketches, bands and exact verification.
 
-1. Texts become sets of word shingles. Equal sets form a class; its smallest id stands for it from here on.
+1. Texts become sets of word shingles. Equal sets form a class, whatever ids its rows have; one row stands for it.
 2. A sketch has a number of places. In round i every element is hashed to a place with a value in [i, i+1), and a place
    keeps its smallest value; rounds end when every place is filled. Rounds from that number on send all elements to one
    place each, so that twice the number of places in rounds always suffices. Two sets agree in a place with the
@@ -14,18 +14,22 @@
 5. Links are joined to components by smallest-label steps with pointer jumping. Buckets that still hold several
    components get a second leader, chosen by hash. What then is still mixed is compared between components, sketch by
    sketch, in blocks of BLOCK classes inside a task; only pairs that the sketches allow leave it, once each, and are
-   confirmed. So no candidate pair of different components is left out, and no group's pairs are all emitted.
+   confirmed. So no candidate pair of different components is left out, and no group's pairs are all emitted. A bucket of
+   c classes that is still mixed sends each class to c/BLOCK tasks: the rows dealt grow with c*c/BLOCK there.
 
-Defined results: null and empty texts have the empty set, are linked with nothing and kept; rows that repeat an id count
-as one document in each of its rows; a row without an id takes the component of the documents with its set and goes, or
-else has a null component and stays; an empty table gives no rows; further columns are ignored.
+Buckets, leaders, nodes and labels with very many rows are joined by broadcast where their rows lie (skew_join()).
+
+Defined results: null and empty texts have the empty set, are linked with nothing and kept; a row is known by its id and
+its text, so that different texts under one id are linked each for itself, and rows that repeat both have equal results;
+rows without an id are linked as any others, take the smallest id that their links reach and go, or else have a null
+component and stay; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import BROADCAST_IDS
+from corpusloom.llm.common import BROADCAST_IDS, skew_join
 from corpusloom.llm.hashing import BASE, mix, shingle_sets, slices
 from corpusloom.llm.worker import frugal, prepare
 from corpusloom.schemas import require
-from corpusloom.storage import materialize
+from corpusloom.storage import drop_tables, materialize
 
 #: Words of a shingle and the similarity in percent, unless the caller says otherwise.
 WORDS, PERCENT = 5, 80
@@ -100,46 +104,73 @@ def agree(one: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, digest, bands): set size, digest of the set, bucket keys."""
+    """(rid, id, h, n, digest, bands, text_sha256): a number for the row, its id, hash of its text, set size, digest of the
+    set, bucket keys; a written table."""
     require(docs, key, text)
     prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
+    names = ["id", "h", "n", "digest", "bands", "text_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 n, digest, bands = [], [], []
-                for u in shingle_sets(part.column(1).to_pylist(), words):
+                texts = part.column(2).to_pylist()
+                for u in shingle_sets(texts, words):
                     n.append(len(u))
-                    digest.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
+                    digest.append(_digest(u))
                     bands.append(band_keys(sketch(u)) if len(u) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "digest", "bands"])
+                sha = [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sha)], names)
 
-    return docs.select(key, text).mapInArrow(frugal(run), f"id {kind}, n long, digest binary, bands array<long>")
+    made = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), text).mapInArrow(frugal(run), f"id {kind}, h long, n long, digest binary, bands array<long>, text_sha256 string")
+    return materialize(made.withColumn("rid", F.monotonically_increasing_id()), "sketches")
 
 
-def estimates(docs: DataFrame, ids: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, places) of the documents in ids: 8 bits of each place of the larger sketch; a written table."""
-    kind = docs.schema[key].dataType.simpleString()
+def _digest(u: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None
+
+
+def _of_classes(docs: DataFrame, who: DataFrame, words: int, key: str, text: str, make: Callable[[np.ndarray], bytes], name: str) -> DataFrame:
+    """(c, u): what make gives for the set of each class in who (written: c, id, h, digest); a written table.
+
+    The texts are found by id and hash, and their sets hold the digest; who is broadcast only behind a count.
+    """
+    few = who.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    same = docs[key].eqNullSafe(who["id"]) & (F.xxhash64(docs[text]) == who["h"])
+    found = docs.join(F.broadcast(who) if few else who, same).select(who["c"], who["digest"], docs[text])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                places = [(mix(sketch(u, ESTIMATE)) & np.uint64(0xFF)).astype(np.uint8).tobytes() for u in shingle_sets(part.column(1).to_pylist(), words)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(places, pa.binary())], ["id", "places"])
+                c, made = [], []
+                for number, digest, u in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), shingle_sets(part.column(2).to_pylist(), words), strict=True):
+                    if digest == _digest(u):
+                        c.append(number)
+                        made.append(make(u))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(made, pa.binary())], ["c", "u"])
+
+    made = materialize(found.mapInArrow(frugal(run), "c long, u binary"), name)
+    if made.count() == who.count():
+        return made
+    return materialize(made.dropDuplicates(["c"]), name)  # rows that repeat id and text
 
-    return materialize(_of_ids(docs.select(key, text), ids, key).mapInArrow(frugal(run), f"id {kind}, places binary").dropDuplicates(["id"]), "estimates")
 
+def _with_both(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """(a, b, ua, ub) of pairs of a member a and its leader b (written), and values (c, u).
 
-def _of_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """docs' rows whose key is in ids (written, column id); broadcast only behind a count."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, docs[key] == ids["id"], "left_semi")
+    The members' values travel to the leaders', which go to no more tasks than they have to: those of many pairs are
+    broadcast behind a check of their bytes.
+    """
+    led = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    leaders = materialize(values.select(F.col("c").alias("b"), F.col("u").alias("ub")).join(led, "b"), "leaders")
+    members = pairs.join(values.select(F.col("c").alias("a"), F.col("u").alias("ua")), "a")
+    return skew_join(members, leaders, "b", "n", F.octet_length("ub"), write=True).select("a", "b", "ua", "ub")
 
 
 def _likely(pairs: DataFrame, places: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sketches allow the similarity."""
-    both = pairs.join(places.toDF("a", "pa"), "a").join(places.toDF("b", "pb"), "b")
+    """The pairs (a, b) whose sketches allow the similarity; a written table."""
+    pairs = materialize(pairs, "pairs")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -147,24 +178,14 @@ def _likely(pairs: DataFrame, places: DataFrame, percent: int) -> DataFrame:
                 a, b = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint8).reshape(-1, ESTIMATE) for i in (2, 3))
                 yield x.select(["a", "b"]).filter(pa.array(agree(a, b, percent)))
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "pa", "pb").mapInArrow(frugal(keep), f"a {kind}, b {kind}")
-
+    return materialize(_with_both(pairs, places).mapInArrow(frugal(keep), "a long, b long"), "likely-pairs")
 
-def _confirmed(docs: DataFrame, likely: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on their full sets; a written table."""
-    prepare(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
-    likely = materialize(likely, "likely-pairs")
-    ids = materialize(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                raw = [u.tobytes() for u in shingle_sets(part.column(1).to_pylist(), words)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], ["id", "u"])
 
-    full = _of_ids(docs.select(key, text), ids, key).mapInArrow(frugal(sets), f"id {kind}, u binary")
+def _confirmed(docs: DataFrame, likely: DataFrame, who: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
+    """The pairs (a, b) of likely (written) with 100 * intersection >= percent * union on their full sets; a written table."""
+    ids = likely.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    some = materialize(who.join(ids, "c", "left_semi"), "candidates")
+    full = _of_classes(docs, some, words, key, text, lambda u: u.tobytes(), "sets")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -176,26 +197,28 @@ def _confirmed(docs: DataFrame, likely: DataFrame, words: int, percent: int, key
                 ok.append(100 * inter >= percent * (len(u) + len(v) - inter))
             yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    both = likely.join(full.toDF("a", "ua"), "a").join(full.toDF("b", "ub"), "b").select("a", "b", "ua", "ub")
-    return materialize(both.mapInArrow(frugal(confirm), f"a {kind}, b {kind}").distinct(), "links")
+    links = materialize(_with_both(likely, full).mapInArrow(frugal(confirm), "a long, b long").distinct(), "links")
+    drop_tables(some, full)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that links lead to, for every id in links (a, b); a written table.
 
-    Each step takes the smallest label among neighbours and then the label of the label, until none changes.
+    Each step takes the smallest label among neighbours and then the label of the label, until none changes. A node with
+    many links, and a label with many nodes, is joined by broadcast.
     """
-    edges = materialize(links.union(links.select("b", "a")), "edges")
-    labels = materialize(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).toDF("id", "l"), "labels")
+    edges = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    labels = materialize(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l"), F.count(F.lit(1)).alias("n")).toDF("id", "l", "n"), "labels")
     while True:
-        near = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("l").alias("m")).toDF("id", "m")
-        lower = labels.join(near, "id").select("id", F.col("l").alias("old"), F.least("l", "m").alias("l"))
-        up = lower.select(F.col("id").alias("up"), F.col("l").alias("top"))
-        jumped = lower.join(up, lower["l"] == up["up"]).select("id", "old", F.least("l", "top").alias("l"))
-        step = materialize(jumped, "labels")
-        labels = step.select("id", "l")
+        near = skew_join(edges, labels.select(F.col("id").alias("b"), "l", "n"), "b", "n").groupBy("a").agg(F.min("l").alias("m")).toDF("id", "m")
+        lower = materialize(labels.join(near, "id").select("id", "n", F.col("l").alias("old"), F.least("l", "m").alias("l")), "labels")
+        tops = lower.groupBy("l").agg(F.count(F.lit(1)).alias("nodes")).join(lower.select(F.col("id").alias("l"), F.col("l").alias("top")), "l")
+        step = materialize(skew_join(lower, materialize(tops, "tops"), "l", "nodes").select("id", "n", "old", F.least("l", "top").alias("l")), "labels")
+        drop_tables(lower)
+        labels = step.select("id", "l", "n")
         if not step.where("l < old").head(1):
-            return labels.toDF("id", "component")
+            return labels.select("id", F.col("l").alias("component"))
 
 
 def _sized(percent: int) -> str:
@@ -204,17 +227,20 @@ def _sized(percent: int) -> str:
 
 
 def _mixed(shared: DataFrame, label: DataFrame) -> DataFrame:
-    """(bucket, id, n, component, c) of buckets that hold several components; a written table."""
-    member = shared.select("bucket", "id", "n", "c").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    return materialize(member.join(mixed, "bucket", "left_semi").select("bucket", "id", "n", "component", "c"), "mixed-buckets")
+    """(bucket, id, n, component, c) of buckets that hold several components; a written table. c: the bucket's rows."""
+    member = materialize(shared.select("bucket", "id", "n").join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), "members")
+    sizes = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi").select("bucket", "c")
+    mixed = materialize(skew_join(member, materialize(sizes, "mixed"), "bucket", "c").select("bucket", "id", "n", "component", "c"), "mixed-buckets")
+    drop_tables(member)
+    return mixed
 
 
 def _with_leaders(rows: DataFrame, rank: Column, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of each class and its bucket's leader, the one of the largest rank."""
-    best = rows.withColumn("rank", rank).groupBy("bucket").agg(F.max_by("id", "rank").alias("leader"), F.max_by("n", "rank").alias("nb"), F.max_by("component", "rank").alias("cb"))
-    led = rows.join(best, "bucket").withColumn("na", F.col("n")).where(f"component <> cb AND {_sized(percent)}")
-    return led.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    rows = rows.withColumn("rank", rank)
+    best = rows.groupBy("bucket").agg(F.max_by("id", "rank").alias("leader"), F.max_by("n", "rank").alias("nb"), F.max_by("component", "rank").alias("cb"), F.count(F.lit(1)).alias("rows"))
+    led = skew_join(rows, materialize(best, "leaders"), "bucket", "rows").withColumn("na", F.col("n")).where(f"component <> cb AND {_sized(percent)}")
+    return led.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
 
 
 def cross_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -239,12 +265,13 @@ def cross_pairs(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def _across(rest: DataFrame, reps: DataFrame, places: DataFrame, percent: int) -> DataFrame:
-    """The pairs between components of mixed buckets that sketches allow.
+    """The pairs between components of mixed buckets that sketches allow; a written table.
 
     A bucket of c classes is cut into c/BLOCK blocks, and a task gets two blocks at most.
     """
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     own = rest.withColumn("nb", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    whose = materialize(own.groupBy("id").agg(F.sum("nb").alias("copies")).join(reps.select(F.col("c").alias("id"), "bands"), "id").join(places.select(F.col("c").alias("id"), F.col("u").alias("places")), "id"), "mixed-classes")
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     task = dealt.select(
         "bucket", "id", "n", "component",
@@ -252,37 +279,42 @@ def _across(rest: DataFrame, reps: DataFrame, places: DataFrame, percent: int) -
         F.greatest("mine", "other").alias("y"),
         F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    kind = rest.schema["id"].dataType.simpleString()
-    full = task.join(reps.select("id", "bands").join(places, "id"), "id")
-    return full.groupBy("bucket", "x", "y").applyInPandas(lambda rows: cross_pairs(rows, percent), f"a {kind}, b {kind}")
+    full = task.join(whose.drop("copies"), "id")
+    return materialize(full.groupBy("bucket", "x", "y").applyInPandas(lambda rows: cross_pairs(rows, percent), "a long, b long").distinct(), "likely-pairs")
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id, kept), one row per row of docs."""
-    sk = materialize(sketches(docs, words, key, text), "sketches")
-    classes = sk.where("n > 0").groupBy("digest").agg(F.min("id").alias("cid"))
-    reps = materialize(sk.where("n > 0").join(classes.select(F.col("cid").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "classes")
-    rows = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = materialize(rows.join(buckets, "bucket"), "buckets")
+    """(key, n_shingles, component_id, kept, text_sha256), one row per row of docs."""
+    sk = sketches(docs, words, key, text)
+    classes = materialize(sk.where("n > 0").groupBy("digest").agg(F.min("rid").alias("c"), F.min("id").alias("cid")), "class-ids")
+    reps = materialize(sk.join(classes.select(F.col("c").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "c"), "classes")
+    who = reps.select("c", "id", "h", "digest")
+    rows = reps.select(F.col("c").alias("id"), "n", F.explode("bands").alias("bucket"))
+    buckets = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "bucket-sizes")
+    shared = materialize(skew_join(rows, buckets, "bucket", "c"), "buckets")
 
     central = materialize(shared.groupBy("id").agg(F.least(F.sum("c"), F.lit(1 << 30)).alias("score")), "central")
-    places = estimates(docs, central.select("id"), words, key, text)
+    near = materialize(who.join(central.select(F.col("id").alias("c")), "c", "left_semi"), "sketched")
+    places = _of_classes(docs, near, words, key, text, lambda u: (mix(sketch(u, ESTIMATE)) & np.uint64(0xFF)).astype(np.uint8).tobytes(), "estimates")
     scored = shared.join(central, "id").withColumn("component", F.col("id"))
     rank = F.shiftleft("score", 32) + F.pmod(F.xxhash64("id"), F.lit(1 << 32))
-    links = _confirmed(docs, _likely(_with_leaders(scored, rank, percent), places, percent), words, percent, key, text)
+    links = _confirmed(docs, _likely(_with_leaders(scored, rank, percent), places, percent), who, words, percent, key, text)
     label = components(links)
 
     rest = _mixed(shared, label)
     second = _with_leaders(rest, F.xxhash64("id", "bucket"), percent)
-    links = links.union(_confirmed(docs, _likely(second, places, percent), words, percent, key, text))
+    links = links.union(_confirmed(docs, _likely(second, places, percent), who, words, percent, key, text))
     label = components(links)
 
-    more = _confirmed(docs, _across(_mixed(rest, label), reps, places, percent), words, percent, key, text)
+    more = _confirmed(docs, _across(_mixed(rest, label), reps, places, percent), who, words, percent, key, text)
     if more.head(1):
         label = components(links.union(more))
 
-    of_class = classes.join(label, classes["cid"] == label["id"], "left").select("digest", F.coalesce("component", "cid").alias("component_id"))
-    found = sk.select("id", "n", "digest").join(of_class, "digest", "left")
-    whose = F.coalesce("component_id", "id")
-    return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), whose.alias("component_id"), F.col("id").eqNullSafe(whose).alias("kept"))
+    member = classes.join(label, classes["c"] == label["id"], "left").select("digest", "cid", F.coalesce("component", "c").alias("component"))
+    least = member.groupBy("component").agg(F.min("cid").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    of_class = materialize(skew_join(member, materialize(least, "components"), "component", "nodes").join(sk.where("n > 0").groupBy("digest").agg(F.count(F.lit(1)).alias("rows")), "digest").select("digest", "component_id", "rows"), "component-ids")
+    drop_tables(buckets, shared, central, near, places, rest)
+    columns = [F.col("id").alias(key), F.col("n").alias("n_shingles")]
+    found = skew_join(sk.where("n > 0").select("id", "n", "digest", "text_sha256"), of_class, "digest", "rows").select(*columns, "component_id", "text_sha256")
+    none = sk.where("n = 0").select(*columns, F.col("id").alias("component_id"), "text_sha256")
+    return found.unionByName(none).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))

@@ -37,9 +37,9 @@ def corpus(seed):
     return rows + [(101, rows[3][1]), (102, ""), (103, None), (104, " \n \n"), (105, passages[0]), (106, passages[0] + "\n" + passages[0])]
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 10_000), (2, 10_000), (3, 5)])
-def test_passages_match_brute_force(spark, monkeypatch, seed, hot):
-    monkeypatch.setattr(line_dedup.repeated_entries, "__defaults__", (*line_dedup.repeated_entries.__defaults__[:-1], hot))
+@pytest.mark.parametrize("seed,least_hot", [(1, 500), (2, 500), (3, 5)])
+def test_passages_match_brute_force(spark, monkeypatch, seed, least_hot):
+    monkeypatch.setattr(line_dedup.repeated_entries, "__defaults__", (*line_dedup.repeated_entries.__defaults__[:-1], least_hot))
     rows = corpus(seed)
     got = got_of(spark, rows)
     assert got == brute.passages(rows)

@@ -379,7 +379,18 @@ def test_other_operators_on_rows_without_an_id(spark):
     lines = {(r.doc_id, r.clean_text) for r in line_dedup.dedup_lines(docs).collect()}
     assert lines == {(1, SAME), (None, SAME), (None, "alone here"), (2**60 + 1, "two\nlines"), (None, "")}
     for _, stage in corpus_pipeline.STAGES[1:3]:
-        assert stage(spark, docs, SF).count() == 7
+        left = sorted((str(r.doc_id), r.text or "") for r in stage(spark, docs, SF).collect())
+        assert left == sorted([("1", SAME), ("None", "alone here"), ("None", "alone here"), ("None", ""), *[(str(2**60 + 1), "two\nlines")] * 2])
+
+
+def test_dedup_stages_tell_texts_of_one_id_apart(spark):
+    """A text whose id another, dropped text has too stays."""
+    other = " ".join(f"thing{i}" for i in range(30))
+    rows = [(1, SAME), (1, "beta text two"), (9, SAME), (9, f"{other} x"), (4, other), (9, f"{other} x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS).withColumn("sha", F.lit(1))
+    texts = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
+    assert texts(corpus_pipeline.STAGES[1][1](spark, docs, SF)) == sorted(x for x in rows if x != (1, SAME))
+    assert texts(corpus_pipeline.STAGES[2][1](spark, docs, SF)) == sorted(x for x in rows if x not in [(9, SAME), (9, f"{other} x")])
 
 
 def test_pages_turns_and_shards_without_an_id(spark, tmp_path):
