@@ -2,23 +2,33 @@
 
 quality -> exact_dedup -> near_dedup -> decontaminate -> pack. All but the last return the columns of documents. A
 document that the quality classifier rejects goes; of equal texts the one with the largest doc_id stays, of near
-duplicates the one with the smallest; a document that holds a benchmark window goes; what is left is packed. Rows without
-an id are judged by their text in all stages but those that drop documents by id, the second and third: there they stay.
+duplicates the one with the smallest; a document that holds a benchmark window goes; what is left is packed.
+
+A row is known by its id and its text together: of rows that share an id, those with other texts are judged apart, and
+rows without an id are judged by their text (a copy of a text that has an id goes). Rows that repeat both stay or go
+together.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.llm import best_fit, exact_dedup, near_dedup, quality, suffix_decontam
-from corpusloom.llm.common import without_ids
 from corpusloom.llm.queries_free import tokenizer_definition
 from corpusloom.storage import materialize
 
+#: Dropped rows that are broadcast at most, of 40 bytes each.
+BROADCAST_ROWS = 250_000
+
 
 def _kept(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    gone = materialize(groups.where("NOT kept").select("doc_id").distinct(), "dropped")
-    return without_ids(docs, gone).select(*docs.columns)
+    """docs without the rows that groups (doc_id, text_sha256, kept) drops: a row is known by its id and its text."""
+    dropped = groups.where("NOT kept").select("doc_id", F.unhex("text_sha256").alias("sha")).distinct()
+    gone = materialize(dropped, "dropped")
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    same = docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256)) == gone["sha"])
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti").select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
