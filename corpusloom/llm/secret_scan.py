@@ -28,9 +28,12 @@ ORDER = ("assign", "access", "hex", "entropy")
 
 CANDIDATE, WINDOW = r"([A-Za-z0-9+/_-]{20,})", 20
 #: Character classes in the order in which a candidate is tried, and the entropy in bits that flags a window.
-CLASSES = (("hex", "^[0-9a-f]+$", 3.0), ("alnum", "^[A-Za-z0-9]+$", 3.8), ("base64", "^[A-Za-z0-9+/_-]+$", 3.9))
-#: Candidates that are no secrets: without a digit or without a letter, identifiers in one case, paths, dated names.
-ALLOW = ("^[^0-9]*$", "^[^A-Za-z]*$", "^[a-z]+(?:[_-][a-z0-9]+)+$", "^/?(?:[A-Za-z]+/)+[A-Za-z0-9_-]*$", "EXAMPLE", "^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+CLASSES = (("hex", "^(?:[0-9a-f]+|[0-9A-F]+)$", 3.0), ("alnum", "^[A-Za-z0-9]+$", 3.8), ("base64", "^[A-Za-z0-9+/_-]+$", 3.9))
+#: A part of an identifier or path that is a word with a short number, or a number as in dates: it holds no key.
+_LOWER, _UPPER, _ANY = (f"(?:{x}+[0-9]{{0,4}}|[0-9]{{1,8}})" for x in ("[a-z]", "[A-Z]", "[A-Za-z]"))
+#: Candidates that are no secrets: without a digit or without a letter; identifiers in one case and paths all of whose parts
+#: are such words and numbers; examples; dashed identifiers of records.
+ALLOW = ("^[^0-9]*$", "^[^A-Za-z]*$", f"^{_LOWER}(?:[_-]{_LOWER})+$", f"^{_UPPER}(?:[_-]{_UPPER})+$", f"^/?(?:{_ANY}(?:[_-]{_ANY})*/)+(?:{_ANY}(?:[_-]{_ANY})*)?$", "EXAMPLE", "^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
 SCALE = 1_000_000
 #: c*log2(c) in millionths, by count.
 TERMS = [round(c * math.log2(c) * SCALE) if c else 0 for c in range(WINDOW + 1)]
