@@ -3,9 +3,10 @@
 The text view sees hashed words and punctuation runs (present or not) and binned shape measures; the metadata view sees
 source, language and length. Both are logistic regressions that begin with a bounded sample of labelled rows. In each
 round, both views score all unlabelled rows where these lie, and the rows that one view is sure of join the other view's
-training rows: each task sums counts and gradients by feature over its rows, and the driver gets the sums. On held-out labelled rows each view's score is calibrated, the calibrated views are combined, and the threshold is set:
-0.5, or less where that is needed to keep KEEP of the good rows. All documents are then scored whole, in one pass next
-to their text, without a shuffle.
+training rows: each task sums counts and gradients by feature over its rows, and the driver gets the sums. On one half of
+the held-out labelled rows each view's score is calibrated and the calibrated views are combined. On the other half the
+threshold is set: 0.5, or less where that is needed to keep KEEP of the good rows, but no less than rejects CATCH of the
+others and of the toxic ones. All documents are then scored whole, in one pass next to their text, without a shuffle.
 
 Sample: MAX_LABELLED labelled rows, those with the smallest hashes of their ids; the driver gets their feature numbers
 alone. Everything else covers all rows. Feature numbers of the unlabelled rows are written once and read by each pass.
@@ -42,10 +43,13 @@ HELD_OUT, ROUNDS, SURE = 0.2, 3, 0.97
 PASSES, UNIT = 4, 1 << 24
 #: Rows that a feature needs to be used, and the least log ratio of its shares in both kinds.
 MIN_ROWS, MIN_RATIO = 3, 0.3
-#: Share of the good held-out rows that are accepted at least; the threshold is 0.5 where that keeps as many.
-KEEP = 0.99
+#: Share of the good held-out rows that are accepted at least: the threshold is 0.5 where that keeps as many, and lower
+#: where it doesn't, but no lower than where CATCH of the other held-out rows, and of the toxic ones, are rejected.
+KEEP, CATCH = 0.99, 0.8
 #: Features of the text view (two to this power) and of the metadata view.
 TEXT_BITS, META_BITS = 18, 12
+#: Labels of rows: of good quality and not toxic, of low quality and not toxic, toxic.
+GOOD, LOW, TOXIC = 1, 0, -1
 SHAPES, BINS = 8, 16
 
 #: 0: white space; 1: letters, digits and non-ASCII; 2: punctuation and controls.
@@ -320,9 +324,19 @@ def _pass(rows: DataFrame, judges: list[Judge], at: list[tuple[np.ndarray, float
     return [Sums(a[i : i + n + 1], b[i : i + n + 1]) for i, n in zip(first, SIZES, strict=True)]
 
 
+def threshold_of(p: np.ndarray, label: np.ndarray) -> float:
+    """The threshold by scores of labelled rows: see KEEP and CATCH."""
+    t = min(0.5, float(np.quantile(p[label == GOOD], 1 - KEEP)))
+    for kind in (label != GOOD, label == TOXIC):
+        if kind.any():
+            t = max(t, min(0.5, float(np.nextafter(np.quantile(p[kind], CATCH, method="higher"), 1))))
+    return t
+
+
 def co_train(labelled: list, sums: Callable[[list[Judge], list | None], list[Sums]] | None, rounds: int = ROUNDS) -> Model:
     """The model of rows (text features, metadata features, label), and of unlabelled ones by a pass over all of them."""
-    y = np.array([r[2] for r in labelled], float)
+    label = np.array([r[2] for r in labelled])
+    y = (label == GOOD).astype(float)
     held = np.arange(len(y)) % round(1 / HELD_OUT) == 0  # rows come in the order of hashes
     if len(y) < 10 or min(y[held].sum(), (1 - y[held]).sum(), y[~held].sum(), (1 - y[~held]).sum()) < 1:
         return UNKNOWN
@@ -346,12 +360,16 @@ def co_train(labelled: list, sums: Callable[[list[Judge], list | None], list[Sum
                     models[v].step(others[v], int(counts[v].a[-1]))
     fitted = [m.fitted() for m in models]
     scores = [x.scores(*f) for x, f in zip(test, fitted, strict=True)]
-    calibrated = tuple(_calibrate(s[:, None], y[held]) for s in scores)
+    half = np.arange(int(held.sum())) % 2 == 0
+    known = y[held]
+    if min(known[half].sum(), (1 - known[half]).sum(), known[~half].sum(), (1 - known[~half]).sum()) < 1:
+        half = np.ones(len(known), bool)  # too few for halves
+    calibrated = tuple(_calibrate(s[half, None], known[half]) for s in scores)
     z = np.column_stack([c[0] * s + c[1] for c, s in zip(calibrated, scores, strict=True)])
-    combined = _calibrate(z, y[held])
-    p = _sigmoid(np.column_stack([z, np.ones(len(z))]) @ combined)
-    threshold = min(0.5, float(np.quantile(p[y[held] == 1], 1 - KEEP)))
-    return Model(fitted[0], fitted[1], calibrated, combined, True, threshold)
+    combined = _calibrate(z[half], known[half])
+    rest = ~half if half.sum() < len(half) else half
+    p = _sigmoid(np.column_stack([z, np.ones(len(z))]) @ combined)[rest]
+    return Model(fitted[0], fitted[1], calibrated, combined, True, threshold_of(p, label[held][rest]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> Model:
@@ -361,11 +379,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ro
     unlabelled ones are all read.
     """
     require(docs, "doc_id", "text", *METADATA)
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.expr("CAST(quality = 1 AND coalesce(toxic, 0) = 0 AS INT)").alias("_good"))
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.expr(f"CASE WHEN coalesce(toxic, 0) <> 0 THEN {TOXIC} WHEN quality = 1 THEN {GOOD} ELSE {LOW} END").alias("_good"))
     some = known.groupBy("doc_id").agg(F.min("_good").alias("_good")).orderBy(F.xxhash64("doc_id")).limit(max_labelled)
     base = docs.select("doc_id", "text", *METADATA)
     labelled = _sampled(base.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]))  # max_labelled rows at most
-    if len({r[2] for r in labelled}) < 2:
+    if len({r[2] == GOOD for r in labelled}) < 2:
         return UNKNOWN
     ids = materialize(known.select("doc_id").distinct(), "labelled-ids")
     rows = materialize(_featured(without_ids(base, ids).withColumn("_good", F.lit(0))).select("t", "m"), "unlabelled")
