@@ -2,13 +2,15 @@
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased in ASCII. The training texts are processed in
 shards of bounded size. A shard's suffix array holds, sorted, the suffixes that can begin a match (those that begin with
-a word pair that begins some benchmark window); each is compared by its first DEPTH words. Every benchmark suffix that is
-long enough is looked up by two binary searches, which give all places of its first window in the shard. Runs of matches
-along an item give the longest verbatim matches and where they are.
+a word pair that begins some benchmark window; no other one can hold a window); each is compared by its first DEPTH words.
+Every benchmark suffix that is long enough is looked up by two binary searches, which give all places of its first window
+in the shard. Runs of matches along an item give the longest verbatim matches and where they are. An array serves one
+shard and is then dropped.
 
-A window is 10 consecutive words of an item, or all words of a shorter item. The benchmark is the query set: it is read
-in blocks of BLOCK_WORDS words, each broadcast and each looked up in every shard, so a block's size is bounded whatever
-the benchmark's.
+A window is 10 consecutive words of an item, or all words of a shorter item. The benchmark is the query set. It is cut into
+blocks of BLOCK_BYTES of text at most (one item at least) by running sums over its rows; a block at a time is read by the
+driver, broadcast and looked up in every shard; the driver holds two at most. What the blocks find is joined by row. With
+one block, rows are scanned where they lie and nothing is shuffled or written.
 
 Defined results: null text has no words, and an item without words has no window; an empty table gives no rows; an empty
 benchmark hits nothing; repeated rows have equal results, also without an id; an item without an id is named by the empty
@@ -19,19 +21,24 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import without_ids
 from corpusloom.llm.worker import frugal, prepare
+from corpusloom.operators.prefix import prefix_sum
 from corpusloom.schemas import require
+from corpusloom.storage import materialize
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW, DEPTH = 10, 16
-#: Bytes of text in a shard, and words of a benchmark block.
-SHARD_BYTES, BLOCK_WORDS = 8 << 20, 2_000_000
+#: Bytes of text in a shard, and in a benchmark block.
+SHARD_BYTES, BLOCK_BYTES = 8 << 20, 12 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -120,27 +127,25 @@ class Hits:
         return longest, where
 
 
-def scan_shard(texts: list[str | None], blocks: list[Queries]) -> list[tuple[int, int, list[str], int, int]]:
-    """(n_words, n_hit, item names, longest match, its first word) of each text."""
+def scan_shard(texts: list[str | None], q: Queries) -> list[tuple[int, list[tuple[int, int]], list[str], int, int]]:
+    """(n_words, hit ranges of words, item names, longest match, its first word) of each text."""
     words = [words_of(t) for t in texts]
     counts = np.array([len(w) for w in words], np.int64)
     ends = np.cumsum(counts + 1)  # a 0 after each document keeps matches inside it
-    covered, items = np.zeros(int(ends[-1]) if len(ends) else 0, bool), [set() for _ in texts]
-    longest, where = np.zeros(len(texts), np.int64), np.full(len(texts), -1, np.int64)
-    for q in blocks:
-        get = q.numbers.get
-        ids = np.fromiter((x for w in words for x in (*[get(v, 0) for v in w], 0)), np.int64, len(covered))
-        h = Hits(ids, ends, q)
-        covered |= h.covered
-        for d, i in set(zip(h.doc.tolist(), h.item.tolist(), strict=True)):
-            items[d].add(q.names[i])
-        more = h.longest > longest
-        longest, where = np.where(more, h.longest, longest), np.where(more, h.where, where)
-    total = np.r_[0, np.cumsum(covered)]
     begins = ends - counts - 1
-    hit = total[ends] - total[begins] if len(ends) else counts
-    place = np.where(where >= 0, where - begins, -1) if len(ends) else where
-    return [(int(c), int(x), sorted(s), int(n), int(p)) for c, x, s, n, p in zip(counts, hit, items, longest, place, strict=True)]
+    get = q.numbers.get
+    ids = np.fromiter((x for w in words for x in (*[get(v, 0) for v in w], 0)), np.int64, int(ends[-1]) if len(ends) else 0)
+    h = Hits(ids, ends, q)
+    items: list[set[str]] = [set() for _ in texts]
+    for d, i in set(zip(h.doc.tolist(), h.item.tolist(), strict=True)):
+        items[d].add(q.names[i])
+    edge = np.flatnonzero(np.diff(np.r_[0, h.covered.astype(np.int8), 0]))
+    first, after = edge[::2], edge[1::2]  # no run crosses the 0 after a document
+    ranges: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for d, a, b in zip(np.searchsorted(ends, first, "right").tolist(), first.tolist(), after.tolist(), strict=True):
+        ranges[d].append((a - int(begins[d]), b - int(begins[d])))
+    place = np.where(h.where >= 0, h.where - begins, -1)
+    return [(int(c), r, sorted(s), int(n), int(p)) for c, r, s, n, p in zip(counts, ranges, items, h.longest, place, strict=True)]
 
 
 def shards(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -150,57 +155,97 @@ def shards(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(first, rows)
 
 
-def query_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[Queries]:
-    """The benchmark in blocks of block_words words at most (one item at least)."""
-    now: list[tuple[str, list[bytes]]] = []
-    size = 0
-    for r in benchmark.select(item, text).toLocalIterator():
-        words = words_of(r[1])
-        if now and size + len(words) > block_words:
-            yield Queries(now)
-            now, size = [], 0
-        now.append(("" if r[0] is None else str(r[0]), words))
-        size += len(words)
-    if now:
-        yield Queries(now)
+def query_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[Queries]:
+    """The benchmark in blocks, made one after the other."""
+    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("t"))
+    size = F.octet_length(F.coalesce("t", F.lit("")))
+    if (items.agg(F.sum(size + 64)).first()[0] or 0) <= block_bytes:
+        blocks = [items]
+    else:
+        dealt = items.withColumn("k", F.xxhash64("item", "t"))
+        placed = materialize(prefix_sum(dealt, size + 64, ["k", "item", "t"], F.shiftright("k", 52), "at").withColumn("block", F.floor(F.col("at") / block_bytes)), "benchmark")
+        blocks = [placed.where(F.col("block") == r[0]).select("item", "t") for r in placed.select("block").distinct().orderBy("block").collect()]  # numbers of blocks
+    for block in blocks:
+        yield Queries([(r[0] or "", words_of(r[1])) for r in block.collect()])  # block_bytes and one item at most
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_words, n_hit, items, longest_match, match_start) of each row of docs; places and lengths in words."""
-    require(docs, key, text)
-    spark = docs.sparkSession
-    prepare(spark)
-    blocks = [spark.sparkContext.broadcast(q) for q in query_blocks(benchmark)]  # each bounded by BLOCK_WORDS
+RESULTS = "n_words long, ranges array<struct<a:int,b:int>>, items array<string>, longest_match long, match_start long"
+
+
+def _scan(docs: DataFrame, q: Queries, key: str, text: str) -> DataFrame:
+    """key and RESULTS of each row, of one block."""
+    block = docs.sparkSession.sparkContext.broadcast(q)  # BLOCK_BYTES and one item at most
     kind = docs.schema[key].dataType.simpleString()
-    names = [key, "n_words", "n_hit", "items", "longest_match", "match_start"]
-    types = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.int64())
+    names = [key, "n_words", "ranges", "items", "longest_match", "match_start"]
+    types = (pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.string()), pa.int64(), pa.int64())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = [b.value for b in blocks]
         for b in batches:
             for part in shards(b):
-                got = list(zip(*scan_shard(part.column(1).to_pylist(), queries), strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, t) for x, t in zip(got, types, strict=True)]], names)
+                n, ranges, items, longest, place = zip(*scan_shard(part.column(1).to_pylist(), block.value), strict=True)
+                spans = [[{"a": x, "b": y} for x, y in r] for r in ranges]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, t) for x, t in zip((n, spans, items, longest, place), types, strict=True)]], names)
 
-    return docs.select(key, text).mapInArrow(frugal(scan), f"`{key}` {kind}, n_words long, n_hit long, items array<string>, longest_match long, match_start long")
+    return docs.select(key, text).mapInArrow(frugal(scan), f"`{key}` {kind}, {RESULTS}")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without those that hold a benchmark window.
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written with a column that numbers its rows."""
+    rid = "_row"
+    while rid in docs.columns:
+        rid += "_"
+    return materialize(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered"), rid
 
-    Rows are scanned where they lie, next to their text: nothing is shuffled or joined.
-    """
-    spark = docs.sparkSession
-    prepare(spark)
-    blocks = [spark.sparkContext.broadcast(q) for q in query_blocks(benchmark)]
+
+def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(key, n_words, n_hit, items, longest_match, match_start) of each row of docs; places and lengths in words."""
+    require(docs, key, text)
+    prepare(docs.sparkSession)
+    blocks = query_blocks(benchmark, block_bytes=block_bytes)
+    q, more = next(blocks), next(blocks, None)
+    if more is None:
+        got = _scan(docs, q, key, text)
+    else:
+        numbered, rid = _numbered(docs.select(key, text))
+        parts = _each_block(numbered, chain([q, more], blocks), rid, text)
+        joined = parts.groupBy(rid).agg(
+            F.max("n_words").alias("n_words"),
+            F.flatten(F.collect_list("ranges")).alias("ranges"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+            F.max(F.struct("longest_match", (-F.col("match_start")).alias("at"))).alias("best"),
+        )
+        got = numbered.select(key, rid).join(joined, rid).select(key, "n_words", "ranges", "items", F.col("best.longest_match").alias("longest_match"), (-F.col("best.at")).alias("match_start"))
+    fold = F.aggregate(
+        F.array_sort("ranges"),
+        F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit")),
+        lambda s, r: F.struct(F.greatest(s["end"], r["b"]).alias("end"), (s["hit"] + F.greatest(F.lit(0), r["b"] - F.greatest(s["end"], r["a"]))).alias("hit")),
+        lambda s: s["hit"],
+    )
+    return got.select(key, "n_words", fold.alias("n_hit"), "items", "longest_match", "match_start")
+
+
+def _each_block(numbered: DataFrame, blocks: Iterator[Queries], rid: str, text: str) -> DataFrame:
+    """RESULTS by rid of every block: each is looked up in a pass of its own, whose results are written."""
+    parts = [materialize(_scan(numbered, q, rid, text), "block-hits") for q in blocks]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs without those that hold a benchmark window."""
+    prepare(docs.sparkSession)
+    blocks = query_blocks(benchmark, block_bytes=block_bytes)
+    q, more = next(blocks), next(blocks, None)
+    if more is not None:
+        numbered, rid = _numbered(docs)
+        hit = materialize(_each_block(numbered, chain([q, more], blocks), rid, text).where("size(ranges) > 0").select(rid).distinct(), "contaminated")
+        return without_ids(numbered, hit, rid).select(*docs.columns)
+    block = docs.sparkSession.sparkContext.broadcast(q)
     at = docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = [b.value for b in blocks]
         for b in batches:
             for part in shards(b):
-                hit = [x[1] for x in scan_shard(part.column(at).to_pylist(), queries)]
-                yield part.filter(pa.array([not x for x in hit], pa.bool_()))
+                yield part.filter(pa.array([not x[1] for x in scan_shard(part.column(at).to_pylist(), block.value)], pa.bool_()))
 
     return docs.mapInArrow(frugal(keep), docs.schema)
 

@@ -114,11 +114,20 @@ def test_decontamination_matches_brute_force(spark):
 
 
 def test_blocks_of_the_benchmark_give_the_same(spark):
-    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
-    texts = [r.text for r in docs.collect()]
-    whole = suffix_decontam.scan_shard(texts, list(suffix_decontam.query_blocks(items)))
-    parts = list(suffix_decontam.query_blocks(items, block_words=100))
-    assert len(parts) > 1 and suffix_decontam.scan_shard(texts, parts) == whole
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet").withColumn("_row", F.lit(1)), spark.read.parquet(f"{SF}/benchmark.parquet")
+    told = lambda df: sorted(map(str, df.collect()))
+    small = 2000
+    assert len(list(suffix_decontam.query_blocks(items, block_bytes=small))) > 2
+    assert told(suffix_decontam.contamination(docs, items, block_bytes=small)) == told(suffix_decontam.contamination(docs, items))
+    assert told(suffix_decontam.decontaminate(docs, items, block_bytes=small)) == told(suffix_decontam.decontaminate(docs, items))
+
+
+def test_decontamination_of_very_long_texts(spark):
+    w = [f"w{i}" for i in range(400_000)]
+    docs = documents(spark, [" ".join(w), " ".join(w[::-1]), "x" * 3_000_000])
+    items = [(1, " ".join(w[200_000:200_030])), (2, " ".join(w[399_985:])), (3, "x" * 3_000_000)]
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"]), r.longest_match, r.match_start) for r in suffix_decontam.contamination(docs, spark.createDataFrame(items, ITEMS)).collect()}
+    assert got == {0: (400_000, 45, ["1", "2"], 30, 200_000), 1: (400_000, 0, [], 0, -1), 2: (1, 1, ["3"], 1, 0)}
 
 
 def test_encoder_gives_the_tokenizers_ids(spark):
