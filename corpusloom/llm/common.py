@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.storage import materialize
-
 #: Elements that one inner fold handles: a fold copies its result array at each step, so long arrays go in chunks.
 CHUNK = 512
 
@@ -57,23 +55,19 @@ def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", bound: int
     return docs.join(F.broadcast(ids) if few else ids, key, "left_anti")
 
 
-#: Keys that skew_join() broadcasts at most, rows that such a key has at least, and bytes of what is broadcast for them.
-HOT_KEYS, LEAST_HOT, HOT_BYTES = 10_000, 500, 32 << 20
+#: Keys that skew_join() broadcasts at most, and rows that such a key has at least.
+HOT_KEYS, LEAST_HOT = 10_000, 500
 
 
-def skew_join(rows: DataFrame, table: DataFrame, on: str, n: str, size: Column | None = None, hot: int = HOT_KEYS, least: int = LEAST_HOT, write: bool = False) -> DataFrame:
-    """rows inner-joined with table, a written table of one row per key, in which n is how many rows have the key at least.
+def skew_join(rows: DataFrame, table: DataFrame, on: str, n: str, hot: int = HOT_KEYS, least: int = LEAST_HOT) -> DataFrame:
+    """rows inner-joined with table, a written table of one short row per key, in which n is how many rows have the key.
 
     Keys of over least rows and over 1/hot of all, fewer than hot keys, are joined by broadcast, where their rows lie; all
-    others by shuffle, so no key brings more rows to one task. size: bytes of a row of table where these have no bound; if
-    those of the hot keys exceed HOT_BYTES, all go by shuffle, which adaptive execution splits. write: rows are dear to
-    make, and are written if they are needed twice.
+    others by shuffle, so no key brings more rows to one task.
     """
     limit = max(least, (table.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]) // hot)
     often, rest = table.where(F.col(n) > limit), table.where(F.col(n) <= limit)
-    keys, total = often.agg(F.count(F.lit(1)), F.sum(F.lit(0) if size is None else size)).first()
-    if not keys or total > HOT_BYTES:
+    if not often.head(1):
         return rows.join(table, on)
-    rows = materialize(rows, "rows") if write else rows
     direct = rows.join(F.broadcast(often), on)
     return direct.unionByName(rows.join(F.broadcast(often.select(on)), on, "left_anti").join(rest, on))

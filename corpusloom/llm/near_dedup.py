@@ -17,7 +17,7 @@
    confirmed. So no candidate pair of different components is left out, and no group's pairs are all emitted. A bucket of
    c classes that is still mixed sends each class to c/BLOCK tasks: the rows dealt grow with c*c/BLOCK there.
 
-Buckets, leaders, nodes and labels with very many rows are joined by broadcast where their rows lie (skew_join()).
+Buckets, nodes and labels with very many rows are joined by broadcast where their rows lie (skew_join()).
 
 Defined results: null and empty texts have the empty set, are linked with nothing and kept; a row is known by its id and
 its text, so that different texts under one id are linked each for itself, and rows that repeat both have equal results;
@@ -157,15 +157,13 @@ def _of_classes(docs: DataFrame, who: DataFrame, words: int, key: str, text: str
 
 
 def _with_both(pairs: DataFrame, values: DataFrame) -> DataFrame:
-    """(a, b, ua, ub) of pairs of a member a and its leader b (written), and values (c, u).
+    """(a, b, ua, ub) of pairs of a member a and its leader b (written), and values (c, u, written).
 
-    The members' values travel to the leaders', which go to no more tasks than they have to: those of many pairs are
-    broadcast behind a check of their bytes.
+    Members' values travel to the leaders'. Both joins are by shuffle at every size; a leader of many pairs brings many
+    bytes, by which adaptive execution splits its partition.
     """
-    led = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    leaders = materialize(values.select(F.col("c").alias("b"), F.col("u").alias("ub")).join(led, "b"), "leaders")
     members = pairs.join(values.select(F.col("c").alias("a"), F.col("u").alias("ua")), "a")
-    return skew_join(members, leaders, "b", "n", F.octet_length("ub"), write=True).select("a", "b", "ua", "ub")
+    return members.join(values.select(F.col("c").alias("b"), F.col("u").alias("ub")), "b").select("a", "b", "ua", "ub")
 
 
 def _likely(pairs: DataFrame, places: DataFrame, percent: int) -> DataFrame:
@@ -178,7 +176,9 @@ def _likely(pairs: DataFrame, places: DataFrame, percent: int) -> DataFrame:
                 a, b = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint8).reshape(-1, ESTIMATE) for i in (2, 3))
                 yield x.select(["a", "b"]).filter(pa.array(agree(a, b, percent)))
 
-    return materialize(_with_both(pairs, places).mapInArrow(frugal(keep), "a long, b long"), "likely-pairs")
+    likely = materialize(_with_both(pairs, places).mapInArrow(frugal(keep), "a long, b long"), "likely-pairs")
+    drop_tables(pairs)
+    return likely
 
 
 def _confirmed(docs: DataFrame, likely: DataFrame, who: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:

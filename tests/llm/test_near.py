@@ -21,7 +21,7 @@ def variants(rng, base, n, most):
 @pytest.mark.parametrize("least,block", [(500, 4096), (3, 4)])
 def test_hot_buckets_leaders_and_blocks(spark, monkeypatch, least, block):
     """A family of near copies, and one of texts that are alike but under the threshold; broadcast and shuffled branches."""
-    monkeypatch.setattr(common.skew_join, "__defaults__", (None, common.HOT_KEYS, least, False))
+    monkeypatch.setattr(common.skew_join, "__defaults__", (common.HOT_KEYS, least))
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(11)
     a, b = ([f"{c}{i}" for i in range(120)] for c in "ab")
@@ -53,5 +53,4 @@ def test_skew_join_gives_the_plain_join(spark):
     table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("k <> 39")
     want = sorted(map(tuple, rows.join(table, "k").collect()))
     for least in (10, 500, 5000):
-        for size in (None, F.lit(100), F.lit(common.HOT_BYTES)):
-            assert sorted(map(tuple, common.skew_join(rows, table, "k", "n", size, least=least, write=least == 10).select("k", "id", "n").collect())) == want
+        assert sorted(map(tuple, common.skew_join(rows, table, "k", "n", least=least).select("k", "id", "n").collect())) == want
