@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import chat_format, exact_dedup, secret_scan, sharding
 from corpusloom.storage import scratch_path
 
-#: Arrivals that op8 appends the table in.
+#: Arrivals that op8 appends the table in: rows by a hash of their ids.
 ARRIVALS = 4
 
 
@@ -38,11 +38,13 @@ def op5_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
-    """Every document as it is read back from the live files of the compacted version."""
+    """Every document as it is read back from the live files of the compacted version, after ARRIVALS appends."""
     root = scratch_path(spark, "shards")
     docs = _documents(spark, d)
-    sharding.append(docs, root, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)))
-    sharding.compact(spark, root, vacuum=True)
+    for k in range(ARRIVALS):
+        sharding.append(docs.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(ARRIVALS)) == k), root)
+    sharding.compact(spark, root)
+    sharding.vacuum(spark, root, keep=1)
     back = sharding.read(spark, root)
     t = F.coalesce("text", F.lit(""))
     return back.select("doc_id", F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(t, 256).alias("text_sha256"), "source", "lang")

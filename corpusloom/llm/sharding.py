@@ -1,12 +1,17 @@
 """Sharding by size-tiered compaction with versioned manifests. Native: DataFrame functions alone.
 
-append() writes arrivals as small immutable files, one per task and arrival, without a shuffle. compact() puts the live
-files in tiers by size, merges runs of one tier until they reach the target size, and carries what is too little to the
-next tier. A version is a table of live files plus a small pointer file; the pointer is written under another name and
-renamed to its own without overwriting, so a version appears whole or not at all and two writers can't both commit it.
-Readers read what the newest pointer lists: files of lost or repeated tasks and of failed writers are never seen.
+append() writes an arrival as small immutable files, one per task, without a shuffle. compact() puts the live files in tiers
+by size, each FAN_IN times larger than the one below; a tier with FAN_IN files and more is cut into runs of the target size,
+and each run that is full or has FAN_IN files becomes one file. Files merge with files of their own tier alone, so a byte is
+rewritten once per tier at most, and few small files wait for more of their kind.
 
-The list of files is itself a table: planning runs on it as DataFrames, and the driver holds no file list.
+A version is a table of live files plus a small pointer file; the pointer is written under another name and renamed to its
+own without overwriting, so a version appears whole or not at all and two writers can't both commit it. A writer that comes
+second tries again on the newer version: an append always can, a compaction if its files are still live. Readers read what
+the newest pointer lists: files of lost or repeated tasks and of failed writers are never seen. vacuum() removes folders
+that none of the last versions uses.
+
+The list of files is itself a table: planning runs on it as DataFrames with bucketed running sums.
 
 Defined results: null text counts as 0 bytes and stays null; an empty arrival adds no file; repeated rows are stored as
 often as they come; further columns are stored too.
@@ -16,11 +21,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corpusloom.operators.prefix import prefix_sum
 from corpusloom.storage import drop_path
 
 #: Bytes of a merged file, and the ratio of sizes between tiers.
@@ -30,6 +37,12 @@ TIERS = 6
 #: Files of a plan that is broadcast at most; a longer plan is joined by shuffle.
 BROADCAST_FILES = 200_000
 FILES = "path string, bytes long, n_rows long, tier int"
+#: Times that a writer tries to commit on newer versions; versions whose files vacuum() keeps.
+TRIES, KEEP_VERSIONS = 10, 2
+
+
+class Conflict(RuntimeError):
+    """Another writer has committed the version."""
 
 
 def _fs(spark: SparkSession, path: str):
@@ -69,7 +82,7 @@ def commit(spark: SparkSession, root: str, files: DataFrame, schema: str, base:
         context.rename(tmp, target, none)  # fails if the version is there
     except Exception as e:
         fs.delete(tmp, False)
-        raise RuntimeError(f"version {version} was committed by another writer") from e
+        raise Conflict(f"version {version} was committed by another writer") from e
     return pointer
 
 
@@ -103,71 +116,118 @@ def _of(spark: SparkSession, root: str, folder: str, schema: str) -> DataFrame:
     return spark.read.schema(_type(schema)).option("recursiveFileLookup", True).parquet(f"{root}/data/{folder}")
 
 
-def append(df: DataFrame, root: str, arrival: Column | None = None) -> dict:
-    """Adds df's rows as new small files (one per task and arrival) and commits them; returns the new pointer."""
-    spark, base = df.sparkSession, latest(df.sparkSession, root)
-    schema, folder = df.schema.json(), f"a-{uuid.uuid4().hex[:8]}"
-    dealt = _unused(df.columns, "arrival")
-    rows = df.withColumn(dealt, F.lit(0) if arrival is None else arrival)
-    rows.write.option("compression", "zstd").partitionBy(dealt).parquet(f"{root}/data/{folder}")
-    if not any(not x.getPath().getName().startswith("_") for x in _fs(spark, root)[0].listStatus(_fs(spark, f"{root}/data/{folder}")[1])):
-        files = spark.createDataFrame([], FILES)
-    else:
-        files = _describe(_of(spark, root, folder, schema))
-    if base:
-        files = live_files(spark, base).unionByName(files)
-    return commit(spark, root, files, schema, base)
+def _commit_on_newest(spark: SparkSession, root: str, schema: str, files: Callable[[dict | None], DataFrame]) -> dict:
+    """Commits what files makes of the newest version; on a conflict again, of a newer one."""
+    for _ in range(TRIES):
+        base = latest(spark, root)
+        try:
+            return commit(spark, root, files(base), schema, base)
+        except Conflict:
+            continue
+    raise Conflict(f"{root}: {TRIES} other writers came first")
+
+
+def append(df: DataFrame, root: str) -> dict:
+    """Adds df's rows as new small files (one per task that has rows) and commits them; returns the new pointer."""
+    spark, schema, folder = df.sparkSession, df.schema.json(), f"a-{uuid.uuid4().hex[:8]}"
+    df.write.option("compression", "zstd").parquet(f"{root}/data/{folder}")
+    table = f"{root}/manifest/arrival-{folder}"
+    _describe(_of(spark, root, folder, schema)).write.parquet(table)
+    files = spark.read.schema(FILES).parquet(table)
+    pointer = _commit_on_newest(spark, root, schema, lambda base: live_files(spark, base).unionByName(files) if base else files)
+    drop_path(spark, table)
+    return pointer
 
 
 def plan(files: DataFrame) -> DataFrame:
-    """files with merge: the number of the run that a file merges into, null where it stays as it is.
+    """(path, bytes, tier, run) of the files that merge: those of one tier and run become one file.
 
-    From the smallest tier up: a tier's files, in path order, are cut into runs of the target size. A tier's last run,
-    if it is too small to merge alone, goes up with the next tier. Windows run over file lists, tier by tier.
+    A tier's files, in the order of their paths' hashes, are cut where their sum reaches the target size. The last run of a
+    tier waits unless it has FAN_IN files. Runs have two files at least.
     """
-    small = files.where(F.col("tier") > 0).withColumn("level", F.col("tier"))
-    for t in range(TIERS, 1, -1):  # tiers with little in them join the next larger one
-        few = Window.partitionBy("level")
-        small = small.withColumn("_sum", F.sum("bytes").over(few)).withColumn("level", F.when((F.col("level") == t) & (F.col("_sum") < TARGET_BYTES), t - 1).otherwise(F.col("level"))).drop("_sum")
-    before = Window.partitionBy("level").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    runs = small.withColumn("_run", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / TARGET_BYTES))
-    sized = runs.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("level", "_run")))
-    name = F.when(F.col("_n") > 1, F.concat_ws("-", F.lit("m"), "level", "_run"))
-    merged = sized.select("path", name.alias("merge"))
-    return files.join(merged, "path", "left")
-
-
-def compact(spark: SparkSession, root: str, vacuum: bool = False) -> dict:
-    """Merges similarly sized runs and commits the result; the files that it replaces go only with vacuum."""
+    small = files.where("tier > 0").withColumn("_h", F.xxhash64("path"))
+    placed = prefix_sum(small, F.col("bytes"), ["tier", "_h", "path"], F.col("tier") * 4096 + 2048 + F.shiftright("_h", 52), "_at")
+    tiers = small.groupBy("tier").agg(F.count(F.lit(1)).alias("_files"), F.sum("bytes").alias("_bytes"))
+    first = placed.groupBy("tier").agg(F.min("_at").alias("_first")).join(tiers, "tier")
+    runs = placed.join(F.broadcast(first), "tier").where(F.col("_files") >= FAN_IN).withColumn("run", F.floor((F.col("_at") - F.col("_first")) / TARGET_BYTES))  # a row per tier
+    last = F.floor((F.col("_bytes") - 1) / TARGET_BYTES)
+    sized = runs.groupBy("tier", "run").agg(F.count(F.lit(1)).alias("_n"))
+    return runs.join(sized, ["tier", "run"]).where((F.col("_n") >= FAN_IN) | (F.col("_n") > 1) & (F.col("run") < last)).select("path", "bytes", "tier", "run")
+
+
+def _own_tasks(spark: SparkSession, n: int) -> DataFrame:
+    """(number, key) for the numbers from 0 to n-1: repartition(n, key) sends each key to a task of its own."""
+    tried = spark.range(n * (20 + n.bit_length())).select(F.col("id").cast("int").alias("key"))
+    found = tried.groupBy(F.pmod(F.hash("key"), F.lit(n)).cast("long").alias("number")).agg(F.min("key").alias("key"))
+    return spark.range(n).withColumnRenamed("id", "number").join(found, "number", "left").select("number", F.coalesce("key", F.col("number").cast("int")).alias("key"))
+
+
+def compact(spark: SparkSession, root: str) -> dict:
+    """Merges runs of similarly sized files and commits the result; the files that it replaces stay for older readers."""
     base = latest(spark, root)
     if base is None:
         raise ValueError(f"nothing was appended to {root}")
+    table, schema = f"{root}/manifest/plan-{uuid.uuid4().hex[:8]}", base["schema"]
     planned = plan(live_files(spark, base))
-    table = f"{root}/manifest/plan-{uuid.uuid4().hex[:8]}"
     planned.write.parquet(table)
     planned = spark.read.schema(planned.schema).parquet(table)
-    merging = planned.where("merge IS NOT NULL").select("path", "merge")
-    n = merging.count()
+    runs = planned.select("tier", "run").distinct()
+    n = runs.count()
     if not n:
         drop_path(spark, table)
         return base
-    folder = f"c-{uuid.uuid4().hex[:8]}"
+    _numbered(runs).join(_own_tasks(spark, n), "number").select("tier", "run", "key").write.parquet(f"{table}-runs")
+    keys = spark.read.schema("tier int, run long, key int").parquet(f"{table}-runs")
+    merging = planned.join(F.broadcast(keys) if n <= BROADCAST_FILES else keys, ["tier", "run"]).select("path", "key")
+    few = planned.count() <= BROADCAST_FILES
     rows, path = _live_rows(spark, root, base)
-    run = _unused(rows.columns, "merge")
-    merging = merging.select(F.col("path").alias(path), F.col("merge").alias(run))
-    rows = rows.join(F.broadcast(merging) if n <= BROADCAST_FILES else merging, path).drop(path)
-    rows.repartition(run).write.option("compression", "zstd").partitionBy(run).parquet(f"{root}/data/{folder}")
-    kept = planned.where("merge IS NULL").drop("merge").select("path", "bytes", "n_rows", "tier")
-    pointer = commit(spark, root, kept.unionByName(_describe(_of(spark, root, folder, base["schema"]))), base["schema"], base)
-    if vacuum:
-        for x in _fs(spark, f"{root}/data")[0].listStatus(_fs(spark, f"{root}/data")[1]):
-            path = x.getPath().toString()
-            if not live_files(spark, pointer).where(F.col("path").contains(f"/{x.getPath().getName()}/")).head(1):
-                drop_path(spark, path)
-    drop_path(spark, table)
+    run = _unused(rows.columns, "run")
+    merging = merging.select(F.col("path").alias(path), F.col("key").alias(run))
+    folder = f"c-{uuid.uuid4().hex[:8]}"
+    rows = rows.join(F.broadcast(merging) if few else merging, path).drop(path)
+    rows.repartition(n, run).write.option("compression", "zstd").partitionBy(run).parquet(f"{root}/data/{folder}")
+    merged = f"{table}-merged"
+    _describe(_of(spark, root, folder, schema)).write.parquet(merged)
+    gone, made = planned.select("path"), spark.read.schema(FILES).parquet(merged)
+
+    def files(newest: dict) -> DataFrame:
+        live = live_files(spark, newest)
+        if live.join(gone, "path", "left_semi").count() < gone.count():
+            raise RuntimeError("another compaction has replaced the files")
+        return live.join(gone, "path", "left_anti").unionByName(made)
+
+    pointer = _commit_on_newest(spark, root, schema, files)
+    for p in (table, f"{table}-runs", merged):
+        drop_path(spark, p)
     return pointer
 
 
+def _numbered(runs: DataFrame) -> DataFrame:
+    """runs (tier, run) with number from 0; a row per merged file."""
+    h = runs.withColumn("_h", F.xxhash64("tier", "run"))
+    return prefix_sum(h, F.lit(1), ["_h", "tier", "run"], F.shiftright("_h", 52), "number").select("tier", "run", "number")
+
+
+def vacuum(spark: SparkSession, root: str, keep: int = KEEP_VERSIONS) -> list[str]:
+    """Removes the data folders that none of the last keep versions uses; returns their names.
+
+    Give readers time: keep as many versions as are committed while one of them reads.
+    """
+    newest = latest(spark, root)
+    if newest is None:
+        return []
+    kept = [json.loads(_read(spark, f"{root}/manifest/v{v}.json")) for v in range(max(1, newest["version"] - keep + 1), newest["version"] + 1)]
+    used: set[str] = set()
+    for pointer in kept:
+        used |= {r[0] for r in live_files(spark, pointer).select(F.regexp_extract("path", r"/data/([^/]+)/", 1)).distinct().collect()}  # one per append or merge
+    fs, data = _fs(spark, f"{root}/data")
+    names = [x.getPath().getName() for x in fs.listStatus(data)]
+    gone = sorted(n for n in names if n not in used)
+    for name in gone:
+        drop_path(spark, f"{root}/data/{name}")
+    return gone
+
+
 def _live_rows(spark: SparkSession, root: str, pointer: dict) -> tuple[DataFrame, str]:
     """The rows of a version's live files, and the name of a column that has each row's file.
 
