@@ -1,24 +1,25 @@
 """Main text of web pages by wrapper induction over same-host pages.
 
 1. A page is parsed to a tree of block elements, with the tag repairs that browsers make, in one pass over its whole
-   html. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are known by
-   their elements, roles, classes and ids, and go.
-2. Each host has a reference tree: that of its page with the smallest hash. Every page's tree is aligned with it by
-   simple tree matching: roots must agree, and the children's best ordered matching maximises the matched nodes. Children
-   with equal shapes at both ends are matched as they stand; the dynamic programme runs on what lies between, whatever its
-   length: long lists are halved until a part's table is small. Trees are matched to their full depth.
-3. The text of every aligned block votes for its slot. A text that stands in one slot in most of a host's pages, and in
-   MIN_PAGES at least, makes it constant: template. Slots whose texts vary are content.
-4. The main text is the blocks of the article (an article, main or equally marked element) where a page has one, and
-   of the varying slots elsewhere. Template blocks go, but for paragraphs and headings inside an article: an article that
-   a host repeats is still its text.
-
-Votes are counts over all pages. A host's reference tree and constant slots are one row; they are broadcast only behind a
+   html.
+2. The pages of a host are grouped by layout: the label paths that their upper LEVELS levels have. Each layout with MIN_PAGES
+   pages, and with a hundredth of the host's at least, has a reference tree, that of its page with the smallest hash; pages
+   of rarer layouts are aligned with the tree of the host's most frequent one. Every page is aligned by simple tree
+   matching: roots must agree, and the children's best ordered matching maximises the matched nodes. Children with equal
+   shapes at both ends are matched as they stand; the dynamic programme runs on what lies between, whatever its length:
+   long lists are halved until a part's table is small. Trees are matched to their full depth.
+3. The text of every aligned block votes for its slot; pages with equal html are one page. A text that stands in one slot
+   in at least SHARE of the pages that are aligned with the tree, and in MIN_PAGES, is template wherever it stands, also
+   inside an article. Slots whose texts vary are content.
+4. Varying slots may be menus, comments, forms and adverts: elements, roles and classes break that tie. Of what is left, the
+   main text is the blocks inside the article (an article, main or equally marked element) where a page has one, else all.
+
+Votes are counts over all pages. Trees and constant slots are one row a host; they are broadcast only behind a
 check of their size, and otherwise joined by shuffle, where a host with many pages is split among tasks.
 
-Defined results: null html has no text; null and malformed urls share the host ""; hosts of fewer than MIN_PAGES pages
-have no template; repeated rows vote and return each for itself; an empty table gives no rows; further columns are
-ignored.
+Defined results: null html has no text; null and malformed urls share the host ""; layouts of fewer than MIN_PAGES
+different pages have no template of their own; repeated rows have equal results; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,13 +35,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import BROADCAST_IDS
 from corpusloom.llm.hashing import slices
 from corpusloom.llm.worker import frugal, prepare
 from corpusloom.schemas import require
 from corpusloom.storage import materialize
 
-#: Pages of a host that a constant text needs, and its share of the host's pages.
-MIN_PAGES, SHARE = 4, 0.5
+#: Pages that a constant text needs, its share of the pages of its tree, and the share of a host's pages that a layout with
+#: a tree of its own has.
+MIN_PAGES, SHARE, RARE = 4, 0.5, 0.01
+#: Levels of a page's tree that make its layout.
+LEVELS = 4
 #: Reference trees and constants that are broadcast together at most, in bytes.
 BROADCAST_BYTES = 32 << 20
 #: Cells of one dynamic programme's table; longer lists of unlike children are halved first, at the best place.
@@ -58,13 +63,12 @@ ENDS = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "body": ({"head"}, {"html"}),
 }
-# What is not main text.
+# Our own lists, which decide where slots vary: what is not main text.
 CHROME_TAGS = frozenset("aside button datalist dialog footer form head iframe input menu nav noscript object search select svg template".split())
 CHROME_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 CHROME_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies reply share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
 HEADER_WORDS = frozenset("header topbar".split())
 ARTICLE_WORDS = frozenset({"articlebody", "article-body", "article-content", "post-content", "entry-content", "post-body", "story-body"})
-PROSE = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 
 TOKEN = re.compile(
     r"""<!--(?:.*?)(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(>?)|<([a-zA-Z][^\s/>]*)((?:[^>"'=]+|=\s*"[^"]*(?:"|\Z)|=\s*'[^']*(?:'|\Z)|=|["'])*)(>?)|([^<]+|<)""",
@@ -362,12 +366,32 @@ def align(root: Node, reference: Reference) -> dict[int, int]:
     return found
 
 
-def page_blocks(html: str | None, reference: Reference | None) -> tuple[list[str], list[int], list[int], list[bool], bool]:
-    """Texts, slots (-1: not aligned), text hashes and article prose marks of a page's blocks; whether it has an article."""
+def layout(root: Node) -> int:
+    """A hash of the label paths in the upper levels of a tree; how often each occurs doesn't matter."""
+    paths, todo = set(), [(root, "", 0)]
+    while todo:
+        x, path, level = todo.pop()
+        path = f"{path}/{x.label}"
+        if path not in paths or level < LEVELS:
+            paths.add(path)
+            if level < LEVELS:
+                todo += [(c, path, level + 1) for c in x.children]
+    return _hash("\n".join(sorted(paths)))
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def page_blocks(html: str | None, references: dict[int, Reference]) -> tuple[int | None, list[str], list[int], list[int]]:
+    """The layout whose tree a page is aligned with; texts, slots (-1: not aligned) and text hashes of its content blocks."""
     if not html:
-        return [], [], [], [], False
+        return None, [], [], []
     root, blocks = parse(html)
     _finish(root)
+    which = layout(root)
+    if references and which not in references:
+        which = next(iter(references))  # the most frequent one
     state: dict[int, tuple[bool, bool]] = {}  # chrome, inside an article
     order = [(root, False, False)]
     has_article = False
@@ -378,21 +402,20 @@ def page_blocks(html: str | None, reference: Reference | None) -> tuple[list[str
         has_article = has_article or inside
         state[id(x)] = chrome, inside
         order += [(c, chrome, inside) for c in x.children]
-    aligned = align(root, reference) if reference else {}
-    texts, slots, hashes, prose = [], [], [], []
+    aligned = align(root, references[which]) if references else {}
+    texts, slots, hashes = [], [], []
     used: dict[int, int] = {}
     for node, parts in blocks:
         chrome, inside = state[id(node)]
         text = " ".join(unescape("".join(parts)).split())
         k = used[id(node)] = used.get(id(node), -1) + 1
-        if chrome or not text or (has_article and not inside):
-            continue
+        if not text or chrome or (has_article and not inside):
+            continue  # goes whether its slot varies or not
         slot = aligned.get(id(node), -1)
         texts.append(text)
-        slots.append(slot * 64 + min(k, 63) if slot >= 0 else -1)
-        hashes.append(xxhash.xxh3_64_intdigest(text) - (1 << 63))
-        prose.append(inside and node.tag in PROSE)
-    return texts, slots, hashes, prose, has_article
+        slots.append(slot << 32 | k if slot >= 0 else -1)
+        hashes.append(_hash(text))
+    return which, texts, slots, hashes
 
 
 def host_of(url: Column) -> Column:
@@ -405,59 +428,80 @@ def _by_host(rows: DataFrame, model: DataFrame, size: Column) -> DataFrame:
     return rows.join(F.broadcast(model) if total <= BROADCAST_BYTES else model, "host", "left")
 
 
-def _skeletons(pages: DataFrame) -> DataFrame:
-    """(host, tree) of each host's page with the smallest hash; a written table."""
-    h = F.xxhash64("html", "url")
-    smallest = materialize(pages.where("html IS NOT NULL").groupBy("host").agg(F.min(h).alias("h")), "reference-hashes")
-    few = smallest.count() * 64 <= BROADCAST_BYTES
-    chosen = pages.withColumn("h", h).join(F.broadcast(smallest) if few else smallest, ["host", "h"], "left_semi").select("host", "html")
+def _layouts(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, trees): a JSON list of [layout, tree] for each host, the most frequent layout first; (host, same, n): how many
+    pages have one html, where these are several. Written tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch):
+                found = []
+                for html in b.column(2).to_pylist():
+                    root = parse(html)[0]
+                    _finish(root)
+                    found.append(layout(root))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.int64())], ["host", "same", "layout"])
+
+    known = pages.where("html != ''").select("host", "same", "html")
+    each = materialize(known.mapInArrow(frugal(run), "host string, same long, layout long").groupBy("host", "same").agg(F.min("layout").alias("layout"), F.count(F.lit(1)).alias("n")), "layouts")
+    per = each.groupBy("host", "layout").agg(F.min("same").alias("same"), F.count(F.lit(1)).alias("pages"))
+    total = each.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+    chosen = materialize(per.where(F.col("pages") >= MIN_PAGES).join(total, "host").where(F.col("pages") >= RARE * F.col("total")), "chosen-layouts")
+    few = chosen.count() * 64 <= BROADCAST_BYTES
+    found = known.join(F.broadcast(chosen) if few else chosen, ["host", "same"]).select("host", "layout", "pages", "html")
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            trees = []
-            for html in b.column(1).to_pylist():
+            out = []
+            for html in b.column(3).to_pylist():
                 root = parse(html)[0]
                 _finish(root)
-                trees.append(json.dumps(skeleton(root), separators=(",", ":")))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(trees, pa.string())], ["host", "tree"])
+                out.append(json.dumps(skeleton(root), separators=(",", ":")))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.string())], ["host", "layout", "pages", "tree"])
 
-    return materialize(chosen.mapInArrow(frugal(run), "host string, tree string").groupBy("host").agg(F.min("tree").alias("tree")), "reference-trees")
+    one = found.mapInArrow(frugal(trees), "host string, layout long, pages long, tree string").groupBy("host", "layout").agg(F.max("pages").alias("pages"), F.min("tree").alias("tree"))
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("pages")).alias("n"), "layout", "tree")))  # 1/RARE trees a host at most
+    told = one.groupBy("host").agg(F.to_json(F.transform(listed, lambda x: F.struct(x["layout"].alias("l"), x["tree"].alias("t")))).alias("trees"))
+    return materialize(told, "reference-trees"), materialize(each.where("n > 1").select("host", "same", "n"), "equal-pages")
 
 
 def page_texts(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, url, text) of every row: the main text, blocks joined by two line feeds."""
     require(pages, key, "url", "html")
     prepare(pages.sparkSession)
-    rows = pages.select(F.col(key), F.col("url"), F.col("html"), host_of(F.col("url")).alias("host"))
-    trees = _skeletons(rows)
+    rows = pages.select(F.col(key), F.col("url"), F.col("html"), host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("same"))
+    trees, equal = _layouts(rows)
     kind = pages.schema[key].dataType.simpleString()
+    names = [key, "url", "host", "same", "layout", "texts", "slots", "hashes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Reference] = {}
+        known: dict[str, dict[int, Reference]] = {}
         for batch in batches:
             for b in slices(batch):
                 got = []
-                for host, html, tree in zip(b.column(3).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
-                    reference = known.get(host)
-                    if reference is None and tree is not None:
-                        if len(known) >= 2000:
+                for host, html, tree in zip(b.column(2).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+                    references = known.get(host)
+                    if references is None:
+                        if len(known) >= 500:
                             known.clear()
-                        reference = known[host] = Reference(json.loads(tree))
-                    got.append(page_blocks(html, reference)[:4])
-                texts, slots, hashes, prose = zip(*got, strict=True)
-                columns = [b.column(0), b.column(1), b.column(3), pa.array(texts, pa.list_(pa.string())), pa.array(slots, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())), pa.array(prose, pa.list_(pa.bool_()))]
-                yield pa.RecordBatch.from_arrays(columns, [key, "url", "host", "texts", "slots", "hashes", "prose"])
-
-    with_tree = _by_host(rows, trees, F.octet_length("tree")).select(key, "url", "html", "host", "tree")
-    blocks = materialize(with_tree.mapInArrow(frugal(run), f"`{key}` {kind}, url string, host string, texts array<string>, slots array<int>, hashes array<long>, prose array<boolean>"), "blocks")
-
-    votes = blocks.select("host", F.explode(F.array_distinct(F.arrays_zip("slots", "hashes"))).alias("v")).where("v.slots >= 0")
-    per_text = votes.groupBy("host", "v.slots", "v.hashes").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {MIN_PAGES}")
-    per_host = blocks.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    constant = per_text.join(per_host, "host").where(F.col("n") >= SHARE * F.col("pages"))
-    template = materialize(constant.groupBy("host").agg(F.collect_list(F.struct("slots", "hashes")).alias("template")), "templates")  # 1/SHARE texts a slot at most
-
-    found = _by_host(blocks, template, F.size("template") * 16)
-    zipped = F.arrays_zip("texts", "slots", "hashes", "prose")
-    kept = F.filter(zipped, lambda b: b["prose"] | ~F.coalesce(F.array_contains(F.col("template"), F.struct(b["slots"].alias("slots"), b["hashes"].alias("hashes"))), F.lit(False)))
+                        references = known[host] = {x["l"]: Reference(json.loads(x["t"])) for x in json.loads(tree or "[]")}
+                    got.append(page_blocks(html, references))
+                which, texts, slots, hashes = zip(*got, strict=True)
+                columns = [*b.columns[:4], pa.array(which, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(slots, pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    with_tree = _by_host(rows, trees, F.octet_length("trees")).select(key, "url", "host", "same", "html", "trees")
+    blocks = materialize(with_tree.mapInArrow(frugal(run), f"`{key}` {kind}, url string, host string, same long, layout long, texts array<string>, slots array<long>, hashes array<long>"), "blocks")
+
+    few = equal.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    weighed = blocks.select("host", "same", "layout", "slots", "hashes").join(F.broadcast(equal) if few else equal, ["host", "same"], "left").withColumn("w", 1 / F.coalesce("n", F.lit(1)))
+    per_tree = weighed.groupBy("host", "layout").agg(F.sum("w").alias("pages"))
+    votes = weighed.select("host", "layout", "w", F.explode(F.arrays_zip("slots", "hashes")).alias("v")).where("v.slots >= 0")
+    per_text = votes.groupBy("host", "layout", "v.slots", "v.hashes").agg(F.sum("w").alias("n")).where(F.col("n") > MIN_PAGES - 0.01)
+    constant = per_text.join(per_tree, ["host", "layout"]).where(F.col("n") >= SHARE * F.col("pages") - 0.01)
+    template = materialize(constant.groupBy("host").agg(F.collect_list(F.struct("layout", "slots", "hashes")).alias("template")), "templates")  # 1/SHARE texts a slot at most
+
+    found = _by_host(blocks, template, F.size("template") * 24)
+    zipped = F.arrays_zip("texts", "slots", "hashes")
+    kept = F.filter(zipped, lambda b: ~F.coalesce(F.array_contains(F.col("template"), F.struct(F.col("layout").alias("layout"), b["slots"].alias("slots"), b["hashes"].alias("hashes"))), F.lit(False)))
     return found.select(key, "url", F.array_join(F.transform(kept, lambda b: b["texts"]), "\n\n").alias("text"))
