@@ -28,6 +28,7 @@ class TokenizeConfig:
 @dataclass
 class PackConfig:
     max_seq_length: int = 2048
+    eos_token_id: int = 0
 
     def __post_init__(self) -> None:
         if self.max_seq_length < 1:

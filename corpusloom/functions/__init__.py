@@ -9,6 +9,7 @@ from corpusloom.functions.scalars import (
     python_round,
     run_name,
     source_of_path,
+    source_of_top,
     tokens_checksum,
 )
 
@@ -21,5 +22,6 @@ __all__ = [
     "python_round",
     "run_name",
     "source_of_path",
+    "source_of_top",
     "tokens_checksum",
 ]

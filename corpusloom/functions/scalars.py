@@ -15,6 +15,12 @@ def source_of_path(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -2)
 
 
+def source_of_top(path: Column, prefix: str = "") -> Column:
+    """First part of a path, after prefix if it begins with that."""
+    rest = F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 1 << 30)).otherwise(path) if prefix else path
+    return F.substring_index(rest, "/", 1)
+
+
 def pad_to(ids: Column, width: Column) -> Column:
     """ids, padded on the right with PAD_ID to width."""
     return F.concat(ids, F.array_repeat(F.lit(PAD_ID).cast("long"), F.greatest(width - F.size(ids), F.lit(0)).cast("int")))

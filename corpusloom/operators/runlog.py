@@ -5,11 +5,14 @@ Logs have one row per step (or step and rank): small against the corpus. Windows
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+import heapq
+from collections.abc import Callable, Sequence
+from dataclasses import asdict, dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.operators.prefix import prefix_sum
 
@@ -56,6 +59,20 @@ def budget_cut(df: DataFrame, tokens: str, order: Sequence[str], bucket: Column,
     return run.join(F.broadcast(first)).where((F.struct(*order) == F.col("_first")) | (F.col("tokens_before") < budget)).drop("_first")
 
 
+def stop_cut(df: DataFrame, tokens: str, order: Sequence[str], bucket: Column, total_tokens: int | None = None, total_steps: int | None = None, start: int = 0, epoch: str = "epoch", step: str = "step") -> DataFrame:
+    """The batches that a run consumes by the first of its limits that is set: tokens, steps of an epoch, or all.
+
+    With a token budget, total_steps has no part. A step limit holds within each epoch (step counts from 0 in it), and is
+    looked at after a step: an epoch that begins at its limit consumes one batch.
+    """
+    if total_tokens is not None:
+        return budget_cut(df, tokens, order, bucket, total_tokens, start)
+    if total_steps is None:
+        return df
+    first = df.groupBy(epoch).agg(F.min(step).alias("_first"))  # a row per epoch
+    return df.join(F.broadcast(first), epoch).where((F.col(step) < total_steps) | (F.col(step) == F.col("_first"))).drop("_first")
+
+
 def mean_of_batch_means(df: DataFrame, loss: str, rank: str, batch: str) -> DataFrame:
     """Mean over ranks of the mean over batches of each batch's mean: not weighted by tokens."""
     per_batch = df.groupBy(rank, batch).agg(F.avg(loss).alias("_l"))
@@ -105,13 +122,61 @@ def checkpoint_admission(df: DataFrame, k: int, order: str = "step", run: str |
     """df with admitted: whether a new checkpoint enters the top k of those before it in its run.
 
     It enters while fewer than k earlier losses are not larger than its own. Runs on validations, of which a run has a
-    few thousand; each run is a window of its own. k of 0 or less admits none.
+    few thousand; each run is one group, of which a heap of k losses is kept. k of 0 or less admits none.
     """
     if k <= 0:
         return df.withColumn("admitted", F.lit(False))
-    w = Window.partitionBy(run or F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    not_larger = F.filter(F.collect_list("val_loss").over(w), lambda x: x <= F.col("val_loss"))
-    return df.withColumn("admitted", F.size(not_larger) < k)
+
+    def admit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, best, told = rows.sort_values(order), [], []
+        for loss in rows["val_loss"]:
+            told.append(len(best) < k or loss < -best[0])
+            if told[-1]:
+                (heapq.heappush if len(best) < k else heapq.heapreplace)(best, -loss)
+        return rows.assign(admitted=told)
+
+    out = T.StructType([*df.schema.fields, T.StructField("admitted", T.BooleanType())])
+    return df.groupBy(*([run] if run else [])).applyInPandas(admit, out)
+
+
+def checkpoint_prunes(df: DataFrame, k: int, run: str = "run") -> DataFrame:
+    """(run, step, removed): the path that goes when a step's checkpoint makes them more than k.
+
+    df has run, step, val_loss and path. The worst goes: the largest loss, of equal ones the smallest step, then path; it
+    may be the new one. Steps after which none goes have no row.
+    """
+
+    def prune(rows: pd.DataFrame) -> pd.DataFrame:
+        kept: list[tuple] = []
+        out = []
+        for name, step, loss, path in rows.sort_values("step")[[run, "step", "val_loss", "path"]].itertuples(index=False):
+            heapq.heappush(kept, (-loss, step, path))
+            if len(kept) > max(k, 0):
+                out.append((name, step, heapq.heappop(kept)[2]))
+        return pd.DataFrame(out, columns=[run, "step", "removed"])
+
+    kind = df.schema[run].dataType.simpleString()
+    return df.groupBy(run).applyInPandas(prune, f"`{run}` {kind}, step long, removed string")
+
+
+def last_checkpoints(df: DataFrame, run: str = "run") -> DataFrame:
+    """(run, step, path): the slot that each run writes at its end, whatever its loss; it is never pruned."""
+    return df.groupBy(run).agg(F.max("step").alias("step")).withColumn("path", F.concat(F.col(run).cast("string"), F.lit("/last")))
+
+
+def save_last(spark: SparkSession, counters: Counters, folder: str) -> str:
+    """folder/last/state, overwritten."""
+    counters.save(spark, f"{folder}/last/state")
+    return f"{folder}/last"
+
+
+def resume(spark: SparkSession, checkpoint: str | None) -> Counters | None:
+    """The counters in checkpoint/state; None, for a run from the start, where no checkpoint is named or it has no state."""
+    if checkpoint is None:
+        return None
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/state")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return Counters.restore(spark, f"{checkpoint}/state") if fs.exists(p) and fs.getFileStatus(p).isDirectory() else None
 
 
 def best_checkpoint(df: DataFrame) -> DataFrame:
@@ -125,3 +190,38 @@ def eval_metrics_long(df: DataFrame) -> DataFrame:
     return ok.select("step", "task_name", F.explode("metrics").alias("metric", "value")).select(
         "step", F.concat(F.lit("eval/"), "task_name", F.lit("/"), "metric").alias("metric"), "value"
     )
+
+
+@dataclass
+class EvalTask:
+    """A benchmark: how its samples are loaded and what a batch of them scores (number right by metric)."""
+
+    name: str
+    load: Callable[[SparkSession], DataFrame]
+    evaluate: Callable[[DataFrame], dict[str, float]]
+    order: Sequence[str]
+    enabled: bool = True
+    limit: int | None = None
+    options: dict = field(default_factory=dict)
+
+
+def run_tasks(spark: SparkSession, tasks: Sequence[EvalTask], step: int, enabled: bool = True, log_predictions: bool = False, folder: str | None = None) -> tuple[list[dict], dict[str, str]]:
+    """Results {task_name, step, metrics, num_samples} of the enabled tasks, and the errors of those that failed.
+
+    A task that raises gives no result and stops no other. Results are written to folder only with log_predictions.
+    """
+    from corpusloom.operators.sampling import limit_samples
+    from corpusloom.sources import write_eval_results
+
+    results, errors = [], {}
+    for task in tasks if enabled else ():
+        if not task.enabled:
+            continue
+        try:
+            samples = limit_samples(task.load(spark), task.limit, *task.order)
+            results.append({"task_name": task.name, "step": step, "metrics": task.evaluate(samples), "num_samples": samples.count()})
+        except Exception as e:  # a failing benchmark must not end the run
+            errors[task.name] = str(e)
+    if log_predictions and folder and results:
+        write_eval_results(spark, results, folder)
+    return results, errors

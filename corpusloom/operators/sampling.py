@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from corpusloom.operators.prefix import global_row_number
 
 
+#: Digits of the shuffle key that make a bucket: 16**DIGITS buckets, called BUCKETS below.
+DIGITS = 3
+
+
 def shuffle_key(seed: int, key: str) -> Column:
     """A seeded pseudo-random order that any SQL engine can repeat."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
@@ -16,25 +20,28 @@ def shuffle_key(seed: int, key: str) -> Column:
 def exact_sample(df: DataFrame, weights: dict[str, int | None], key: str, seed: int = 0, source: str = "dataset") -> DataFrame:
     """For each source in weights, exactly n rows without replacement; all rows where n is None; other sources go.
 
-    Raises, when it runs, if a source has fewer than n rows. The rank filter prunes inside each task before the shuffle
-    (WindowGroupLimit), so at most n rows of a source leave a task.
+    Raises, when it runs, if a source has fewer than n rows. The shuffle key's first digits deal a source's rows to BUCKETS
+    buckets, which are counted: buckets before the one that holds the n-th row are taken whole, where their rows lie; only
+    the rows of that one bucket are ranked. No task gets more of a source than a bucket.
     """
-    limit = F.create_map(*[x for k, v in weights.items() if v is not None for x in (F.lit(k), F.lit(v))]) if any(v is not None for v in weights.values()) else None
+    numbers = {k: v for k, v in weights.items() if v is not None}
     listed = df.where(F.col(source).isin(list(weights)))
     whole = listed.where(F.col(source).isin([k for k, v in weights.items() if v is None]))
-    if limit is None:
+    if not numbers:
         return whole
-    some = listed.where(F.col(source).isin([k for k, v in weights.items() if v is not None]))
-    order = Window.partitionBy(source).orderBy("_shuffle", key)
-    most = max(v for v in weights.values() if v is not None)
-    ranked = some.withColumn("_shuffle", shuffle_key(seed, key)).withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= most)
-    taken = ranked.where(F.col("_rn") <= limit[F.col(source)]).drop("_rn", "_shuffle")
-    short = some.groupBy(source).count().where(F.col("count") < limit[F.col(source)])
-    guard = short.agg(F.max(source).alias("_short")).select(
-        F.when(F.col("_short").isNotNull(), F.raise_error(F.concat(F.lit("sample larger than source "), F.col("_short")))).otherwise(F.lit(True)).alias("_ok")
-    )
-    taken = taken.join(F.broadcast(guard), F.col("_ok"), "left_semi")  # one row
-    return taken.unionByName(whole)
+    limit = F.create_map(*[x for k, v in numbers.items() for x in (F.lit(k), F.lit(v))])
+    some = listed.where(F.col(source).isin(list(numbers))).withColumn("_shuffle", shuffle_key(seed, key)).withColumn("_bucket", F.substring("_shuffle", 1, DIGITS))
+    counts = some.groupBy(source, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(source).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows a source
+    sized = counts.withColumn("_left", limit[F.col(source)] - F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(source)))
+    short = F.raise_error(F.concat(F.lit("sample larger than source "), F.col(source)))
+    checked = sized.withColumn("_left", F.when(F.col("_all") < limit[F.col(source)], short.cast("long")).otherwise(F.col("_left"))).where("_left > 0")
+    # BUCKETS rows a source at most
+    taken = some.join(F.broadcast(checked.where("_n <= _left").select(source, "_bucket")), [source, "_bucket"], "left_semi").select(*df.columns)
+    cut = some.join(F.broadcast(checked.where("_n > _left").select(source, "_bucket", "_left")), [source, "_bucket"])
+    rank = F.row_number().over(Window.partitionBy(source).orderBy("_shuffle", key))  # of one bucket
+    last = cut.withColumn("_rn", rank).where("_rn <= _left").select(*df.columns)
+    return taken.unionByName(last).unionByName(whole)
 
 
 def exact_split(df: DataFrame, fraction: float, key: str, seed: int = 0) -> DataFrame:

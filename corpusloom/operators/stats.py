@@ -56,3 +56,22 @@ def packing_report(stats: DataFrame, length: int, input_dir: str, eos_token_id:
     r = stats.first()
     keys = ("total_sequences", "total_tokens", "avg_tokens_per_sequence", "avg_examples_per_sequence")
     return {"config": {"max_seq_length": length, "eos_token_id": eos_token_id, "input_dir": input_dir}, "statistics": {"train": {k: r[k] for k in keys}}}
+
+
+def token_summary(report: dict) -> str:
+    """The token report as text: sources by share, with thousands separators."""
+    lines = [f"Total tokens: {report['total_tokens']:,}"]
+    for name, share in sorted(report["percentages"].items(), key=lambda x: -x[1]):
+        lines.append(f"  {name:<20} {report['tokens_per_source'].get(name, 0):>15,} ({share:.1%})")
+    return "\n".join(lines)
+
+
+def packing_summary(statistics: dict) -> str:
+    return "\n".join(
+        [
+            f"Packed sequences: {statistics['total_sequences']:,}",
+            f"Total tokens: {statistics['total_tokens']:,}",
+            f"Avg tokens per sequence: {statistics['avg_tokens_per_sequence']:.1f}",
+            f"Avg examples per sequence: {statistics['avg_examples_per_sequence']:.2f}",
+        ]
+    )

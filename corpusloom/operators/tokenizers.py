@@ -43,6 +43,31 @@ class NativeTokenizer:
         return df.withColumn("input_ids", native_ids(F.col("text"))).withColumn("num_tokens", native_count(F.col("text")))
 
 
+#: Bytes of text that are encoded at once.
+ENCODE_BYTES = 4 << 20
+_ENCODERS: dict[int, object] = {}
+
+
+def by_bytes(batch: pa.RecordBatch, size: int = ENCODE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of about size bytes, of one row at least."""
+    rows = max(1, int(batch.num_rows * size / max(batch.nbytes, size)))
+    for first in range(0, batch.num_rows, rows):
+        yield batch.slice(first, rows)
+
+
+def _encoder(definition: str):
+    """The encoder of a definition, made once per worker process."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer as Encoder
+
+    if hash(definition) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[hash(definition)] = Encoder.from_str(definition)
+    return _ENCODERS[hash(definition)]
+
+
 class BpeTokenizer:
     """A tokenizers JSON definition, sent to the workers once as a string and encoded in Arrow batches."""
 
@@ -59,16 +84,12 @@ class BpeTokenizer:
         at = df.columns.index("text")
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import os
-
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer as Encoder
-
-            encoder = Encoder.from_str(sent.value)
-            for b in batches:
-                ids = [e.ids for e in encoder.encode_batch(b.column(at).to_pylist(), add_special_tokens=False)]
-                cols = [*b.columns, pa.array(ids, pa.list_(pa.int64())), pa.array(map(len, ids), pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "input_ids", "num_tokens"])
+            encoder = _encoder(sent.value)
+            for batch in batches:
+                for b in by_bytes(batch):
+                    ids = [e.ids for e in encoder.encode_batch(b.column(at).to_pylist(), add_special_tokens=False)]
+                    cols = [*b.columns, pa.array(ids, pa.list_(pa.int64())), pa.array(map(len, ids), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "input_ids", "num_tokens"])
 
         checked = df.withColumn("text", F.coalesce("text", F.raise_error(F.lit("null text"))))
         out = T.StructType([*checked.schema.fields, T.StructField("input_ids", T.ArrayType(T.LongType())), T.StructField("num_tokens", T.LongType())])

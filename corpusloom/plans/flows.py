@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.config import RunConfig
 from corpusloom.operators import packing, sampling, stats
 from corpusloom.operators.tokenizers import BpeTokenizer, NativeTokenizer, append_eos
+from corpusloom.shipping import ship_package
 from corpusloom.sources import read_sources, read_split, write_json, write_mixture, write_packed, write_splits
 
 
@@ -27,24 +28,29 @@ def tokenize_and_split(spark: SparkSession, config: RunConfig, data: str, out: s
     """A mixture -> out/split={train,test} and out/token_distribution.json (counted before the split)."""
     t = config.tokenize
     rows = spark.read.parquet(data)
+    split = exact_split_of(rows, t.test_size, t.seed)  # on texts: tokens are made after it, once
     if t.tokenizer:
-        tokens = BpeTokenizer.from_file(t.tokenizer).tokenize(append_eos(rows, t.eos))
+        ship_package(spark)
+        tokens = BpeTokenizer.from_file(t.tokenizer).tokenize(append_eos(split, t.eos))
     else:
-        tokens = NativeTokenizer().tokenize(rows)
-    keyed = tokens.withColumn("order_key", F.sha2("text", 256))
-    split = sampling.exact_split(keyed, t.test_size, "order_key", t.seed)
-    write_splits(split, out)  # tokens are made once; what follows reads them
+        tokens = NativeTokenizer().tokenize(split)
+    write_splits(tokens, out)
     written = spark.read.parquet(out).withColumn("num_tokens", F.size("input_ids").cast("long"))
     write_json(spark, stats.token_report(written), f"{out}/token_distribution.json")
 
 
+def exact_split_of(rows: DataFrame, test_size: float, seed: int) -> DataFrame:
+    """Rows without an id, split by a digest of their text; identical texts are interchangeable."""
+    return sampling.exact_split(rows.withColumn("order_key", F.sha2("text", 256)), test_size, "order_key", seed)
+
+
 def pack_split(spark: SparkSession, config: RunConfig, tokenized: str, out: str, split: str = "train") -> DataFrame:
     """One split -> out/<split> and out/packing_stats.json; packed in shuffle order."""
     length = config.pack.max_seq_length
     rows = read_split(spark, tokenized, split).withColumn("num_tokens", F.size("input_ids").cast("long"))
     bucket = F.floor(F.col("shuffle_rank") / 65_536)
     write_packed(packing.pack(rows, length, "shuffle_rank", bucket), f"{out}/{split}")
-    report = stats.packing_report(packing.packing_stats(rows, length), length, tokenized)
+    report = stats.packing_report(packing.packing_stats(rows, length), length, tokenized, config.pack.eos_token_id)
     write_json(spark, report, f"{out}/packing_stats.json")
     return spark.read.parquet(f"{out}/{split}")
 

@@ -16,6 +16,7 @@ _BATCH = "(SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS bat
 _CUT = f"(SELECT t.doc_id, batch_id, ids[1:512] AS ids, max(len(ids[1:512])) OVER (PARTITION BY batch_id) AS w FROM (SELECT doc_id, {_IDS} AS ids FROM documents) t JOIN {_BATCH} b USING (doc_id))"
 _RUNS = "(SELECT user_id AS run, event_id AS step, value AS val_loss FROM events)"
 _NAMES = "(SELECT unnest(['src0', 'src1', 'src2', 'absent_a', 'absent_b']) AS dataset)"
+_EPOCHS = "(SELECT event_id, event_id // 20 AS epoch, CASE WHEN event_id < 40 THEN event_id % 20 ELSE event_id - 10 END AS step, event_id % 7 + 1 AS n FROM events WHERE event_id < 60)"
 _CKPT = "(SELECT value AS val_loss, event_id AS step, 'ckpt/' || event_id AS path FROM events)"
 
 ORACLES: dict[str, str] = {
@@ -63,4 +64,15 @@ ORACLES: dict[str, str] = {
     "checkpoint_admission": f"SELECT a.run, a.step, count(b.step) < 5 AS admitted FROM {_RUNS} a LEFT JOIN {_RUNS} b ON a.run = b.run AND b.step < a.step AND b.val_loss <= a.val_loss GROUP BY a.run, a.step",
     "checkpoint_names": "SELECT event_id, printf('checkpoint-step%d-loss%.4f', event_id, value::DECIMAL(18, 4)::DOUBLE) AS name, printf('%s_step%d.json', event_type, event_id) AS eval_file FROM events",
     "eval_metrics_long": "SELECT event_id AS step, 'eval/' || event_type || '/' || m AS metric, CASE WHEN m = 'acc' THEN value ELSE user_id::DOUBLE END AS value FROM events, (SELECT unnest(['acc', 'user']) AS m) WHERE user_id % 2 = 0 AND event_id % 5 <> 0",
+    # The driver runs these queries at this scale; file names are all that a view can't tell.
+    "source_file_manifest": "SELECT 'sf0.01' AS dataset, parse_filename(file) AS name FROM glob('/root/testdata/sf0.01/*.parquet')",
+    "files_by_top_folder": "SELECT 'sf0.01' AS dataset, 'sf0.01' AS top, substr(file, length('/root/testdata/sf0.01/') + 1) AS path FROM glob('/root/testdata/sf0.01/**/*.parquet')",
+    "merge_source_files": "SELECT text FROM documents UNION ALL SELECT text FROM benchmark",
+    "mean_loss_per_step": "SELECT event_id % 97 AS step, round(avg(value), 4) AS loss FROM events GROUP BY 1",
+    "stop_at_steps": f"SELECT epoch, step FROM {_EPOCHS} WHERE step < 15 OR step = 30",
+    "stop_at_tokens_first": f"SELECT epoch, step, (40 + s)::BIGINT AS tokens_seen FROM (SELECT *, sum(n) OVER (ORDER BY event_id) AS s FROM {_EPOCHS}) WHERE event_id = 0 OR 40 + s - n < 100",
+    "resume_from_last": "SELECT 1 AS epoch, n // 16 AS global_step, n // 16 % 10 AS step_in_epoch, n AS tokens_seen, true AS fresh FROM (SELECT count(*) AS n FROM documents)",
+    "packing_summary": f"SELECT format('{{:,}}', ceil(sum(num_tokens) / 2048)::BIGINT) AS sequences, format('{{:,}}', sum(num_tokens)::BIGINT) AS tokens, printf('%.1f', round(sum(num_tokens) / ceil(sum(num_tokens) / 2048), 4)) AS per_sequence, printf('%.2f', round(count(*) / ceil(sum(num_tokens) / 2048), 4)) AS examples FROM {_COUNTED}",
+    "checkpoint_prunes": f"SELECT run, step, 'ckpt/' || gone AS removed FROM (SELECT *, max(CASE WHEN gone = step THEN r END) OVER (PARTITION BY run, step) AS own FROM (SELECT a.run, a.step, b.step AS gone, row_number() OVER (PARTITION BY a.run, a.step ORDER BY b.val_loss, b.step DESC) AS r FROM {_RUNS} a JOIN {_RUNS} b ON a.run = b.run AND b.step <= a.step)) WHERE (own <= 6 AND r = 6) OR (own > 6 AND gone = step)",
+    "last_checkpoints": f"SELECT run, max(step) AS step, run || '/last' AS path FROM {_RUNS} GROUP BY run",
 }

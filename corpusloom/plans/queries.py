@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions import checkpoint_name, eval_file_name, tokens_checksum
+from corpusloom.functions import checkpoint_name, eval_file_name, source_of_top, tokens_checksum
 from corpusloom.operators import batching, packing, runlog, sampling, stats
 from corpusloom.operators.prefix import key_bucket, prefix_sum
 from corpusloom.operators.tokenizers import BpeTokenizer, NativeTokenizer, append_eos, native_count, native_ids
-from corpusloom.sources import file_manifest, read_source
+from corpusloom.shipping import ship_package
+from corpusloom.sources import file_manifest, list_files, read_source, write_one_file
+from corpusloom.storage import scratch_path
 
 #: Parameters of the queries; oracles.py has the same.
 LENGTH, BATCH, CUT, EOS_TEXT = 2048, 16, 512, "<|eos|>"
@@ -80,6 +82,7 @@ def tokenize_native(spark, d):
 def tokenize_bpe(spark, d):
     import public_tokenizers
 
+    ship_package(spark)
     got = BpeTokenizer.from_file(public_tokenizers.path(BPE_NAME)).tokenize(append_eos(_docs(spark, d, "doc_id", "text"), EOS_TEXT))
     return got.select("doc_id", F.col("num_tokens").alias("n_tokens"), tokens_checksum(F.col("input_ids")).alias("checksum"))
 
@@ -155,13 +158,34 @@ def union_sources(spark, d):
 
 
 def source_file_manifest(spark, d):
+    """Files by the folder they lie in; the folders of tables stand for sources."""
     root, _, name = d.rstrip("/").rpartition("/")
-    found = file_manifest(spark, root)  # folders of tables stand for sources
-    return found.where(F.col("dataset") == name).groupBy("dataset").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    found = file_manifest(spark, root).where(F.col("dataset") == name)
+    return found.select("dataset", F.element_at(F.split("path", "/"), -1).alias("name"))
+
+
+def files_by_top_folder(spark, d):
+    """Files below the tables' parent folder, at any depth, by the first part of their path."""
+    root, _, name = d.rstrip("/").rpartition("/")
+    rows = [(name, f) for f in list_files(spark, d)]
+    return spark.createDataFrame(rows, "dataset string, path string").select("dataset", source_of_top(F.concat("dataset", F.lit("/"), "path")).alias("top"), "path")
 
 
 def scan_jsonl_parquet_union(spark, d):
-    return read_source(spark, [f"{d}/documents.parquet", f"{d}/benchmark.parquet"], "mixed")
+    """Documents as JSON lines and items as Parquet: one source in both formats."""
+    lines = scratch_path(spark, "source") + "/documents.jsonl"
+    spark.read.parquet(f"{d}/documents.parquet").select("text", "doc_id").write.json(lines)
+    return read_source(spark, [lines, f"{d}/benchmark.parquet"], "mixed")
+
+
+def merge_source_files(spark, d):
+    """Two tables' texts, merged to one file and read again."""
+    out = scratch_path(spark, "merged")
+    parts = [f"{out}/{n}" for n in ("a", "b")]
+    for part, name in zip(parts, ("documents", "benchmark"), strict=True):
+        spark.read.parquet(f"{d}/{name}.parquet").select("text").write.parquet(part)
+    write_one_file(spark, parts, f"{out}/train_data.parquet")
+    return spark.read.parquet(f"{out}/train_data.parquet")
 
 
 def token_offsets(spark, d):
@@ -218,6 +242,45 @@ def loss_per_step(spark, d):
     return runlog.reduce_per_step(ev, "step", "value", "sum", "loss_sum").withColumn("loss_sum", F.col("loss_sum").cast("double"))
 
 
+def mean_loss_per_step(spark, d):
+    ev = _events(spark, d).select((F.col("event_id") % 97).alias("step"), "value")
+    return runlog.reduce_per_step(ev, "step", "value", "mean", "loss").select("step", F.round("loss", 4).alias("loss"))
+
+
+def _epochs(spark, d):
+    """Batches of two epochs of 20 each, and one of an epoch that is resumed at step 30."""
+    step = F.col("event_id")
+    return _events(spark, d).where("event_id < 60").select(step, (step / 20).cast("int").alias("epoch"), F.when(step < 40, step % 20).otherwise(step - 10).alias("step"), (step % 7 + 1).alias("n"))
+
+
+def stop_at_steps(spark, d):
+    return runlog.stop_cut(_epochs(spark, d), "n", ["event_id"], key_bucket("event_id"), total_steps=15).select("epoch", "step")
+
+
+def stop_at_tokens_first(spark, d):
+    got = runlog.stop_cut(_epochs(spark, d), "n", ["event_id"], key_bucket("event_id"), total_tokens=100, total_steps=1, start=40)
+    return got.select("epoch", "step", "tokens_seen")
+
+
+def resume_from_last(spark, d):
+    """The counters of a run over all documents, saved in the last slot and found again; a slot without state is none."""
+    n = spark.read.parquet(f"{d}/documents.parquet").count()
+    folder = scratch_path(spark, "run")
+    last = runlog.save_last(spark, runlog.Counters(1, n // BATCH, n // BATCH % 10, n), folder)
+    got, none = runlog.resume(spark, last), runlog.resume(spark, f"{folder}/none")
+    return spark.createDataFrame([(*got.state_dict().values(), none is None)], "epoch long, global_step long, step_in_epoch long, tokens_seen long, fresh boolean")
+
+
+def packing_summary(spark, d):
+    s = packing.packing_stats(_counted(spark, d), LENGTH)
+    return s.select(
+        F.format_number("total_sequences", 0).alias("sequences"),
+        F.format_number("total_tokens", 0).alias("tokens"),
+        F.format_string("%.1f", F.round("avg_tokens_per_sequence", 4)).alias("per_sequence"),
+        F.format_string("%.2f", F.round("avg_examples_per_sequence", 4)).alias("examples"),
+    )
+
+
 def val_loss_mean_of_means(spark, d):
     ev = _events(spark, d).select((F.col("event_id") % 4).alias("rank"), (F.col("event_id") / F.lit(64)).cast("long").alias("batch"), "value")
     return runlog.mean_of_batch_means(ev, "value", "rank", "batch").select(F.round("val_loss", 4).alias("val_loss"))
@@ -255,9 +318,20 @@ def best_checkpoint(spark, d):
 
 
 def checkpoint_admission(spark, d):
+    ship_package(spark)
     return runlog.checkpoint_admission(_runs(spark, d), TOP, run="run").select("run", "step", "admitted")
 
 
+def checkpoint_prunes(spark, d):
+    ship_package(spark)
+    saved = _runs(spark, d).withColumn("path", F.concat(F.lit("ckpt/"), F.col("step").cast("string")))
+    return runlog.checkpoint_prunes(saved, TOP)
+
+
+def last_checkpoints(spark, d):
+    return runlog.last_checkpoints(_runs(spark, d))
+
+
 def checkpoint_names(spark, d):
     ev = _events(spark, d)
     return ev.select("event_id", checkpoint_name(F.col("event_id"), F.col("value").cast("decimal(18,4)").cast("double")).alias("name"), eval_file_name(F.col("event_type"), F.col("event_id")).alias("eval_file"))
@@ -282,9 +356,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         append_eos_query, tokenize_native, tokenize_bpe, token_counts, token_distribution, token_distribution_sorted,
         pack_sequences, pack_doc_spans, pack_tail, packing_stats, mixture_sample, mixture_sample_keep_all,
         rows_per_source, mixture_proportions, train_test_split, val_head, eval_limit, union_sources,
-        source_file_manifest, scan_jsonl_parquet_union, token_offsets, cumulative_tokens, token_budget_cut,
+        source_file_manifest, files_by_top_folder, scan_jsonl_parquet_union, merge_source_files, token_offsets, cumulative_tokens, token_budget_cut,
         batch_assign, resume_skip_batches, shard_batches, collate_pad, attention_mask, label_mask, tokens_per_step,
-        loss_per_step, val_loss_mean_of_means, log_every_n, lr_schedule, checkpoint_schedule, topk_checkpoints,
-        best_checkpoint, checkpoint_admission, checkpoint_names, eval_metrics_long,
+        loss_per_step, mean_loss_per_step, stop_at_steps, stop_at_tokens_first, resume_from_last, packing_summary, val_loss_mean_of_means, log_every_n, lr_schedule, checkpoint_schedule, topk_checkpoints,
+        best_checkpoint, checkpoint_admission, checkpoint_prunes, last_checkpoints, checkpoint_names, eval_metrics_long,
     )
 }

@@ -4,17 +4,22 @@ from corpusloom.sources.readers import (
     MissingSourceError,
     check_sources,
     file_manifest,
+    files_by_folder,
+    list_files,
     read_packed,
     read_source,
     read_sources,
     read_split,
+    read_text,
     read_token_report,
 )
 from corpusloom.sources.writers import (
     append_metrics,
+    write_config,
     write_eval_results,
     write_json,
     write_mixture,
+    write_one_file,
     write_packed,
     write_splits,
 )
@@ -24,14 +29,19 @@ __all__ = [
     "append_metrics",
     "check_sources",
     "file_manifest",
+    "files_by_folder",
+    "list_files",
     "read_packed",
     "read_source",
     "read_sources",
     "read_split",
+    "read_text",
     "read_token_report",
+    "write_config",
     "write_eval_results",
     "write_json",
     "write_mixture",
+    "write_one_file",
     "write_packed",
     "write_splits",
 ]

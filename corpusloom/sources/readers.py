@@ -24,6 +24,31 @@ def _paths(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(x.getPath().toString() for x in found or [])
 
 
+def list_files(spark: SparkSession, root: str, suffix: str = ".parquet") -> list[str]:
+    """The paths below root, at any depth, that end with suffix, in order; relative to root."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, base, files = fs.listFiles(p, True), fs.makeQualified(p).toString().rstrip("/") + "/", []
+    while found.hasNext():
+        name = found.next().getPath().toString().removeprefix(base)
+        if name.endswith(suffix) and not any(x.startswith(("_", ".")) for x in name.split("/")):
+            files.append(name)
+    return sorted(files)
+
+
+def files_by_folder(spark: SparkSession, root: str, suffix: str = ".parquet") -> dict[str, list[str]]:
+    """The files below root by the first part of their path; a file that lies in root itself is its own group."""
+    by: dict[str, list[str]] = {}
+    for f in list_files(spark, root, suffix):
+        by.setdefault(f.split("/", 1)[0], []).append(f"{root}/{f}")
+    return by
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as it is."""
+    return spark.read.text(path, wholetext=True).head()[0]
+
+
 def file_manifest(spark: SparkSession, root: str, exclude: Sequence[str] = ()) -> DataFrame:
     """(dataset, path) of root/<source>/*.{jsonl,parquet}, without paths that contain a string of exclude."""
     found = _paths(spark, f"{root}/*/*.jsonl") + _paths(spark, f"{root}/*/*.parquet")

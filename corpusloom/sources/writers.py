@@ -45,3 +45,14 @@ def write_eval_results(spark: SparkSession, results: list[dict], folder: str) ->
         paths.append(f"{folder}/{r['task_name']}_step{r['step']}.json")
         write_json(spark, {"step": r["step"], "metrics": r["metrics"], "num_samples": r["num_samples"]}, paths[-1])
     return paths
+
+
+def write_config(spark: SparkSession, config: dict, folder: str) -> str:
+    """folder/config.yaml: the resolved configuration, as JSON, which YAML readers read."""
+    write_json(spark, config, f"{folder}/config.yaml")
+    return f"{folder}/config.yaml"
+
+
+def write_one_file(spark: SparkSession, paths: list[str], path: str) -> None:
+    """The rows of many Parquet files in a folder with one part file; the only task streams them."""
+    spark.read.parquet(*paths).coalesce(1).write.mode("overwrite").parquet(path)

@@ -10,7 +10,7 @@ from corpusloom.config import RunConfig
 from corpusloom.functions import python_round
 from corpusloom.operators import runlog, sampling, stats
 from corpusloom.operators.tokenizers import append_eos
-from corpusloom.sources import MissingSourceError, check_sources, read_sources, read_token_report
+from corpusloom.sources import MissingSourceError, check_sources, files_by_folder, read_sources, read_token_report
 from corpusloom.sources.writers import append_metrics
 from corpusloom.streaming import stream_metrics
 
@@ -112,6 +112,7 @@ def test_chain_by_command_line(spark, tmp_path):
     cli.main(["pack", "--max-seq-length", "7", "--input-dir", f"{tmp_path}/tok"], spark)
     packed = json.loads((tmp_path / "tok/packed_train_data_7/packing_stats.json").read_text())
     assert packed["statistics"]["train"]["total_tokens"] == 24 * 4
+    assert json.loads((tmp_path / "tok/packed_train_data_7/_run/config.yaml").read_text())["pack"] == {"max_seq_length": 7, "eos_token_id": 0}
     sizes = [r[0] for r in spark.read.parquet(f"{tmp_path}/tok/packed_train_data_7/train").orderBy("seq").selectExpr("size(input_ids)").collect()]
     assert sizes == [7] * 13 + [5]
     assert read_token_report(spark, f"{tmp_path}/none.json") is None
@@ -130,3 +131,89 @@ def test_metric_log_batch_and_stream(spark, tmp_path):
     stream_metrics(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/slog", f"{tmp_path}/cp", "r1").awaitTermination()
     key = lambda p: sorted(map(tuple, spark.read.parquet(p).select("step", "metric", "value").collect()))
     assert key(f"{tmp_path}/log") == key(f"{tmp_path}/slog") == [(1, "loss", 0.5), (2, "loss", 0.25), (2, "norm", 3.0)]
+
+
+def test_sample_is_the_first_of_each_source(spark, monkeypatch):
+    """Whole buckets and the cut one together are the n smallest shuffle keys."""
+    for digits in (1, 3):
+        monkeypatch.setattr(sampling, "DIGITS", digits)
+        df = table(spark, 2000).withColumn("text", F.lit("t"))
+        got = sampling.exact_sample(df, {"s0": 333, "s1": 1, "s2": 0}, "k")
+        assert got.columns == df.columns
+        keyed = df.withColumn("h", sampling.shuffle_key(0, "k")).orderBy("h").collect()
+        want = {r.k for r in [x for x in keyed if x.dataset == "s0"][:333] + [x for x in keyed if x.dataset == "s1"][:1]}
+        assert {r.k for r in got.collect()} == want
+
+
+def test_stop_rule_priorities(spark):
+    df = spark.createDataFrame([(i, i // 4, i % 4, 5) for i in range(8)], "at long, epoch int, step int, n int")
+    steps = lambda **k: [r.at for r in runlog.stop_cut(df, "n", ["at"], F.col("at"), **k).orderBy("at").collect()]
+    assert steps() == list(range(8)) and steps(total_steps=2) == [0, 1, 4, 5] and steps(total_steps=0) == [0, 4]
+    assert steps(total_steps=1, total_tokens=12) == [0, 1, 2] and steps(total_tokens=12, start=99) == [0]
+
+
+def test_last_slot_and_resume(spark, tmp_path):
+    runlog.save_last(spark, runlog.Counters(0, 3, 3, 9), str(tmp_path))
+    last = runlog.save_last(spark, runlog.Counters(1, 7, 2, 50), str(tmp_path))
+    assert runlog.resume(spark, last) == runlog.Counters(1, 7, 2, 50)
+    (tmp_path / "weights-only").mkdir()
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd/state").write_text("a file")
+    assert [runlog.resume(spark, x) for x in (None, f"{tmp_path}/weights-only", f"{tmp_path}/odd")] == [None] * 3
+
+
+def test_prunes_against_a_heap(spark):
+    rng = random.Random(4)
+    rows = [("r", i, rng.randrange(5) / 2, f"p{i}") for i in range(40)]
+    kept, want = [], []
+    for _, i, loss, path in rows:
+        heapq.heappush(kept, (-loss, i, path))
+        if len(kept) > 3:
+            want.append((i, heapq.heappop(kept)[2]))
+    got = runlog.checkpoint_prunes(spark.createDataFrame(rows, "run string, step long, val_loss double, path string"), 3)
+    assert [(r.step, r.removed) for r in got.orderBy("step").collect()] == want
+
+
+def test_tasks_are_kept_apart(spark, tmp_path):
+    def fails(df):
+        raise NotImplementedError("later")
+
+    load = lambda s: s.range(20)
+    tasks = [
+        runlog.EvalTask("a", load, lambda df: {"acc": df.where("id < 5").count() / df.count()}, ["id"], limit=10),
+        runlog.EvalTask("b", load, fails, ["id"]),
+        runlog.EvalTask("c", load, lambda df: {}, ["id"], enabled=False),
+    ]
+    results, errors = runlog.run_tasks(spark, tasks, 7, log_predictions=True, folder=f"{tmp_path}/eval")
+    assert results == [{"task_name": "a", "step": 7, "metrics": {"acc": 0.5}, "num_samples": 10}] and errors == {"b": "later"}
+    assert json.loads((tmp_path / "eval/a_step7.json").read_text())["num_samples"] == 10
+    assert runlog.run_tasks(spark, tasks, 7, enabled=False, log_predictions=True, folder=f"{tmp_path}/none") == ([], {})
+    runlog.run_tasks(spark, tasks, 8, folder=f"{tmp_path}/none")
+    assert not (tmp_path / "none").exists()
+
+
+def test_fetch_groups_by_the_first_folder(spark, tmp_path):
+    for name in ("web/x/1.parquet", "web/2.parquet", "books/deep/er/3.parquet"):
+        spark.createDataFrame([(name,)], "text string").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+    assert set(files_by_folder(spark, f"{tmp_path}/in")) == {"web", "books"}
+    cli.main(["fetch", "--root", f"{tmp_path}/in", "--output-path", f"{tmp_path}/out"], spark)
+    assert {r.text for r in spark.read.parquet(f"{tmp_path}/out/web/train_data.parquet").collect()} == {"web/x/1.parquet", "web/2.parquet"}
+    assert len(list((tmp_path / "out/books/train_data.parquet").glob("part-*"))) == 1
+
+
+def test_tokens_are_made_once(spark, tmp_path):
+    import public_tokenizers
+
+    from corpusloom.operators.tokenizers import BpeTokenizer
+    from corpusloom.plans.flows import exact_split_of
+
+    rows = spark.createDataFrame([(f"text {i}", "web") for i in range(30)], "text string, dataset string")
+    tokens = BpeTokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).tokenize(append_eos(exact_split_of(rows, 0.1, 0), "<eos>"))
+    assert tokens._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert tokens.where("split = 'test'").count() == 3
+
+
+def test_summaries():
+    report = {"total_tokens": 12345, "tokens_per_source": {"a": 345, "b": 12000}, "percentages": {"a": 0.028, "b": 0.972}}
+    assert stats.token_summary(report).splitlines()[:2] == ["Total tokens: 12,345", f"  {'b':<20} {'12,000':>15} (97.2%)"]
+    assert "Total tokens: 4,096" in stats.packing_summary({"total_sequences": 2, "total_tokens": 4096, "avg_tokens_per_sequence": 2048.0, "avg_examples_per_sequence": 1.5})
