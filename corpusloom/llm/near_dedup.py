@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import BROADCAST_IDS, skew_join
 from corpusloom.llm.hashing import BASE, mix, shingle_sets, slices
-from corpusloom.llm.worker import frugal, prepare
+from corpusloom.llm.worker import frugal, prepare, trim
 from corpusloom.schemas import require
 from corpusloom.storage import drop_tables, materialize
 
@@ -51,6 +51,8 @@ BANDS, ROWS = 21, 3
 COORDINATES, ESTIMATE, GLANCE = BANDS * ROWS, 1008, 126
 #: Classes of a block that a task compares.
 BLOCK = 4096
+#: Classes of a block after which a worker gives freed memory back.
+TRIMMED = 256
 #: Sets of at most so many elements run all rounds at once.
 SMALL_SET = 64
 SEEDS = mix(np.arange(1, 2 * ESTIMATE + 1, dtype=np.uint64) * np.uint64(BASE))
@@ -280,7 +282,15 @@ def _across(rest: DataFrame, reps: DataFrame, places: DataFrame, percent: int) -
         F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
     )
     full = task.join(whose.drop("copies"), "id")
-    return materialize(full.groupBy("bucket", "x", "y").applyInPandas(lambda rows: cross_pairs(rows, percent), "a long, b long").distinct(), "likely-pairs")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return cross_pairs(rows, percent)
+        finally:
+            if len(rows) >= TRIMMED:
+                trim()
+
+    return materialize(full.groupBy("bucket", "x", "y").applyInPandas(compare, "a long, b long").distinct(), "likely-pairs")
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
