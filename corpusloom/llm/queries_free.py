@@ -1,15 +1,17 @@
-"""Queries of operators 1, 2, 4, 6, 7 and 10, and the DuckDB SQL of those that SQL can express."""
+"""Queries of operators 1, 2, 4, 6, 7 and 10 to 13, and the DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import best_fit, html_extract, line_dedup, near_dedup, quality, suffix_decontam
+from corpusloom.llm import best_fit, byte_bpe, conversation_repair, html_extract, line_dedup, near_dedup, quality, suffix_decontam, vector_codes
 from corpusloom.storage import materialize
 
 #: The tokenizer definition that op2 uses; any byte-level definition can be given to the operator.
 TOKENIZER = "byte_bpe_50k.json"
+#: The ranks that op12 uses; their pattern is their package's.
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def tokenizer_definition(name: str = TOKENIZER) -> str:
@@ -48,7 +50,29 @@ def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return line_dedup.dedup_digest(spark.read.parquet(f"{d}/documents.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_best_fit_packing, op4_near_dedup, op6_decontamination, op7_quality_classifier, op10_line_dedup)}
+def op11_vector_codes(spark: SparkSession, d: str) -> DataFrame:
+    return vector_codes.code_digest(spark.read.parquet(f"{d}/embeddings.parquet"))
+
+
+def op12_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(RANKS), "rb") as f:  # the driver's file; workers get its content
+        bpe = byte_bpe.ByteBpe(f.read(), public_tokenizers.PATTERN)
+    return byte_bpe.encoded_digest(spark.read.parquet(f"{d}/documents.parquet"), bpe)
+
+
+def op13_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    return conversation_repair.repair_digest(spark.read.parquet(f"{d}/conversations.parquet"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_extraction, op2_best_fit_packing, op4_near_dedup, op6_decontamination, op7_quality_classifier, op10_line_dedup,
+        op11_vector_codes, op12_byte_bpe, op13_conversation_repair,
+    )
+}
 
 _WHITE = r"[ \t\n\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _LEAST = line_dedup.MIN_WORDS
@@ -77,4 +101,30 @@ SELECT doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed_chars, 0) A
        sha256(CASE WHEN n_removed IS NULL THEN t ELSE array_to_string(list_transform(range(1, len(la) + 2), lambda i: t[(CASE WHEN i = 1 THEN 0 ELSE lb[i - 1] END) + 1 : (CASE WHEN i > len(la) THEN length(t) ELSE la[i] END)]), '') END) AS clean_sha256
 FROM d LEFT JOIN k USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op10_line_dedup": _OP10}
+
+
+def _op11() -> str:
+    """Integer vectors, their parts, and codebooks b0, b1 ... after each round; a distance and an entry's index share one number."""
+    k, parts, scale = vector_codes.ENTRIES, vector_codes.PARTS, vector_codes.SCALE
+    nearest = "SELECT r, x.p, min(list_sum(list_transform(list_zip(x.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 256 + e) AS de FROM x JOIN {b} b ON x.p = b.p GROUP BY r, x.p"
+    with_ = [
+        f"k AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS r, list_transform(embedding, lambda y: floor({scale} * y::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0)",
+        f"x AS (SELECT r, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM k, (SELECT unnest(range({parts})) AS p))",
+        f"b0 AS (SELECT p, r - 1 AS e, x FROM x WHERE r <= {k})",
+    ]
+    for i in range(vector_codes.ROUNDS):
+        with_ += [
+            f"a{i} AS ({nearest.format(b=f'b{i}')})",
+            f"u{i} AS (SELECT p, e, list(floor(s::DOUBLE / n)::BIGINT ORDER BY i) AS x FROM (SELECT p, de % 256 AS e, i, sum(x[i]) AS s, count(*) AS n FROM a{i} JOIN x USING (r, p), (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM x))) AS i) GROUP BY ALL) GROUP BY p, e)",
+            f"b{i + 1} AS (SELECT p, e, coalesce(u{i}.x, b{i}.x) AS x FROM b{i} LEFT JOIN u{i} USING (p, e))",
+        ]
+    last = f"b{vector_codes.ROUNDS}"
+    with_ += [
+        f"a AS ({nearest.format(b=last)})",
+        "c AS (SELECT r, string_agg(printf('%02x', de % 256), '' ORDER BY p) AS code, sum(de // 256)::BIGINT AS error FROM a GROUP BY r)",
+        f"h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM {last})",
+    ]
+    return f"WITH {', '.join(with_)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN c USING (r), h"
+
+
+ORACLES: dict[str, str] = {"op10_line_dedup": _OP10, "op11_vector_codes": _op11()}
