@@ -1,20 +1,19 @@
 """Queries over a run's log: budgets, reduces, schedules, checkpoint selection, counters and evaluation results.
 
-Logs have one row per step (or step and rank): small against the corpus. Windows over steps run per run.
+Logs have one row per step (or step and rank). What a step takes over from earlier ones is carried by prefix_scan(), in
+buckets of steps: one long run is not one task's.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from corpusloom.operators.prefix import prefix_sum
+from corpusloom.operators.history import checkpoint_history
+from corpusloom.operators.prefix import Running, free_names, key_bucket, prefix_scan, prefix_sum
 
 
 @dataclass
@@ -97,20 +96,63 @@ def lr_at(step: Column, lr: float, warmup_steps: int, start_factor: float | None
     return F.lit(lr) * (F.lit(sf) + F.lit(1 - sf) * F.least(step, F.lit(warmup_steps)) / F.lit(float(warmup_steps)))
 
 
-def checkpoint_schedule(df: DataFrame, val_every: int, save_every: int, step: str = "step", val_loss: str = "val_loss", epoch: str | None = None) -> DataFrame:
+def checkpoint_schedule(df: DataFrame, val_every: int, save_every: int, step: str = "step", val_loss: str = "val_loss", epoch: str | None = None, rows: int = 65_536) -> DataFrame:
     """df with action: 'validate' (top-k save), 'save' (periodic save only) or 'none', and the loss that a save carries.
 
     When both fall on one step, only the top-k path saves. A periodic save carries the epoch's last validation loss, or
-    infinity if that is not above 0.
+    infinity if that is not above 0. The last loss is carried in buckets of rows steps.
     """
     validate = (F.col(step) + 1) % val_every == 0
     save = ((F.col(step) + 1) % save_every == 0) & ~validate
-    # in each epoch (one window per epoch)
-    w = Window.partitionBy(epoch or F.lit(0)).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.coalesce(F.last(F.when(validate, F.col(val_loss)), ignorenulls=True).over(w), F.lit(0.0))
-    return df.withColumn("action", F.when(validate, "validate").when(save, "save").otherwise("none")).withColumn(
-        "carried_loss", F.when(F.col("action") == "none", F.lit(None)).otherwise(F.when(last > 0, last).otherwise(F.lit(float("inf"))))
-    )
+    of = F.col(epoch) if epoch else F.lit(0)
+    seen = F.when(validate & F.col(val_loss).isNotNull(), F.struct(of.alias("epoch"), F.col(val_loss).alias("loss")))
+    (name,) = free_names(df, "_seen")
+    got = prefix_scan(df, [epoch, step] if epoch else [step], F.struct(of, key_bucket(step, rows)), **{name: Running("last", seen)})
+    last = F.coalesce(F.when(F.col(name)["epoch"].eqNullSafe(of), F.col(name)["loss"]), F.lit(0.0))
+    carried = F.when(validate | save, F.when(last > 0, last).otherwise(F.lit(float("inf"))))
+    return got.withColumns({"action": F.when(validate, "validate").when(save, "save").otherwise("none"), "carried_loss": carried}).drop(name)
+
+
+def scheduled_history(df: DataFrame, k: int, val_every: int, save_every: int, run: str | None = None) -> DataFrame:
+    """The saves that checkpoint_schedule() asks for, on one list of k: step, action, val_loss, admitted, removed and kept.
+
+    df has step and val_loss (and run). A validation saves only if its loss is admitted, a periodic save always does. Paths are
+    named by step and loss.
+    """
+    due = checkpoint_schedule(df, val_every, save_every, epoch=run).where("action <> 'none'")
+    saves = due.select(*([run] if run else []), "step", F.col("carried_loss").alias("val_loss"), (F.col("action") == "save").alias("forced"))
+    named = saves.withColumn("path", F.concat(F.lit("checkpoint-step"), (F.col("step") + 1).cast("string")))
+    return checkpoint_history(named, k, run)
+
+
+def run_counters(df: DataFrame, order: Sequence[str], bucket: Column, tokens: str = "tokens", ended: str = "ended", restored: str = "restored") -> DataFrame:
+    """df with epoch, step_in_epoch, global_step and tokens_seen, as a checkpoint behind each batch saves them.
+
+    df has a row per trained batch, in order over all sessions of a run: its tokens; ended, if its epoch was over behind it (at
+    its natural end, or cut by a step limit); restored, the counters {epoch, global_step, step_in_epoch, tokens_seen} of the
+    checkpoint that the run resumed from before it, null if it just went on. A run that isn't restored begins with zeros.
+    Counts are segmented scans: sums over the run, less what they were where a resume or an epoch's end stands.
+    """
+    n, t, e, resumed, over = free_names(df, "_n", "_t", "_e", "_resumed", "_over")
+    is_over = F.coalesce(F.col(ended), F.lit(False))
+    sums = prefix_scan(
+        df, order, bucket,
+        **{n: Running("sum", F.lit(1).cast("long"), False), t: Running("sum", F.col(tokens).cast("long"), False), e: Running("sum", is_over.cast("long"), False)},
+    )
+    back = F.col(restored)
+    at = F.when(back.isNotNull(), F.struct(*[F.col(c).alias(k) for c, k in ((n, "n"), (t, "t"), (e, "e"))], back.alias("c")))
+    got = prefix_scan(sums, order, bucket, **{resumed: Running("last", at), over: Running("last", F.when(is_over, F.col(n) + 1), False)})
+    zero = lambda x: F.coalesce(x, F.lit(0).cast("long"))
+    base = lambda k: zero(F.col(resumed)["c"][k].cast("long"))
+    first, done = zero(F.col(resumed)["n"]), F.col(n) + 1
+    fresh = F.col(over).isNotNull() & (F.col(over) > first)  # an epoch ended in this session: not the one before a resume
+    counters = {
+        "epoch": base("epoch") + F.col(e) - zero(F.col(resumed)["e"]),
+        "step_in_epoch": F.when(fresh, done - F.col(over)).otherwise(base("step_in_epoch") + done - first),
+        "global_step": base("global_step") + done - first,
+        "tokens_seen": base("tokens_seen") + F.col(t) + F.col(tokens) - zero(F.col(resumed)["t"]),
+    }
+    return got.select(*df.columns, *[v.cast("long").alias(k) for k, v in counters.items()])
 
 
 def topk_checkpoints(df: DataFrame, k: int) -> DataFrame:
@@ -121,42 +163,25 @@ def topk_checkpoints(df: DataFrame, k: int) -> DataFrame:
 def checkpoint_admission(df: DataFrame, k: int, order: str = "step", run: str | None = None) -> DataFrame:
     """df with admitted: whether a new checkpoint enters the top k of those before it in its run.
 
-    It enters while fewer than k earlier losses are not larger than its own. Runs on validations, of which a run has a
-    few thousand; each run is one group, of which a heap of k losses is kept. k of 0 or less admits none.
+    It enters while fewer than k earlier losses are not larger than its own. k of 0 or less admits none. A row is known by its
+    run and its place in order.
     """
     if k <= 0:
         return df.withColumn("admitted", F.lit(False))
-
-    def admit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, best, told = rows.sort_values(order), [], []
-        for loss in rows["val_loss"]:
-            told.append(len(best) < k or loss < -best[0])
-            if told[-1]:
-                (heapq.heappush if len(best) < k else heapq.heapreplace)(best, -loss)
-        return rows.assign(admitted=told)
-
-    out = T.StructType([*df.schema.fields, T.StructField("admitted", T.BooleanType())])
-    return df.groupBy(*([run] if run else [])).applyInPandas(admit, out)
+    keys = [run, order] if run else [order]
+    saves = df.select(*keys, "val_loss").withColumnRenamed(order, "step").withColumns({"path": F.lit(""), "forced": F.lit(False)})
+    told = checkpoint_history(saves, k, run).withColumnRenamed("step", order).select(*keys, "admitted")
+    return df.join(told, keys)
 
 
 def checkpoint_prunes(df: DataFrame, k: int, run: str = "run") -> DataFrame:
-    """(run, step, removed): the path that goes when a step's checkpoint makes them more than k.
+    """(run, step, removed): the path that goes when a step's checkpoint, whatever its loss, makes them more than k.
 
     df has run, step, val_loss and path. The worst goes: the largest loss, of equal ones the smallest step, then path; it
     may be the new one. Steps after which none goes have no row.
     """
-
-    def prune(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        out = []
-        for name, step, loss, path in rows.sort_values("step")[[run, "step", "val_loss", "path"]].itertuples(index=False):
-            heapq.heappush(kept, (-loss, step, path))
-            if len(kept) > max(k, 0):
-                out.append((name, step, heapq.heappop(kept)[2]))
-        return pd.DataFrame(out, columns=[run, "step", "removed"])
-
-    kind = df.schema[run].dataType.simpleString()
-    return df.groupBy(run).applyInPandas(prune, f"`{run}` {kind}, step long, removed string")
+    saves = df.select(run, "step", "val_loss", "path").withColumn("forced", F.lit(True))
+    return checkpoint_history(saves, k, run).where("removed IS NOT NULL").select(run, "step", "removed")
 
 
 def last_checkpoints(df: DataFrame, run: str = "run") -> DataFrame:

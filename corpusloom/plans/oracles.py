@@ -16,9 +16,30 @@ _BATCH = "(SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS bat
 _CUT = f"(SELECT t.doc_id, batch_id, ids[1:512] AS ids, max(len(ids[1:512])) OVER (PARTITION BY batch_id) AS w FROM (SELECT doc_id, {_IDS} AS ids FROM documents) t JOIN {_BATCH} b USING (doc_id))"
 _RUNS = "(SELECT user_id AS run, event_id AS step, value AS val_loss FROM events)"
 _NAMES = "(SELECT unnest(['src0', 'src1', 'src2', 'absent_a', 'absent_b']) AS dataset)"
-_EPOCHS = "(SELECT event_id, event_id // 20 AS epoch, CASE WHEN event_id < 40 THEN event_id % 20 ELSE event_id - 10 END AS step, event_id % 7 + 1 AS n FROM events WHERE event_id < 60)"
+_EPOCHS = "(SELECT event_id, event_id // 200 AS epoch, event_id % 200 + CASE WHEN event_id // 200 % 7 = 3 THEN 150 ELSE 0 END AS step, event_id % 7 + 1 AS n FROM events)"
 _CKPT = "(SELECT value AS val_loss, event_id AS step, 'ckpt/' || event_id AS path FROM events)"
 
+_ONE_RUN = "(SELECT *, CASE WHEN action <> 'none' AND l > 0 THEN l END AS carried_loss FROM (SELECT *, CASE WHEN (step + 1) % 10 = 0 THEN 'validate' WHEN (step + 1) % 4 = 0 THEN 'save' ELSE 'none' END AS action, last_value(CASE WHEN (step + 1) % 10 = 0 THEN val_loss END IGNORE NULLS) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l FROM (SELECT event_id AS step, value AS val_loss FROM events)))"
+# One save after the other: s is the list of kept ones, the first of which goes next.
+_HISTORY = f"""
+WITH RECURSIVE due AS (SELECT row_number() OVER (ORDER BY step) AS i, step, action = 'save' AS forced, coalesce(carried_loss, 'inf'::DOUBLE) AS loss FROM {_ONE_RUN} WHERE action <> 'none'),
+     h AS (SELECT 0::BIGINT AS i, []::STRUCT(low DOUBLE, step BIGINT, path VARCHAR)[] AS s, NULL::BIGINT AS step, NULL::BOOLEAN AS forced, NULL::BOOLEAN AS admitted, NULL::VARCHAR AS removed
+           UNION ALL
+           SELECT i, CASE WHEN NOT enters THEN s WHEN len(more) > 5 THEN more[2:] ELSE more END, step, forced, enters, CASE WHEN enters AND len(more) > 5 THEN more[1].path END
+           FROM (SELECT d.i, d.step, d.forced, s, d.forced OR len(s) < 5 OR d.loss < -s[1].low AS enters, list_sort(list_append(s, {{'low': -d.loss, 'step': d.step, 'path': 'checkpoint-step' || (d.step + 1)}})) AS more FROM h JOIN due d ON d.i = h.i + 1))
+SELECT step, forced, admitted, removed, array_to_string(list_reverse(list_transform(s, lambda x: x.path)), ',') AS kept FROM h WHERE i > 0"""
+_LOG = "(SELECT event_id, event_id % 7 + 1 AS n, ((event_id + 1) % 200 = 0 OR event_id % 997 = 500)::INT AS ended, event_id % 1500 = 1499 AS back FROM events)"
+_SEGMENTS = f"(SELECT *, max(CASE WHEN back THEN event_id END) OVER (ORDER BY event_id) AS r FROM {_LOG})"
+_COUNTERS = f"(SELECT *, row_number() OVER w AS k, sum(n) OVER w AS t, coalesce(sum(ended) OVER (PARTITION BY r ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS e FROM {_SEGMENTS} WINDOW w AS (PARTITION BY r ORDER BY event_id))"
+# Batches, then what the first and the second session leave, numbered anew.
+_WORLDS = """
+WITH b AS (SELECT DISTINCT batch_id AS i FROM {batch}),
+     s0 AS (SELECT i, i AS j, i % 4 AS rank, i // 4 AS turn, i // 4 < [2, 1, 2, 2][i % 4 + 1] AS took FROM b),
+     s1 AS (SELECT i, j, j % 3 AS rank, j // 3 AS turn, j // 3 < [1, 0, 1][j % 3 + 1] AS took FROM (SELECT i, row_number() OVER (ORDER BY i) - 1 AS j FROM s0 WHERE NOT took)),
+     s2 AS (SELECT i, j % 5 AS rank, j // 5 AS turn FROM (SELECT i, row_number() OVER (ORDER BY j) - 1 AS j FROM s1 WHERE NOT took)),
+     a AS (SELECT i, 0 AS session, rank, turn FROM s0 WHERE took UNION ALL SELECT i, 1, rank, turn FROM s1 WHERE took UNION ALL SELECT i, 2, rank, turn FROM s2)
+SELECT doc_id, session, rank, turn FROM {batch} JOIN a ON a.i = batch_id"""
+
 ORACLES: dict[str, str] = {
     "scan_project_text": "SELECT text FROM documents",
     "tag_source": "SELECT doc_id, text, 'web' AS dataset FROM documents",
@@ -59,6 +80,12 @@ ORACLES: dict[str, str] = {
     "log_every_n": "SELECT event_id AS step, round(value, 4) AS loss FROM events WHERE event_id % 7 = 0",
     "lr_schedule": "SELECT event_id AS step, round(0.0003::DOUBLE * (0.0003::DOUBLE / 500 + (1 - 0.0003::DOUBLE / 500) * least(event_id, 500) / 500.0::DOUBLE), 10) AS lr FROM events",
     "checkpoint_schedule": f"SELECT run, step, action, CASE WHEN action <> 'none' AND l > 0 THEN l END AS carried_loss FROM (SELECT *, CASE WHEN (step + 1) % 10 = 0 THEN 'validate' WHEN (step + 1) % 4 = 0 THEN 'save' ELSE 'none' END AS action, last_value(CASE WHEN (step + 1) % 10 = 0 THEN val_loss END IGNORE NULLS) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l FROM {_RUNS})",
+    "checkpoint_schedule_one_run": f"SELECT step, action, carried_loss FROM {_ONE_RUN}",
+    "checkpoint_history": _HISTORY,
+    "epoch_counters": f"SELECT event_id, (coalesce(r // 400, 0) + e)::BIGINT AS epoch, ((row_number() OVER (PARTITION BY r, e ORDER BY event_id)) + CASE WHEN e = 0 THEN coalesce(r % 200 // 2, 0) ELSE 0 END)::BIGINT AS step_in_epoch, coalesce(r - 50, 0) + k AS global_step, (coalesce(r * 3, 0) + t)::BIGINT AS tokens_seen FROM {_COUNTERS}",
+    "resume_other_world": _WORLDS.format(batch=_BATCH),
+    "rewrite_split": "SELECT doc_id, split, CASE WHEN split = 'test' THEN 'new: ' ELSE '' END || text AS text FROM documents JOIN (SELECT doc_id, CASE WHEN r < ceil(0.1::DOUBLE * (SELECT count(*) FROM documents)) THEN 'test' ELSE 'train' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || doc_id), doc_id) - 1 AS r FROM documents)) USING (doc_id)",
+    "packed_slice": f"SELECT g // 2048 AS seq, count(*) AS n_tokens, sum(id * (g % 2048 + 1))::BIGINT AS checksum FROM (SELECT *, row_number() OVER (ORDER BY doc_id, p) - 1 AS g FROM {_POS}) WHERE g // 2048 >= 20 AND g // 2048 < 50 GROUP BY 1",
     "topk_checkpoints": f"SELECT * FROM {_CKPT} ORDER BY val_loss, step DESC, path DESC LIMIT 5",
     "best_checkpoint": f"SELECT * FROM {_CKPT} ORDER BY val_loss, step DESC, path DESC LIMIT 1",
     "checkpoint_admission": f"SELECT a.run, a.step, count(b.step) < 5 AS admitted FROM {_RUNS} a LEFT JOIN {_RUNS} b ON a.run = b.run AND b.step < a.step AND b.val_loss <= a.val_loss GROUP BY a.run, a.step",
@@ -69,8 +96,8 @@ ORACLES: dict[str, str] = {
     "files_by_top_folder": "SELECT 'sf0.01' AS dataset, 'sf0.01' AS top, substr(file, length('/root/testdata/sf0.01/') + 1) AS path FROM glob('/root/testdata/sf0.01/**/*.parquet')",
     "merge_source_files": "SELECT text FROM documents UNION ALL SELECT text FROM benchmark",
     "mean_loss_per_step": "SELECT event_id % 97 AS step, round(avg(value), 4) AS loss FROM events GROUP BY 1",
-    "stop_at_steps": f"SELECT epoch, step FROM {_EPOCHS} WHERE step < 15 OR step = 30",
-    "stop_at_tokens_first": f"SELECT epoch, step, (40 + s)::BIGINT AS tokens_seen FROM (SELECT *, sum(n) OVER (ORDER BY event_id) AS s FROM {_EPOCHS}) WHERE event_id = 0 OR 40 + s - n < 100",
+    "stop_at_steps": f"SELECT epoch, step FROM {_EPOCHS} WHERE step < 120 OR (epoch % 7 = 3 AND step = 150)",
+    "stop_at_tokens_first": f"SELECT epoch, step, (40 + s)::BIGINT AS tokens_seen FROM (SELECT *, sum(n) OVER (ORDER BY event_id) AS s FROM {_EPOCHS}) WHERE event_id = 0 OR 40 + s - n < 20000",
     "resume_from_last": "SELECT 1 AS epoch, n // 16 AS global_step, n // 16 % 10 AS step_in_epoch, n AS tokens_seen, true AS fresh FROM (SELECT count(*) AS n FROM documents)",
     "packing_summary": f"SELECT format('{{:,}}', ceil(sum(num_tokens) / 2048)::BIGINT) AS sequences, format('{{:,}}', sum(num_tokens)::BIGINT) AS tokens, printf('%.1f', round(sum(num_tokens) / ceil(sum(num_tokens) / 2048), 4)) AS per_sequence, printf('%.2f', round(count(*) / ceil(sum(num_tokens) / 2048), 4)) AS examples FROM {_COUNTED}",
     "checkpoint_prunes": f"SELECT run, step, 'ckpt/' || gone AS removed FROM (SELECT *, max(CASE WHEN gone = step THEN r END) OVER (PARTITION BY run, step) AS own FROM (SELECT a.run, a.step, b.step AS gone, row_number() OVER (PARTITION BY a.run, a.step ORDER BY b.val_loss, b.step DESC) AS r FROM {_RUNS} a JOIN {_RUNS} b ON a.run = b.run AND b.step <= a.step)) WHERE (own <= 6 AND r = 6) OR (own > 6 AND gone = step)",

@@ -12,8 +12,8 @@ from corpusloom.operators import batching, packing, runlog, sampling, stats
 from corpusloom.operators.prefix import key_bucket, prefix_sum
 from corpusloom.operators.tokenizers import BpeTokenizer, NativeTokenizer, append_eos, native_count, native_ids
 from corpusloom.shipping import ship_package
-from corpusloom.sources import file_manifest, list_files, read_source, write_one_file
-from corpusloom.storage import scratch_path
+from corpusloom.sources import file_manifest, list_files, read_packed, read_source, read_split, replace_splits, write_one_file, write_packed, write_splits
+from corpusloom.storage import bucketed, scratch_path
 
 #: Parameters of the queries; oracles.py has the same.
 LENGTH, BATCH, CUT, EOS_TEXT = 2048, 16, 512, "<|eos|>"
@@ -21,6 +21,7 @@ SAMPLE = {"src0": 10, "src1": 5, "src2": 7, "src3": None}
 DECLARED = ["src0", "src1", "src2", "absent_a", "absent_b"]
 FRACTION, HEAD, BUDGET, START, TOP = 0.1, 50, 200_000, 1_000, 5
 VAL_EVERY, SAVE_EVERY, LOG_EVERY, WARMUP, RATE = 10, 4, 7, 500, 0.0003
+SESSIONS = [[2, 1, 2, 2], [1, 0, 1]]
 BPE_NAME = "byte_bpe_50k.json"
 
 
@@ -188,6 +189,24 @@ def merge_source_files(spark, d):
     return spark.read.parquet(f"{out}/train_data.parquet")
 
 
+def rewrite_split(spark, d):
+    """Splits are written, the test split is written anew with other texts, and both are read back."""
+    path = scratch_path(spark, "splits")
+    split = sampling.exact_split(_docs(spark, d, "doc_id", "text"), FRACTION, "doc_id").drop("shuffle_rank").withColumn("num_tokens", F.lit(0))
+    write_splits(split, path)
+    replace_splits(read_split(spark, path).where("split = 'test'").select("doc_id", F.concat(F.lit("new: "), "text").alias("text"), "split", F.lit(0).alias("num_tokens")), path)
+    train, test = (read_split(spark, path, x).withColumn("split", F.lit(x)) for x in ("train", "test"))
+    return train.unionByName(test).select("doc_id", "split", "text")
+
+
+def packed_slice(spark, d):
+    """Blocks are written in folders of 16 and those from 20 to before 50 are read back in order."""
+    path = scratch_path(spark, "packed")
+    write_packed(packing.pack(_tokens(spark, d), LENGTH, "doc_id"), path, rows=16)
+    got = read_packed(spark, path, 20, 50, rows=16)
+    return got.select("seq", F.size("input_ids").cast("long").alias("n_tokens"), tokens_checksum(F.col("input_ids")).alias("checksum"))
+
+
 def token_offsets(spark, d):
     return prefix_sum(_counted(spark, d).select("doc_id", "num_tokens"), F.col("num_tokens"), ["doc_id"], key_bucket("doc_id"), "token_offset")
 
@@ -213,9 +232,17 @@ def shard_batches(spark, d):
     return batching.shard_batches(batch_assign(spark, d), 1, 4)
 
 
+def resume_other_world(spark, d):
+    """Who takes the batches of a run of four ranks, stopped at unlike places, then three, then five."""
+    return batching.resume_sharded(batch_assign(spark, d), SESSIONS, 5).select("doc_id", "session", "rank", "turn")
+
+
 def _collated(spark, d):
-    tokens = _tokens(spark, d).select("doc_id", "input_ids")
-    return batching.collate(batching.assign_batches(tokens, BATCH, ["doc_id"]), CUT)
+    """Documents are dealt by id as texts and stored as tokens; batches are made of the stored table."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _docs(spark, d, "doc_id", "text").repartition(buckets, "doc_id")
+    stored = bucketed(NativeTokenizer().tokenize(dealt).select("doc_id", "num_tokens", "input_ids"), "tokens", "doc_id", buckets)
+    return batching.collate_stored(stored, BATCH, CUT, "doc_id")
 
 
 def collate_pad(spark, d):
@@ -248,20 +275,32 @@ def mean_loss_per_step(spark, d):
 
 
 def _epochs(spark, d):
-    """Batches of two epochs of 20 each, and one of an epoch that is resumed at step 30."""
-    step = F.col("event_id")
-    return _events(spark, d).where("event_id < 60").select(step, (step / 20).cast("int").alias("epoch"), F.when(step < 40, step % 20).otherwise(step - 10).alias("step"), (step % 7 + 1).alias("n"))
+    """Batches of epochs of 200; each seventh epoch is resumed at step 150."""
+    step, epoch = F.col("event_id"), F.floor(F.col("event_id") / 200)
+    at = step % 200 + F.when(epoch % 7 == 3, 150).otherwise(0)
+    return _events(spark, d).select(step, epoch.cast("int").alias("epoch"), at.alias("step"), (step % 7 + 1).alias("n"))
 
 
 def stop_at_steps(spark, d):
-    return runlog.stop_cut(_epochs(spark, d), "n", ["event_id"], key_bucket("event_id"), total_steps=15).select("epoch", "step")
+    return runlog.stop_cut(_epochs(spark, d), "n", ["event_id"], key_bucket("event_id"), total_steps=120).select("epoch", "step")
 
 
 def stop_at_tokens_first(spark, d):
-    got = runlog.stop_cut(_epochs(spark, d), "n", ["event_id"], key_bucket("event_id"), total_tokens=100, total_steps=1, start=40)
+    got = runlog.stop_cut(_epochs(spark, d), "n", ["event_id"], key_bucket("event_id"), total_tokens=20_000, total_steps=1, start=40)
     return got.select("epoch", "step", "tokens_seen")
 
 
+def epoch_counters(spark, d):
+    """Counters of every event as a trained batch: epochs end each 200, a step limit cuts some, each 1,500 the run is resumed."""
+    i = F.col("event_id")
+    back = F.struct(F.floor(i / 400).alias("epoch"), (i - 50).alias("global_step"), F.floor(i % 200 / 2).alias("step_in_epoch"), (i * 3).alias("tokens_seen"))
+    log = _events(spark, d).select(
+        i, (i % 7 + 1).alias("tokens"), (((i + 1) % 200 == 0) | (i % 997 == 500)).alias("ended"), F.when(i % 1500 == 1499, back).alias("restored")
+    )
+    got = runlog.run_counters(log, ["event_id"], key_bucket("event_id", 1024))
+    return got.select("event_id", "epoch", "step_in_epoch", "global_step", "tokens_seen")
+
+
 def resume_from_last(spark, d):
     """The counters of a run over all documents, saved in the last slot and found again; a slot without state is none."""
     n = spark.read.parquet(f"{d}/documents.parquet").count()
@@ -305,6 +344,17 @@ def checkpoint_schedule(spark, d):
     return got.select("run", "step", "action", F.when(F.col("carried_loss") < float("inf"), F.col("carried_loss")).alias("carried_loss"))
 
 
+def checkpoint_schedule_one_run(spark, d):
+    got = runlog.checkpoint_schedule(_runs(spark, d), VAL_EVERY, SAVE_EVERY, rows=1024)
+    return got.select("step", "action", F.when(F.col("carried_loss") < float("inf"), F.col("carried_loss")).alias("carried_loss"))
+
+
+def checkpoint_history(spark, d):
+    """All events as one run: what each save does to the kept checkpoints, and what goes."""
+    got = runlog.scheduled_history(_runs(spark, d), TOP, VAL_EVERY, SAVE_EVERY)
+    return got.select("step", "forced", "admitted", "removed", F.array_join("kept", ",").alias("kept"))
+
+
 def _checkpoints(spark, d):
     return _runs(spark, d).select("val_loss", "step", F.concat(F.lit("ckpt/"), F.col("step").cast("string")).alias("path"))
 
@@ -318,12 +368,10 @@ def best_checkpoint(spark, d):
 
 
 def checkpoint_admission(spark, d):
-    ship_package(spark)
     return runlog.checkpoint_admission(_runs(spark, d), TOP, run="run").select("run", "step", "admitted")
 
 
 def checkpoint_prunes(spark, d):
-    ship_package(spark)
     saved = _runs(spark, d).withColumn("path", F.concat(F.lit("ckpt/"), F.col("step").cast("string")))
     return runlog.checkpoint_prunes(saved, TOP)
 
@@ -356,9 +404,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         append_eos_query, tokenize_native, tokenize_bpe, token_counts, token_distribution, token_distribution_sorted,
         pack_sequences, pack_doc_spans, pack_tail, packing_stats, mixture_sample, mixture_sample_keep_all,
         rows_per_source, mixture_proportions, train_test_split, val_head, eval_limit, union_sources,
-        source_file_manifest, files_by_top_folder, scan_jsonl_parquet_union, merge_source_files, token_offsets, cumulative_tokens, token_budget_cut,
-        batch_assign, resume_skip_batches, shard_batches, collate_pad, attention_mask, label_mask, tokens_per_step,
-        loss_per_step, mean_loss_per_step, stop_at_steps, stop_at_tokens_first, resume_from_last, packing_summary, val_loss_mean_of_means, log_every_n, lr_schedule, checkpoint_schedule, topk_checkpoints,
+        source_file_manifest, files_by_top_folder, scan_jsonl_parquet_union, merge_source_files, rewrite_split, packed_slice, token_offsets, cumulative_tokens, token_budget_cut,
+        batch_assign, resume_skip_batches, shard_batches, resume_other_world, collate_pad, attention_mask, label_mask, tokens_per_step,
+        loss_per_step, mean_loss_per_step, stop_at_steps, stop_at_tokens_first, epoch_counters, resume_from_last, packing_summary, val_loss_mean_of_means, log_every_n, lr_schedule, checkpoint_schedule, checkpoint_schedule_one_run, checkpoint_history, topk_checkpoints,
         best_checkpoint, checkpoint_admission, checkpoint_prunes, last_checkpoints, checkpoint_names, eval_metrics_long,
     )
 }

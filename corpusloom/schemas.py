@@ -15,6 +15,8 @@ TOKENIZED = T.StructType(
     ]
 )
 PACKED = T.StructType([T.StructField("seq", T.LongType()), T.StructField("input_ids", T.ArrayType(T.LongType()))])
+#: Blocks of one folder of a packed table.
+PART_BLOCKS = 8192
 CHECKPOINTS = T.StructType(
     [
         T.StructField("val_loss", T.DoubleType()),

@@ -15,6 +15,7 @@ from corpusloom.sources.readers import (
 )
 from corpusloom.sources.writers import (
     append_metrics,
+    replace_splits,
     write_config,
     write_eval_results,
     write_json,
@@ -37,6 +38,7 @@ __all__ = [
     "read_split",
     "read_text",
     "read_token_report",
+    "replace_splits",
     "write_config",
     "write_eval_results",
     "write_json",

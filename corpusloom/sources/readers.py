@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom import schemas
 from corpusloom.functions import source_of_path
@@ -94,8 +95,18 @@ def read_split(spark: SparkSession, path: str, split: str | None = None) -> Data
     return df if split is None else df.where(F.col("split") == split).drop("split")
 
 
-def read_packed(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.PACKED).parquet(path)
+def read_packed(spark: SparkSession, path: str, first: int | None = None, last: int | None = None, rows: int = schemas.PART_BLOCKS) -> DataFrame:
+    """(seq, input_ids) that write_packed() wrote with rows, or its blocks from first to before last, in order.
+
+    Folders that hold none of them are not opened; within the rest, files tell their least and greatest seq.
+    """
+    df = spark.read.schema(T.StructType([*schemas.PACKED.fields, T.StructField("part", T.LongType())])).parquet(path)
+    if first is not None:
+        df = df.where((F.col("part") >= first // rows) & (F.col("seq") >= first))
+    if last is not None:
+        df = df.where((F.col("part") <= max(last - 1, 0) // rows) & (F.col("seq") < last))
+    got = df.select("seq", "input_ids")
+    return got if first is None and last is None else got.orderBy("seq")
 
 
 def read_token_report(spark: SparkSession, path: str) -> dict | None:

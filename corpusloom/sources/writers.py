@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.schemas import PART_BLOCKS
+
 
 def write_mixture(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("dataset").parquet(path)
@@ -17,9 +19,15 @@ def write_splits(df: DataFrame, path: str) -> None:
     df.drop("num_tokens").write.mode("overwrite").partitionBy("split").parquet(path)
 
 
-def write_packed(df: DataFrame, path: str) -> None:
-    """Packed blocks, range-partitioned and sorted by seq, so that files are in order."""
-    df.select("seq", "input_ids").repartitionByRange("seq").sortWithinPartitions("seq").write.mode("overwrite").parquet(path)
+def replace_splits(df: DataFrame, path: str) -> None:
+    """The splits that df has are written anew, all others in path stay as they are; the helper column num_tokens goes."""
+    df.drop("num_tokens").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split").parquet(path)
+
+
+def write_packed(df: DataFrame, path: str, rows: int = PART_BLOCKS) -> None:
+    """Packed blocks in folders part=<seq // rows>, sorted by seq, so that a reader of some blocks opens their folders alone."""
+    parts = df.select("seq", "input_ids", F.floor(F.col("seq") / rows).alias("part"))
+    parts.repartitionByRange("seq").sortWithinPartitions("part", "seq").write.mode("overwrite").partitionBy("part").parquet(path)
 
 
 def write_json(spark: SparkSession, value: dict, path: str) -> None:

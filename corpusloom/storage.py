@@ -40,6 +40,19 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """df stored as a table of buckets by key, sorted in each, in the shared folder; joins on key find it dealt already.
+
+    df should come dealt by repartition(buckets, key), done while its rows are still narrow: then a bucket is one file. Otherwise each
+    task writes a file into every bucket that it has rows of.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    df.write.format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Removes a path by Hadoop's file system, whatever store it is in."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
