@@ -8,8 +8,9 @@ rewritten once per tier at most, and few small files wait for more of their kind
 A version is a table of live files plus a small pointer file; the pointer is written under another name and renamed to its
 own without overwriting, so a version appears whole or not at all and two writers can't both commit it. A writer that comes
 second tries again on the newer version: an append always can, a compaction if its files are still live. Readers read what
-the newest pointer lists: files of lost or repeated tasks and of failed writers are never seen. vacuum() removes folders
-that none of the last versions uses.
+the newest pointer lists: files of lost or repeated tasks and of failed writers are never seen. vacuum() removes folders that
+earlier versions used and none of the last ones does, and what failed writers left once it is old; a folder that no version
+lists may be that of a writer about to commit. A writer looks whether its folder is there before it commits.
 
 The list of files is itself a table: planning runs on it as DataFrames with bucketed running sums.
 
@@ -20,6 +21,7 @@ often as they come; further columns are stored too.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 
@@ -39,12 +41,18 @@ BROADCAST_FILES = 200_000
 FILES = "path string, bytes long, n_rows long, tier int"
 #: Times that a writer tries to commit on newer versions; versions whose files vacuum() keeps.
 TRIES, KEEP_VERSIONS = 10, 2
+#: Seconds that a folder which no version lists is left alone: longer than any append or merge takes from its first file to its commit.
+ORPHAN_SECONDS = 7 * 86_400
 
 
 class Conflict(RuntimeError):
     """Another writer has committed the version."""
 
 
+class Vanished(RuntimeError):
+    """A writer's files are gone before it could commit them: nothing was committed."""
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -116,12 +124,16 @@ def _of(spark: SparkSession, root: str, folder: str, schema: str) -> DataFrame:
     return spark.read.schema(_type(schema)).option("recursiveFileLookup", True).parquet(f"{root}/data/{folder}")
 
 
-def _commit_on_newest(spark: SparkSession, root: str, schema: str, files: Callable[[dict | None], DataFrame]) -> dict:
-    """Commits what files makes of the newest version; on a conflict again, of a newer one."""
+def _commit_on_newest(spark: SparkSession, root: str, schema: str, folder: str, files: Callable[[dict | None], DataFrame]) -> dict:
+    """Commits what files makes of the newest version, with the files of folder; on a conflict again, of a newer one."""
     for _ in range(TRIES):
         base = latest(spark, root)
+        listed = files(base)
+        fs, written = _fs(spark, f"{root}/data/{folder}")
+        if not fs.exists(written):
+            raise Vanished(f"{written} was removed before it was committed")
         try:
-            return commit(spark, root, files(base), schema, base)
+            return commit(spark, root, listed, schema, base)
         except Conflict:
             continue
     raise Conflict(f"{root}: {TRIES} other writers came first")
@@ -134,7 +146,7 @@ def append(df: DataFrame, root: str) -> dict:
     table = f"{root}/manifest/arrival-{folder}"
     _describe(_of(spark, root, folder, schema)).write.parquet(table)
     files = spark.read.schema(FILES).parquet(table)
-    pointer = _commit_on_newest(spark, root, schema, lambda base: live_files(spark, base).unionByName(files) if base else files)
+    pointer = _commit_on_newest(spark, root, schema, folder, lambda base: live_files(spark, base).unionByName(files) if base else files)
     drop_path(spark, table)
     return pointer
 
@@ -196,7 +208,7 @@ def compact(spark: SparkSession, root: str) -> dict:
             raise RuntimeError("another compaction has replaced the files")
         return live.join(gone, "path", "left_anti").unionByName(made)
 
-    pointer = _commit_on_newest(spark, root, schema, files)
+    pointer = _commit_on_newest(spark, root, schema, folder, files)
     for p in (table, f"{table}-runs", merged):
         drop_path(spark, p)
     return pointer
@@ -208,23 +220,35 @@ def _numbered(runs: DataFrame) -> DataFrame:
     return prefix_sum(h, F.lit(1), ["_h", "tier", "run"], F.shiftright("_h", 52), "number").select("tier", "run", "number")
 
 
-def vacuum(spark: SparkSession, root: str, keep: int = KEEP_VERSIONS) -> list[str]:
-    """Removes the data folders that none of the last keep versions uses; returns their names.
+def _folders(spark: SparkSession, pointer: dict) -> set[str]:
+    """The data folders that a version lists: one per append or merge that is live in it."""
+    return {r[0] for r in live_files(spark, pointer).select(F.regexp_extract("path", r"/data/([^/]+)/", 1)).distinct().collect()}
+
+
+def vacuum(spark: SparkSession, root: str, keep: int = KEEP_VERSIONS, orphan_seconds: float = ORPHAN_SECONDS) -> list[str]:
+    """Removes the data folders that earlier versions list and none of the last keep does; returns their names.
 
-    Give readers time: keep as many versions as are committed while one of them reads.
+    Lists of files of the earlier versions go too, so that these can't be read any more; the pointers stay, as they hold the
+    numbers that writers can't use again. A folder that no version lists goes only when it is older than orphan_seconds: a
+    younger one may be about to be committed. Give readers time: keep as many versions as are committed while one of them reads.
     """
     newest = latest(spark, root)
     if newest is None:
         return []
-    kept = [json.loads(_read(spark, f"{root}/manifest/v{v}.json")) for v in range(max(1, newest["version"] - keep + 1), newest["version"] + 1)]
-    used: set[str] = set()
-    for pointer in kept:
-        used |= {r[0] for r in live_files(spark, pointer).select(F.regexp_extract("path", r"/data/([^/]+)/", 1)).distinct().collect()}  # one per append or merge
-    fs, data = _fs(spark, f"{root}/data")
-    names = [x.getPath().getName() for x in fs.listStatus(data)]
-    gone = sorted(n for n in names if n not in used)
+    fs, manifest = _fs(spark, f"{root}/manifest")
+    tables = {x.getPath().getName() for x in fs.listStatus(manifest) if x.isDirectory()}
+    first = newest["version"] - max(keep, 1) + 1
+    listed = [p for v in range(1, newest["version"] + 1) if (p := json.loads(_read(spark, f"{root}/manifest/v{v}.json")))["files"].rsplit("/", 1)[-1] in tables]
+    used: set[str] = set().union(*(_folders(spark, p) for p in listed if p["version"] >= first))
+    earlier: set[str] = set().union(*(_folders(spark, p) for p in listed if p["version"] < first))
+    found = {x.getPath().getName(): x.getModificationTime() / 1000 for x in fs.listStatus(_fs(spark, f"{root}/data")[1])}
+    old = {n for n, changed in found.items() if time.time() - changed > orphan_seconds}
+    gone = sorted(n for n in found if n not in used and (n in earlier or n in old))
     for name in gone:
         drop_path(spark, f"{root}/data/{name}")
+    for p in listed:
+        if p["version"] < first:
+            drop_path(spark, p["files"])
     return gone
 
 

@@ -26,7 +26,7 @@ def test_versions_conflicts_and_vacuum(spark, tmp_path):
     sharding.append(rows(spark, 9), root)
     assert sharding.read(spark, root).count() == 100
     assert sharding.vacuum(spark, root, keep=3) and sharding.read(spark, root).count() == 100
-    assert sharding.read(spark, root, after).count() == 80
+    assert sharding.read(spark, root, after).count() == 80  # one of the last three
     assert sorted(r.doc_id for r in sharding.read(spark, root).collect()) == sorted(i * 1000 + j for i in (0, 1, 2, 3, 9) for j in range(20))
 
 
@@ -46,6 +46,45 @@ def test_a_second_writer_tries_again(spark, tmp_path, monkeypatch):
     assert sharding.latest(spark, root)["version"] == 3 and sharding.read(spark, root).count() == 60
 
 
+@pytest.mark.parametrize("merge", [False, True])
+def test_vacuum_beside_a_writer(spark, tmp_path, monkeypatch, merge):
+    """vacuum() runs when an append's or a merge's files are written and not yet committed: they stay."""
+    root = f"{tmp_path}/beside"
+    for i in range(4):
+        sharding.append(rows(spark, i), root)
+    plain, cleaned = sharding._commit_on_newest, []
+
+    def late(*a):
+        cleaned.append(sharding.vacuum(spark, root, keep=1))
+        return plain(*a)
+
+    monkeypatch.setattr(sharding, "_commit_on_newest", late)
+    sharding.compact(spark, root) if merge else sharding.append(rows(spark, 7), root)
+    assert cleaned == [[]] and sharding.read(spark, root).count() == (80 if merge else 100)
+    sharding.vacuum(spark, root, keep=1)
+    assert sharding.read(spark, root).count() == (80 if merge else 100)
+    assert len(list((tmp_path / "beside/data").iterdir())) == (1 if merge else 5)
+    assert len([x for x in (tmp_path / "beside/manifest").iterdir() if x.is_dir()]) == 1
+    assert sharding.latest(spark, root)["version"] == 5
+    sharding.append(rows(spark, 8), root)  # numbers go on
+    assert sharding.latest(spark, root)["version"] == 6
+
+
+def test_a_writer_whose_files_are_gone_commits_nothing(spark, tmp_path, monkeypatch):
+    root = f"{tmp_path}/gone"
+    sharding.append(rows(spark, 0), root)
+    plain = sharding._commit_on_newest
+
+    def late(*a):
+        assert len(sharding.vacuum(spark, root, orphan_seconds=-1)) == 1
+        return plain(*a)
+
+    monkeypatch.setattr(sharding, "_commit_on_newest", late)
+    with pytest.raises(sharding.Vanished):
+        sharding.append(rows(spark, 1), root)
+    assert sharding.latest(spark, root)["version"] == 1 and sharding.read(spark, root).count() == 20
+
+
 def test_only_similar_sizes_merge(spark, monkeypatch):
     monkeypatch.setattr(sharding, "TARGET_BYTES", 1 << 20)
     sizes = [1000] * 3 + [60_000] * 5 + [900_000, 800_000, 1 << 20, 2 << 20] + [300_000] * 6
