@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.prefix import global_row_number
+from corpusloom.operators.prefix import free_names, global_row_number, prefix_sum
 
 
 #: Digits of the shuffle key that make a bucket: 16**DIGITS buckets, called BUCKETS below.
@@ -17,31 +20,104 @@ def shuffle_key(seed: int, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
+def _cuts(keys: DataFrame, limits: dict[str, int]) -> dict[str, tuple[bytes, object, int, int]]:
+    """For each group, the n-th smallest (shuffle, key): (shuffle, key, rows that are equal to it, how many of them belong to the n).
+
+    keys has group, shuffle, key; limits has n of 1 and more for each group. Raises if a group has fewer rows than n. The
+    first digits of the shuffle key deal a group's rows to buckets, which are counted; only the bucket that holds the n-th row
+    is ranked. Rows are dealt once, by these narrow columns; the driver gets a row per group.
+    """
+    spark = keys.sparkSession
+    dealt = keys.withColumn("bucket", F.substring(F.hex("shuffle"), 1, DIGITS)).repartition("group", "bucket")
+    # counted by the columns that ranking needs too, so that both read the same exchange
+    counts = dealt.groupBy("group", "bucket").agg(F.count(F.struct("shuffle", "key")).alias("n"))
+    before = Window.partitionBy("group").orderBy("bucket")  # BUCKETS rows a group
+    limit = spark.createDataFrame(list(limits.items()), "group string, limit long")
+    sized = counts.join(F.broadcast(limit), "group").withColumn("upto", F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    cut = sized.where("upto >= limit AND upto - n < limit").select("group", "bucket", (F.col("limit") - F.col("upto") + F.col("n")).alias("nth"))
+    rank = F.row_number().over(Window.partitionBy("group", "bucket").orderBy("shuffle", "key"))
+    same = Window.partitionBy("group", "bucket", "shuffle", "key")
+    ranked = dealt.join(F.broadcast(cut), ["group", "bucket"]).withColumn("rank", rank)  # a row per group
+    told = ranked.withColumns({"first": F.min("rank").over(same), "equal": F.count(F.lit(1)).over(same)}).where("rank = nth")
+    rows = told.select("group", "shuffle", "key", "equal", (F.col("nth") - F.col("first") + 1).alias("taken")).collect()
+    found = {r["group"]: (bytes(r["shuffle"]), r["key"], r["equal"], r["taken"]) for r in rows}
+    if short := [g for g in limits if g not in found]:
+        raise ValueError(f"sample larger than source {', '.join(sorted(short))}")
+    return found
+
+
+def _below(shuffle: Column, key: Column, cut: tuple, kind: str) -> tuple[Column, Column]:
+    """Whether a row comes before the cut, and whether it is equal to it."""
+    at, value = F.lit(bytearray(cut[0])), F.lit(cut[1]).cast(kind)
+    same = shuffle == at
+    return (shuffle < at) | (same & (key < value)), same & (key == value)
+
+
+#: Copies of a row that one array holds.
+COPIES = 100_000
+
+
+def _told_apart(equal: DataFrame, taken: int, name: str) -> DataFrame:
+    """equal's rows with name: true for exactly taken of them, the first by a hash of all columns.
+
+    Rows that are the same in all columns are counted where they lie and are made again from their count, so however many
+    there are, no task gathers them.
+    """
+    n, h, before, block = free_names(equal, "_n", "_h", "_before", "_block")
+    counted = equal.groupBy(*equal.columns).agg(F.count(F.lit(1)).alias(n)).withColumn(h, F.xxhash64(*equal.columns))
+    placed = prefix_sum(counted, F.col(n), [h], F.shiftright(h, 52), before)
+    mine = F.greatest(F.lit(0), F.least(F.col(n), F.lit(taken) - F.col(before)))
+    blocks = placed.select(*equal.columns, n, mine.alias(before), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / COPIES))).alias(block))
+    copies = F.sequence(F.col(block) * COPIES + 1, F.least(F.col(n), (F.col(block) + 1) * COPIES))
+    return blocks.select(*equal.columns, before, F.explode(copies).alias(h)).select(*equal.columns, (F.col(h) <= F.col(before)).alias(name))
+
+
 def exact_sample(df: DataFrame, weights: dict[str, int | None], key: str, seed: int = 0, source: str = "dataset") -> DataFrame:
     """For each source in weights, exactly n rows without replacement; all rows where n is None; other sources go.
 
-    Raises, when it runs, if a source has fewer than n rows. The shuffle key's first digits deal a source's rows to BUCKETS
-    buckets, which are counted: buckets before the one that holds the n-th row are taken whole, where their rows lie; only
-    the rows of that one bucket are ranked. No task gets more of a source than a bucket.
+    The n rows with the smallest shuffle keys are taken. One pass over keys and sources finds each source's n-th key; it runs
+    at once and raises if a source has fewer than n rows. The rows are then taken where they lie, by comparing keys: nothing
+    but keys is shuffled. Where the n-th key is one of several equal ones, as many of them as n needs are taken, in a pass of
+    their own over them.
     """
-    numbers = {k: v for k, v in weights.items() if v is not None}
-    listed = df.where(F.col(source).isin(list(weights)))
-    whole = listed.where(F.col(source).isin([k for k, v in weights.items() if v is None]))
+    whole = F.col(source).isin([k for k, v in weights.items() if v is None])
+    numbers = {k: v for k, v in weights.items() if v}
+    none = df.where(whole) if None in weights.values() else df.limit(0)
     if not numbers:
-        return whole
-    limit = F.create_map(*[x for k, v in numbers.items() for x in (F.lit(k), F.lit(v))])
-    some = listed.where(F.col(source).isin(list(numbers))).withColumn("_shuffle", shuffle_key(seed, key)).withColumn("_bucket", F.substring("_shuffle", 1, DIGITS))
-    counts = some.groupBy(source, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(source).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows a source
-    sized = counts.withColumn("_left", limit[F.col(source)] - F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(source)))
-    short = F.raise_error(F.concat(F.lit("sample larger than source "), F.col(source)))
-    checked = sized.withColumn("_left", F.when(F.col("_all") < limit[F.col(source)], short.cast("long")).otherwise(F.col("_left"))).where("_left > 0")
-    # BUCKETS rows a source at most
-    taken = some.join(F.broadcast(checked.where("_n <= _left").select(source, "_bucket")), [source, "_bucket"], "left_semi").select(*df.columns)
-    cut = some.join(F.broadcast(checked.where("_n > _left").select(source, "_bucket", "_left")), [source, "_bucket"])
-    rank = F.row_number().over(Window.partitionBy(source).orderBy("_shuffle", key))  # of one bucket
-    last = cut.withColumn("_rn", rank).where("_rn <= _left").select(*df.columns)
-    return taken.unionByName(last).unionByName(whole)
+        return none
+    mixed, kind = F.unhex(shuffle_key(seed, key)), df.schema[key].dataType.simpleString()
+    cuts = _cuts(df.where(F.col(source).isin(list(numbers))).select(F.col(source).alias("group"), mixed.alias("shuffle"), F.col(key).alias("key")), numbers)
+    take, some = whole, []
+    for name, cut in cuts.items():
+        below, equal = _below(mixed, F.col(key), cut, kind)
+        take = take | ((F.col(source) == name) & (below if cut[2] > cut[3] else below | equal))
+        if cut[2] > cut[3]:
+            (mark,) = free_names(df, "_taken")
+            some.append(_told_apart(df.where((F.col(source) == name) & equal), cut[3], mark).where(mark).drop(mark))
+    return reduce(DataFrame.unionByName, some, df.where(take))
+
+
+def threshold_split(df: DataFrame, fraction: float, key: str, seed: int = 0) -> DataFrame:
+    """df with split and shuffle_key: exactly ceil(fraction * n) rows are test, those with the smallest shuffle keys.
+
+    Rows are told by comparing keys with the last one of the test split: nothing but keys is shuffled, in a pass that runs at
+    once. If the border falls among rows of one key, as many of them as the test split needs are test.
+    """
+    n = df.count()
+    test = math.ceil(fraction * n)
+    text = shuffle_key(seed, key)
+    if not test:
+        return df.withColumns({"split": F.lit("train"), "shuffle_key": text})
+    keys = df.select(F.lit("all").alias("group"), F.unhex(text).alias("shuffle"), F.col(key).alias("key"))
+    cut = _cuts(keys, {"all": test})["all"]
+    below, equal = _below(F.unhex(text), F.col(key), cut, df.schema[key].dataType.simpleString())
+    told = lambda part, split: part.withColumns({"split": split, "shuffle_key": text})
+    if cut[2] == cut[3]:
+        return told(df, F.when(below | equal, "test").otherwise("train"))
+    (mark,) = free_names(df, "_taken")
+    apart = _told_apart(df.where(equal), cut[3], mark)
+    rest = told(df.where(~equal), F.when(below, "test").otherwise("train"))
+    return rest.unionByName(told(apart, F.when(F.col(mark), "test").otherwise("train")).drop(mark))
 
 
 def exact_split(df: DataFrame, fraction: float, key: str, seed: int = 0) -> DataFrame:

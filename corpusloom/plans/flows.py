@@ -41,15 +41,15 @@ def tokenize_and_split(spark: SparkSession, config: RunConfig, data: str, out: s
 
 def exact_split_of(rows: DataFrame, test_size: float, seed: int) -> DataFrame:
     """Rows without an id, split by a digest of their text; identical texts are interchangeable."""
-    return sampling.exact_split(rows.withColumn("order_key", F.sha2("text", 256)), test_size, "order_key", seed)
+    return sampling.threshold_split(rows.withColumn("order_key", F.sha2("text", 256)), test_size, "order_key", seed).drop("order_key")
 
 
 def pack_split(spark: SparkSession, config: RunConfig, tokenized: str, out: str, split: str = "train") -> DataFrame:
     """One split -> out/<split> and out/packing_stats.json; packed in shuffle order."""
     length = config.pack.max_seq_length
     rows = read_split(spark, tokenized, split).withColumn("num_tokens", F.size("input_ids").cast("long"))
-    bucket = F.floor(F.col("shuffle_rank") / 65_536)
-    write_packed(packing.pack(rows, length, "shuffle_rank", bucket), f"{out}/{split}")
+    bucket = F.substring("shuffle_key", 1, 4)
+    write_packed(packing.pack(rows, length, "shuffle_key", bucket), f"{out}/{split}")
     report = stats.packing_report(packing.packing_stats(rows, length), length, tokenized, config.pack.eos_token_id)
     write_json(spark, report, f"{out}/packing_stats.json")
     return spark.read.parquet(f"{out}/{split}")

@@ -1,5 +1,6 @@
 import heapq
 import json
+import math
 import random
 
 import pytest
@@ -145,6 +146,33 @@ def test_sample_is_the_first_of_each_source(spark, monkeypatch):
         assert {r.k for r in got.collect()} == want
 
 
+def test_equal_rows_are_split_to_size(spark, monkeypatch):
+    """Most rows are the same text: sizes are exact nevertheless."""
+    monkeypatch.setattr(sampling, "COPIES", 7)
+    rows = [("same" if i % 3 else f"t{i}", "s0", i % 5) for i in range(300)]
+    df = spark.createDataFrame(rows, "text string, dataset string, _n int").repartition(4)
+    for n in (1, 50, 150, 299, 300):
+        assert sampling.exact_sample(df, {"s0": n}, "text").count() == n
+    for f in (0.001, 0.3, 0.5, 0.9):
+        by = {r.split: r["count"] for r in sampling.threshold_split(df, f, "text").groupBy("split").count().collect()}
+        assert by.get("test") == math.ceil(f * 300) and sum(by.values()) == 300
+        assert sorted(map(tuple, sampling.threshold_split(df, f, "text").select("text", "dataset", "_n").collect())) == sorted(rows)
+    assert sampling.threshold_split(df.limit(0), 0.5, "text").count() == 0
+    assert sampling.exact_sample(df, {"s0": 0}, "text").count() == 0
+
+
+def test_sample_reads_twice_and_shuffles_keys_alone(spark, tmp_path):
+    table(spark, 500).withColumn("text", F.lit("a long text")).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    got = sampling.exact_sample(df, {"s0": 20, "s1": 30}, "k")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and got.count() == 50
+    split = sampling.threshold_split(df, 0.1, "k")
+    assert split.select("text", "split")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+    by_rank = {r.k for r in sampling.exact_split(df, 0.1, "k").where("split = 'test'").collect()}
+    assert {r.k for r in split.where("split = 'test'").collect()} == by_rank
+
+
 def test_stop_rule_priorities(spark):
     df = spark.createDataFrame([(i, i // 4, i % 4, 5) for i in range(8)], "at long, epoch int, step int, n int")
     steps = lambda **k: [r.at for r in runlog.stop_cut(df, "n", ["at"], F.col("at"), **k).orderBy("at").collect()]
