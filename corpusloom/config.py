@@ -1,10 +1,14 @@
-"""Run configuration: dataclasses, checked when they are made, and dotted overrides."""
+"""Run configuration: layered files, dataclasses that are checked when they are made, and dotted overrides."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field, fields
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 
 @dataclass
 class MixtureConfig:
@@ -64,8 +68,6 @@ class RunConfig:
 
     def override(self, *settings: str) -> RunConfig:
         """A copy with a.b=value applied; values are read as JSON, else as strings."""
-        import json
-
         d = self.get_dict()
         for s in settings:
             path, _, raw = s.partition("=")
@@ -73,11 +75,112 @@ class RunConfig:
             at = d
             for p in parents:
                 at = at.setdefault(p, {})
-            try:
-                at[last] = json.loads(raw)
-            except ValueError:
-                at[last] = raw
+            at[last] = _value(raw)
         return type(self).from_dict(d)
 
 
+class ConfigError(ValueError):
+    """A configuration names something that is not there."""
+
+
+def _merge(under: dict, over: dict) -> dict:
+    """over on top of under: mappings merge, everything else replaces."""
+    out = dict(under)
+    for k, v in over.items():
+        out[k] = _merge(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+    return out
+
+
+def _parsed(text: str) -> dict:
+    try:
+        import yaml
+    except ImportError:
+        return json.loads(text) if text.strip() else {}
+    return yaml.safe_load(text) or {}
+
+
+def _value(raw: str) -> Any:
+    try:
+        return json.loads(raw)
+    except ValueError:
+        return raw
+
+
+def _at(tree: dict, path: str, make: bool) -> tuple[dict, str]:
+    """The mapping that holds path's last key."""
+    *parents, last = path.split(".")
+    for p in parents:
+        if not isinstance(tree.get(p), dict):
+            if not make and p not in tree:
+                raise ConfigError(f"no key {path}")
+            tree[p] = {}
+        tree = tree[p]
+    if not make and last not in tree:
+        raise ConfigError(f"no key {path}")
+    return tree, last
+
+
+def compose(read: Callable[[str], str | None], name: str, overrides: Sequence[str] = ()) -> dict[str, Any]:
+    """The tree that a configuration and its defaults list make, layer on layer.
+
+    read returns a file's text by its path without ending, or None where there is none. defaults lists, in order,
+    "group: option" (the file group/option, under the key group), plain names (files, at the top) and "_self_" (the
+    configuration itself; at the end if it isn't listed). Later layers win; mappings merge. Files of the list may have lists
+    of their own.
+
+    overrides: group=option takes another option of a listed group; a.b=value replaces a key that is there; +a.b=value
+    adds one; ~a.b removes one. Values are read as JSON, else as strings. What isn't there raises ConfigError.
+    """
+    chosen = dict(o.split("=", 1) for o in overrides if "=" in o and o[0] not in "+~" and "." not in o.split("=", 1)[0])
+    used: set[str] = set()
+
+    def layer(path: str, groups: bool) -> dict:
+        text = read(path)
+        if text is None:
+            raise ConfigError(f"no configuration {path}")
+        own = _parsed(text)
+        listed = list(own.pop("defaults", []))
+        folder = path.rpartition("/")[0]
+        tree: dict[str, Any] = {}
+        for item in [*listed, *([] if "_self_" in listed else ["_self_"])]:
+            if item == "_self_":
+                tree = _merge(tree, own)
+            elif isinstance(item, dict):
+                for group, option in item.items():
+                    if groups and group in chosen:
+                        used.add(group)
+                        option = chosen[group]
+                    if option is not None:
+                        tree = _merge(tree, {group: layer("/".join(x for x in (folder, group, str(option)) if x), False)})
+            else:
+                tree = _merge(tree, layer("/".join(x for x in (folder, item) if x), False))
+        return tree
+
+    tree = layer(name, True)
+    for o in overrides:
+        key, eq, raw = o.lstrip("+~").partition("=")
+        if o.startswith("~"):
+            holder, last = _at(tree, key, False)
+            del holder[last]
+        elif not eq:
+            raise ConfigError(f"an override is key=value: {o}")
+        elif key not in used:
+            holder, last = _at(tree, key, o.startswith("+"))
+            holder[last] = _value(raw)
+    return tree
+
+
+def compose_files(spark: SparkSession, folder: str, name: str, overrides: Sequence[str] = ()) -> dict[str, Any]:
+    """compose() of the files folder/<path>.yaml or .json, read through Hadoop's file system."""
+
+    def read(path: str) -> str | None:
+        for ending in ("yaml", "json"):
+            p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{path}.{ending}")
+            if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+                return spark.read.text(p.toString(), wholetext=True).head()[0]
+        return None
+
+    return compose(read, name, overrides)
+
+
 SECTIONS = tuple(f.name for f in fields(RunConfig))

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.history import checkpoint_history
 from corpusloom.operators.prefix import Running, free_names, key_bucket, prefix_scan, prefix_sum
+from corpusloom.shipping import ship_package
 
 
 @dataclass
@@ -250,3 +252,66 @@ def run_tasks(spark: SparkSession, tasks: Sequence[EvalTask], step: int, enabled
     if log_predictions and folder and results:
         write_eval_results(spark, results, folder)
     return results, errors
+
+
+@dataclass
+class BatchTask:
+    """A benchmark that is scored batch by batch: score takes a pandas frame of samples and returns sums by metric."""
+
+    name: str
+    samples: DataFrame
+    score: Callable
+    order: Sequence[str]
+    enabled: bool = True
+    limit: int | None = None
+
+
+#: Samples that are scored at once.
+SCORED = 256
+
+
+def evaluate(spark: SparkSession, tasks: Sequence[BatchTask], step: int, enabled: bool = True) -> DataFrame:
+    """(task_name, step, num_samples, metrics, error) of every enabled task, all of them in one job.
+
+    metrics are the batches' sums over the number of samples. A batch that raises is caught in its task: its benchmark has
+    an error and no metrics, the others are as they would be without it. A limit of None or 0 takes all samples. A benchmark
+    without samples has 0 and no metrics.
+    """
+    from corpusloom.operators.sampling import limit_samples
+
+    ship_package(spark)
+    on = [t for t in tasks if enabled and t.enabled]
+    schema = "task_name string, sums map<string,double>, error string"
+    none = spark.createDataFrame([(t.name, {}, None) for t in on], schema)
+
+    def scored(task: BatchTask) -> DataFrame:
+        name, score = task.name, task.score
+
+        def run(frames):
+            import pandas as pd
+
+            for frame in frames:
+                for at in range(0, len(frame), SCORED):
+                    batch, error = frame.iloc[at : at + SCORED], None
+                    try:
+                        sums = {k: float(v) for k, v in score(batch).items()}
+                    except Exception as e:  # a failing benchmark must not end the others
+                        sums, error = {}, f"{type(e).__name__}: {e}"
+                    yield pd.DataFrame({"task_name": [name], "sums": [{**sums, "": float(len(batch))}], "error": [error]})
+
+        return limit_samples(task.samples, task.limit, *task.order).mapInPandas(run, schema)
+
+    batches = reduce(DataFrame.unionByName, map(scored, on), none)
+    parts = batches.select("task_name", "error", F.explode_outer("sums").alias("metric", "value")).groupBy("task_name", "metric").agg(F.sum("value").alias("value"), F.min("error").alias("error"))
+    n = F.coalesce(F.max(F.when(F.col("metric") == "", F.col("value"))), F.lit(0.0))
+    sums = F.collect_list(F.when(F.col("metric") != "", F.struct("metric", "value")))  # a few metrics a task
+    by_task = parts.groupBy("task_name").agg(n.alias("n"), F.array_sort(sums).alias("sums"), F.min("error").alias("error"))
+    means = F.map_from_entries(F.transform("sums", lambda x: F.struct(x["metric"], (x["value"] / F.col("n")).alias("value"))))
+    return by_task.select("task_name", F.lit(step).cast("long").alias("step"), F.col("n").cast("long").alias("num_samples"), F.when(F.col("error").isNull(), means).alias("metrics"), "error")
+
+
+def evaluation_log(results: DataFrame) -> DataFrame:
+    """(step, metric, value) rows of evaluate(): 'eval/<task>/<metric>' and num_samples, or error = 1 for a failed benchmark."""
+    own = F.when(F.col("error").isNotNull(), F.create_map(F.lit("error"), F.lit(1.0)))
+    rest = F.map_concat(F.col("metrics"), F.create_map(F.lit("num_samples"), F.col("num_samples").cast("double")))
+    return results.select("step", "task_name", F.explode(F.coalesce(own, rest)).alias("metric", "value")).select("step", F.concat(F.lit("eval/"), "task_name", F.lit("/"), "metric").alias("metric"), "value")

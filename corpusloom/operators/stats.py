@@ -51,6 +51,28 @@ def token_report(df: DataFrame, source: str = "dataset", count: str = "num_token
     return {"total_tokens": total, "tokens_per_source": got, "percentages": {k: python_round(v / total, 4) for k, v in got.items()} if total else {}}
 
 
+#: What token_distribution.json holds.
+TOKEN_REPORT = "total_tokens long, tokens_per_source map<string,long>, percentages map<string,double>"
+
+
+def token_report_row(dist: DataFrame, source: str = "dataset") -> DataFrame:
+    """The token report as a row of TOKEN_REPORT, of what token_distribution() returns: a row per source is gathered."""
+    entries = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(source), F.col(c)))))
+    return dist.agg(F.coalesce(F.max("total_tokens"), F.lit(0)).cast("long").alias("total_tokens"), entries("tokens").alias("tokens_per_source"), entries("percentage").alias("percentages"))
+
+
+def token_report_rows(report: DataFrame, names: list[str] | None = None, source: str = "dataset") -> DataFrame:
+    """(source, tokens, percentage, total_tokens) of every source that a report has a share of, or of names alone.
+
+    Fields and sources that the report lacks count as 0.
+    """
+    empty = lambda kind: F.map_from_arrays(F.array(), F.array()).cast(f"map<string,{kind}>")
+    share, count = F.coalesce("percentages", empty("double")), F.coalesce("tokens_per_source", empty("long"))
+    listed = F.map_keys(share) if names is None else F.lit(names).cast("array<string>")
+    rows = report.select(F.coalesce("total_tokens", F.lit(0)).alias("total_tokens"), share.alias("share"), count.alias("count"), F.explode(listed).alias(source))
+    return rows.select(source, F.coalesce(F.col("count")[F.col(source)], F.lit(0)).alias("tokens"), F.coalesce(F.col("share")[F.col(source)], F.lit(0.0)).alias("percentage"), "total_tokens")
+
+
 def packing_report(stats: DataFrame, length: int, input_dir: str, eos_token_id: int = 0) -> dict:
     """packing_stats.json of the one row that packing_stats() returns."""
     r = stats.first()

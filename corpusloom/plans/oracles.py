@@ -86,6 +86,10 @@ ORACLES: dict[str, str] = {
     "resume_other_world": _WORLDS.format(batch=_BATCH),
     "rewrite_split": "SELECT doc_id, split, CASE WHEN split = 'test' THEN 'new: ' ELSE '' END || text AS text FROM documents JOIN (SELECT doc_id, CASE WHEN r < ceil(0.1::DOUBLE * (SELECT count(*) FROM documents)) THEN 'test' ELSE 'train' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || doc_id), doc_id) - 1 AS r FROM documents)) USING (doc_id)",
     "packed_slice": f"SELECT g // 2048 AS seq, count(*) AS n_tokens, sum(id * (g % 2048 + 1))::BIGINT AS checksum FROM (SELECT *, row_number() OVER (ORDER BY doc_id, p) - 1 AS g FROM {_POS}) WHERE g // 2048 >= 20 AND g // 2048 < 50 GROUP BY 1",
+    "file_differences": "WITH o AS (SELECT source AS dataset, sum(strlen(text) + 1)::BIGINT AS old_bytes FROM documents GROUP BY 1), n AS (SELECT source AS dataset, sum(strlen(text) + CASE WHEN source = 'src2' THEN 2 ELSE 1 END)::BIGINT AS new_bytes FROM documents WHERE source <> 'src1' GROUP BY 1 UNION ALL SELECT 'extra', sum(strlen(text) + 1)::BIGINT FROM documents WHERE source = 'src3') SELECT dataset, CASE WHEN old_bytes IS NULL THEN 'new' WHEN new_bytes IS NULL THEN 'gone' WHEN old_bytes = new_bytes THEN 'same' ELSE 'changed' END AS status, old_bytes, new_bytes FROM o FULL JOIN n USING (dataset)",
+    "token_report_read": f"SELECT dataset, coalesce(tokens, 0) AS tokens, coalesce(percentage, 0.0) AS percentage, (SELECT sum(tokens)::BIGINT FROM {_DIST}) AS total_tokens FROM {_NAMES} LEFT JOIN {_DIST} USING (dataset)",
+    "metric_stream": "SELECT event_id // 4 AS step, round(avg(value), 4) AS train_loss, sum(event_id % 7 + 1)::BIGINT AS tokens FROM events WHERE event_id // 4 % 7 = 0 GROUP BY 1",
+    "evaluate_tasks": "SELECT 7::BIGINT AS step, unnest(m) AS metric, round(unnest(v), 6) AS value FROM (SELECT ['eval/long/share', 'eval/long/chars', 'eval/long/num_samples'] AS m, [avg((length(text) > 200)::INT), avg(length(text)), count(*)] AS v FROM benchmark UNION ALL SELECT ['eval/words/the', 'eval/words/num_samples'], [avg(contains(text, 'the')::INT), count(*)] FROM documents UNION ALL SELECT ['eval/few/chars', 'eval/few/num_samples'], [avg(length(text)), count(*)] FROM (SELECT text FROM benchmark ORDER BY item_id LIMIT 5) UNION ALL SELECT ['eval/broken/error'], [1.0])",
     "topk_checkpoints": f"SELECT * FROM {_CKPT} ORDER BY val_loss, step DESC, path DESC LIMIT 5",
     "best_checkpoint": f"SELECT * FROM {_CKPT} ORDER BY val_loss, step DESC, path DESC LIMIT 1",
     "checkpoint_admission": f"SELECT a.run, a.step, count(b.step) < 5 AS admitted FROM {_RUNS} a LEFT JOIN {_RUNS} b ON a.run = b.run AND b.step < a.step AND b.val_loss <= a.val_loss GROUP BY a.run, a.step",

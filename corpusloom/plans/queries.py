@@ -12,8 +12,24 @@ from corpusloom.operators import batching, packing, runlog, sampling, stats
 from corpusloom.operators.prefix import key_bucket, prefix_sum
 from corpusloom.operators.tokenizers import BpeTokenizer, NativeTokenizer, append_eos, native_count, native_ids
 from corpusloom.shipping import ship_package
-from corpusloom.sources import file_manifest, list_files, read_packed, read_source, read_split, replace_splits, write_one_file, write_packed, write_splits
+from corpusloom.sources import (
+    dataset_manifest,
+    file_manifest,
+    file_table,
+    list_files,
+    manifest_difference,
+    read_packed,
+    read_source,
+    read_split,
+    replace_splits,
+    scan_report,
+    write_one_file,
+    write_packed,
+    write_report,
+    write_splits,
+)
 from corpusloom.storage import bucketed, scratch_path
+from corpusloom.streaming import stream_metrics
 
 #: Parameters of the queries; oracles.py has the same.
 LENGTH, BATCH, CUT, EOS_TEXT = 2048, 16, 512, "<|eos|>"
@@ -172,6 +188,45 @@ def files_by_top_folder(spark, d):
     return spark.createDataFrame(rows, "dataset string, path string").select("dataset", source_of_top(F.concat("dataset", F.lit("/"), "path")).alias("top"), "path")
 
 
+def file_differences(spark, d):
+    """Documents as a folder of text files per source, twice; the second time a source is gone, one is changed, one is new."""
+    docs = _docs(spark, d)
+
+    def written(df, name):
+        path = scratch_path(spark, name)
+        df.repartition("dataset").sortWithinPartitions("dataset", "doc_id").select("dataset", "text").write.partitionBy("dataset").text(path)
+        return dataset_manifest(file_table(spark, path, "*.txt")).withColumn("dataset", F.substring_index("dataset", "=", -1))
+
+    other = docs.where("dataset <> 'src1'").withColumn("text", F.when(F.col("dataset") == "src2", F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    added = docs.where("dataset = 'src3'").withColumn("dataset", F.lit("extra"))
+    return manifest_difference(written(docs, "old"), written(other.unionByName(added), "new"))
+
+
+def token_report_read(spark, d):
+    """The token report is written as JSON, scanned with declared types and joined with the declared sources."""
+    path = scratch_path(spark, "report") + "/token_distribution.json"
+    write_report(stats.token_report_row(stats.token_distribution(_counted(spark, d))), path)
+    return stats.token_report_rows(scan_report(spark, path, stats.TOKEN_REPORT), DECLARED)
+
+
+def metric_stream(spark, d):
+    """Events as four ranks' losses, each third of ten logged again five minutes later, streamed; each step's mean of what is logged."""
+    schema = _events(spark, d).schema
+    # a pattern, as a stream's path must be a folder otherwise
+    ranks = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").select(
+        F.floor(F.col("event_id") / 4).alias("step"),
+        (F.col("event_id") % 4).alias("rank"),
+        F.explode(F.when(F.col("event_id") % 10 < 3, F.array("ts", F.col("ts") + F.expr("INTERVAL 5 MINUTES"))).otherwise(F.array("ts"))).alias("at"),
+        F.col("value").alias("loss"),
+        (F.col("event_id") % 7 + 1).alias("tokens"),
+    )
+    path = scratch_path(spark, "log")
+    stream_metrics(ranks, path, f"{path}-state", "run", keys=("rank",), every=LOG_EVERY, time="at").awaitTermination()
+    log = spark.read.parquet(path)
+    value = lambda name: F.when(F.col("metric") == name, F.col("value"))
+    return log.groupBy("step").agg(F.round(F.avg(value("loss")), 4).alias("train_loss"), F.sum(value("tokens")).cast("long").alias("tokens"))
+
+
 def scan_jsonl_parquet_union(spark, d):
     """Documents as JSON lines and items as Parquet: one source in both formats."""
     lines = scratch_path(spark, "source") + "/documents.jsonl"
@@ -397,6 +452,23 @@ def eval_metrics_long(spark, d):
     return runlog.eval_metrics_long(results)
 
 
+def evaluate_tasks(spark, d):
+    """Four benchmarks in one job: limits of 0, none and 5, and one that fails."""
+    items, docs = spark.read.parquet(f"{d}/benchmark.parquet"), _docs(spark, d, "doc_id", "text")
+
+    def fails(batch):
+        raise NotImplementedError("later")
+
+    tasks = [
+        runlog.BatchTask("long", items, lambda b: {"share": (b["text"].str.len() > 200).sum(), "chars": b["text"].str.len().sum()}, ["item_id"], limit=0),
+        runlog.BatchTask("words", docs, lambda b: {"the": b["text"].str.contains("the", regex=False).sum()}, ["doc_id"]),
+        runlog.BatchTask("few", items, lambda b: {"chars": b["text"].str.len().sum()}, ["item_id"], limit=5),
+        runlog.BatchTask("broken", docs, fails, ["doc_id"]),
+        runlog.BatchTask("off", docs, fails, ["doc_id"], enabled=False),
+    ]
+    return runlog.evaluation_log(runlog.evaluate(spark, tasks, 7)).withColumn("value", F.round("value", 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__.removesuffix("_query"): f
     for f in (
@@ -404,9 +476,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         append_eos_query, tokenize_native, tokenize_bpe, token_counts, token_distribution, token_distribution_sorted,
         pack_sequences, pack_doc_spans, pack_tail, packing_stats, mixture_sample, mixture_sample_keep_all,
         rows_per_source, mixture_proportions, train_test_split, val_head, eval_limit, union_sources,
-        source_file_manifest, files_by_top_folder, scan_jsonl_parquet_union, merge_source_files, rewrite_split, packed_slice, token_offsets, cumulative_tokens, token_budget_cut,
+        source_file_manifest, files_by_top_folder, file_differences, token_report_read, metric_stream, scan_jsonl_parquet_union, merge_source_files, rewrite_split, packed_slice, token_offsets, cumulative_tokens, token_budget_cut,
         batch_assign, resume_skip_batches, shard_batches, resume_other_world, collate_pad, attention_mask, label_mask, tokens_per_step,
         loss_per_step, mean_loss_per_step, stop_at_steps, stop_at_tokens_first, epoch_counters, resume_from_last, packing_summary, val_loss_mean_of_means, log_every_n, lr_schedule, checkpoint_schedule, checkpoint_schedule_one_run, checkpoint_history, topk_checkpoints,
-        best_checkpoint, checkpoint_admission, checkpoint_prunes, last_checkpoints, checkpoint_names, eval_metrics_long,
+        best_checkpoint, checkpoint_admission, checkpoint_prunes, last_checkpoints, checkpoint_names, eval_metrics_long, evaluate_tasks,
     )
 }

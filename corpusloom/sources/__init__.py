@@ -3,15 +3,19 @@
 from corpusloom.sources.readers import (
     MissingSourceError,
     check_sources,
+    dataset_manifest,
     file_manifest,
+    file_table,
     files_by_folder,
     list_files,
+    manifest_difference,
     read_packed,
     read_source,
     read_sources,
     read_split,
     read_text,
     read_token_report,
+    scan_report,
 )
 from corpusloom.sources.writers import (
     append_metrics,
@@ -22,6 +26,7 @@ from corpusloom.sources.writers import (
     write_mixture,
     write_one_file,
     write_packed,
+    write_report,
     write_splits,
 )
 
@@ -29,9 +34,12 @@ __all__ = [
     "MissingSourceError",
     "append_metrics",
     "check_sources",
+    "dataset_manifest",
     "file_manifest",
+    "file_table",
     "files_by_folder",
     "list_files",
+    "manifest_difference",
     "read_packed",
     "read_source",
     "read_sources",
@@ -39,11 +47,13 @@ __all__ = [
     "read_text",
     "read_token_report",
     "replace_splits",
+    "scan_report",
     "write_config",
     "write_eval_results",
     "write_json",
     "write_mixture",
     "write_one_file",
     "write_packed",
+    "write_report",
     "write_splits",
 ]

@@ -116,3 +116,37 @@ def read_token_report(spark: SparkSession, path: str) -> dict | None:
     rows = spark.read.text(path, wholetext=True).head(1)
     got = json.loads(rows[0][0])
     return {"total_tokens": 0, "tokens_per_source": {}, "percentages": {}} | got
+
+
+def scan_report(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
+    """JSON reports as rows, one per file, with declared types: maps stay maps, absent fields are null."""
+    return spark.read.schema(schema).option("multiLine", True).json(paths)
+
+
+def file_table(spark: SparkSession, root: str, pattern: str = "*", digest: bool = True) -> DataFrame:
+    """(path, dataset, bytes, modified, sha256) of the files below root whose names match pattern, by a scan.
+
+    path is relative to root and dataset its first part. Files are read, for their digest, by the executors; without it only
+    their listing is. A digest takes a whole file in memory: leave it out for files of gigabytes.
+    """
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    path = F.substring("path", len(base) + 1, 1 << 30)
+    sha = F.sha2("content", 256) if digest else F.lit(None).cast("string")
+    return files.select(path.alias("path"), F.substring_index(path, "/", 1).alias("dataset"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), sha.alias("sha256"))
+
+
+def dataset_manifest(files: DataFrame) -> DataFrame:
+    """(dataset, n_files, bytes, digest) of a file_table(): digest is that of a dataset's file digests, whatever their names."""
+    digests = F.array_join(F.array_sort(F.collect_list("sha256")), "")
+    return files.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_files"), F.sum("bytes").alias("bytes"), F.sha2(digests, 256).alias("digest"))
+
+
+def manifest_difference(old: DataFrame, new: DataFrame, key: str = "dataset", digest: str = "digest") -> DataFrame:
+    """(key, status, old_bytes, new_bytes): what is new, gone, changed (in size or digest) or the same in new."""
+    a = old.select(key, F.col("bytes").alias("old_bytes"), F.col(digest).alias("_old"))
+    b = new.select(key, F.col("bytes").alias("new_bytes"), F.col(digest).alias("_new"))
+    same = (F.col("old_bytes") == F.col("new_bytes")) & F.col("_old").eqNullSafe(F.col("_new"))
+    status = F.when(F.col("old_bytes").isNull(), "new").when(F.col("new_bytes").isNull(), "gone").when(same, "same").otherwise("changed")
+    return a.join(b, key, "full_outer").select(key, status.alias("status"), "old_bytes", "new_bytes")

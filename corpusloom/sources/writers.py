@@ -39,6 +39,11 @@ def write_json(spark: SparkSession, value: dict, path: str) -> None:
         out.close()
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """A report's one row as an indented JSON file; fields that are null are left out."""
+    write_json(report.sparkSession, json.loads(report.select(F.to_json(F.struct(*report.columns))).first()[0]), path)
+
+
 def append_metrics(df: DataFrame, path: str, run: str) -> None:
     """Wide metric rows (step and any numeric columns) appended as (run, step, metric, value)."""
     names = [c for c in df.columns if c != "step"]

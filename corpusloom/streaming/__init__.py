@@ -1,5 +1,5 @@
 """Appending a run's metrics as they arrive."""
 
-from corpusloom.streaming.metrics import stream_metrics
+from corpusloom.streaming.metrics import logged_once, long_metrics, stream_metrics
 
-__all__ = ["stream_metrics"]
+__all__ = ["logged_once", "long_metrics", "stream_metrics"]
