@@ -159,7 +159,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     """docs with removed_spans (original offsets) and clean_text."""
     repeated = repeated_entries(docs, key, text, min_words)
     for name in RESULTS:
-        if name in docs.columns:
+        while name.lower() in (taken := {c.lower(): c for c in docs.columns}):
+            name = taken[name.lower()]
             other = unused(docs.columns, name)
             docs, text = docs.withColumnRenamed(name, other), other if text == name else text
     marks = unused(docs.columns, "places")

@@ -8,9 +8,9 @@ in the shard. Runs of matches along an item give the longest verbatim matches an
 shard and is then dropped.
 
 A window is 10 consecutive words of an item, or all words of a shorter item. The benchmark is the query set. It is cut into
-blocks of BLOCK_BYTES of text at most (one item at least) by running sums over its rows; a block at a time is read by the
-driver, broadcast and looked up in every shard; the driver holds two at most. What the blocks find is joined by row. With
-one block, rows are scanned where they lie and nothing is shuffled or written.
+blocks of BLOCK_BYTES of text at most (one item at least) by running sums over its rows. The driver reads a block, makes its
+arrays and sends them to the executors' disks, one block at a time. The texts are scanned once, where they lie: each shard is
+looked up block by block, and a worker holds one block of several. Nothing is shuffled or written.
 
 Defined results: null text has no words, and an item without words has no window; an empty table gives no rows; an empty
 benchmark hits nothing; repeated rows have equal results, also without an id; an item without an id is named by the empty
@@ -21,15 +21,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import without_ids
 from corpusloom.llm.worker import frugal, prepare
 from corpusloom.operators.prefix import prefix_sum
 from corpusloom.schemas import require
@@ -38,7 +36,7 @@ from corpusloom.storage import materialize
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW, DEPTH = 10, 16
 #: Bytes of text in a shard, and in a benchmark block.
-SHARD_BYTES, BLOCK_BYTES = 8 << 20, 12 << 20
+SHARD_BYTES, BLOCK_BYTES = 8 << 20, 1 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -56,26 +54,28 @@ class Queries:
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
         self.names = [name for name, _ in items]
         self.numbers: dict[bytes, int] = {}
-        at: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for i, (_, words) in enumerate(items):
-            ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]
-            n = min(window, len(ids))
-            for p in range(len(ids) - n + 1 if n else 0):
-                at.setdefault(tuple(ids[p : p + n]), []).append((i, p))
-        windows = sorted(at)
+        sizes = np.array([len(w) for _, w in items], np.int64)
+        ids = np.fromiter((self.numbers.setdefault(w, len(self.numbers) + 1) for _, words in items for w in words), np.int64, int(sizes.sum()))
         self.depth = max(DEPTH, window)
-        self.length = np.array([len(w) for w in windows], np.int64)
-        low = np.zeros((len(windows), self.depth), np.int64)
-        for row, w in zip(low, windows, strict=True):
-            row[: len(w)] = w
-        high = np.where(np.arange(self.depth) < self.length[:, None], low, 2**32 - 1)
-        self.low, self.high = _key(low), _key(high)
+        each = np.where(sizes > window, sizes - window + 1, np.minimum(sizes, 1))  # windows of each item
+        item = np.repeat(np.arange(len(items)), each)
+        place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        long = np.minimum(sizes, window)[item]
+        padded = np.concatenate([ids, np.zeros(self.depth, np.int64)])
+        rows = padded[((np.cumsum(sizes) - sizes)[item] + place)[:, None] + np.arange(self.depth)]
+        rows[np.arange(self.depth) >= long[:, None]] = 0
+        low, one, of = np.unique(_key(rows), return_index=True, return_inverse=True)
+        self.length = long[one]
+        rows = rows[one]
+        self.low = low
+        self.high = _key(np.where(np.arange(self.depth) < self.length[:, None], rows, 2**32 - 1))
         #: Owners (item, place in it) of window w are owners[first[w]:first[w + 1]].
-        self.first = np.cumsum([0, *(len(at[w]) for w in windows)])
-        self.owners = np.array([o for w in windows for o in at[w]], np.int64).reshape(-1, 2)
+        order = np.argsort(of.ravel(), kind="stable")
+        self.first = np.r_[0, np.cumsum(np.bincount(of.ravel(), minlength=len(low)))]
+        self.owners = np.stack([item, place], 1)[order].astype(np.int32)
         self.base = len(self.numbers) + 1
-        self.pairs = np.unique(low[self.length > 1][:, 0] * self.base + low[self.length > 1][:, 1])
-        self.singles = np.unique(low[self.length == 1][:, 0])
+        self.pairs = np.unique(rows[self.length > 1][:, 0] * self.base + rows[self.length > 1][:, 1])
+        self.singles = np.unique(rows[self.length == 1][:, 0])
 
 
 class Hits:
@@ -127,27 +127,47 @@ class Hits:
         return longest, where
 
 
-def scan_shard(texts: list[str | None], q: Queries) -> list[tuple[int, list[tuple[int, int]], list[str], int, int]]:
-    """(n_words, hit ranges of words, item names, longest match, its first word) of each text."""
-    words = [words_of(t) for t in texts]
+Found = tuple[int, list[tuple[int, int]], list[str], int, int]
+
+
+def scan_shard(words: list[list[bytes]], q: Queries) -> list[Found]:
+    """(n_words, hit ranges of words, item names, longest match, its first word) of each text's words."""
     counts = np.array([len(w) for w in words], np.int64)
     ends = np.cumsum(counts + 1)  # a 0 after each document keeps matches inside it
     begins = ends - counts - 1
     get = q.numbers.get
     ids = np.fromiter((x for w in words for x in (*[get(v, 0) for v in w], 0)), np.int64, int(ends[-1]) if len(ends) else 0)
     h = Hits(ids, ends, q)
-    items: list[set[str]] = [set() for _ in texts]
+    items: list[set[str]] = [set() for _ in words]
     for d, i in set(zip(h.doc.tolist(), h.item.tolist(), strict=True)):
         items[d].add(q.names[i])
     edge = np.flatnonzero(np.diff(np.r_[0, h.covered.astype(np.int8), 0]))
     first, after = edge[::2], edge[1::2]  # no run crosses the 0 after a document
-    ranges: list[list[tuple[int, int]]] = [[] for _ in texts]
+    ranges: list[list[tuple[int, int]]] = [[] for _ in words]
     for d, a, b in zip(np.searchsorted(ends, first, "right").tolist(), first.tolist(), after.tolist(), strict=True):
         ranges[d].append((a - int(begins[d]), b - int(begins[d])))
     place = np.where(h.where >= 0, h.where - begins, -1)
     return [(int(c), r, sorted(s), int(n), int(p)) for c, r, s, n, p in zip(counts, ranges, items, h.longest, place, strict=True)]
 
 
+def _both(a: Found, b: Found) -> Found:
+    """What two blocks find in one text."""
+    best = min((-a[3], a[4]), (-b[3], b[4]))
+    return a[0], sorted({*a[1], *b[1]}), sorted({*a[2], *b[2]}), -best[0], best[1]
+
+
+def scan_blocks(texts: list[str | None], blocks: list[Broadcast]) -> list[Found]:
+    """scan_shard() of every block, one after the other: a worker holds one of several, the rest lie on its disk."""
+    words = [words_of(t) for t in texts]
+    found: list[Found] | None = None
+    for block in blocks:
+        now = scan_shard(words, block.value)
+        found = now if found is None else [_both(a, b) for a, b in zip(found, now, strict=True)]
+        if len(blocks) > 1:
+            block.__dict__.pop("_value", None)  # read from disk again for the next shard
+    return found or []
+
+
 def shards(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of about SHARD_BYTES, of one row at least."""
     rows = max(1, int(batch.num_rows * SHARD_BYTES / max(batch.nbytes, SHARD_BYTES)))
@@ -172,9 +192,16 @@ def query_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text"
 RESULTS = "n_words long, ranges array<struct<a:int,b:int>>, items array<string>, longest_match long, match_start long"
 
 
-def _scan(docs: DataFrame, q: Queries, key: str, text: str) -> DataFrame:
-    """key and RESULTS of each row, of one block."""
-    block = docs.sparkSession.sparkContext.broadcast(q)  # BLOCK_BYTES and one item at most
+def _sent(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> list[Broadcast]:
+    """The benchmark's blocks, each sent to the executors' disks; the driver makes one at a time."""
+    return [docs.sparkSession.sparkContext.broadcast(q) for q in query_blocks(benchmark, block_bytes=block_bytes)]  # block_bytes and one item at most
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(key, n_words, n_hit, items, longest_match, match_start) of each row of docs; places and lengths in words."""
+    require(docs, key, text)
+    prepare(docs.sparkSession)
+    blocks = _sent(docs, benchmark, block_bytes)
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "n_words", "ranges", "items", "longest_match", "match_start"]
     types = (pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.string()), pa.int64(), pa.int64())
@@ -182,39 +209,11 @@ def _scan(docs: DataFrame, q: Queries, key: str, text: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in shards(b):
-                n, ranges, items, longest, place = zip(*scan_shard(part.column(1).to_pylist(), block.value), strict=True)
+                n, ranges, items, longest, place = zip(*scan_blocks(part.column(1).to_pylist(), blocks), strict=True)
                 spans = [[{"a": x, "b": y} for x, y in r] for r in ranges]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, t) for x, t in zip((n, spans, items, longest, place), types, strict=True)]], names)
 
-    return docs.select(key, text).mapInArrow(frugal(scan), f"`{key}` {kind}, {RESULTS}")
-
-
-def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs, written with a column that numbers its rows."""
-    rid = "_row"
-    while rid in docs.columns:
-        rid += "_"
-    return materialize(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered"), rid
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(key, n_words, n_hit, items, longest_match, match_start) of each row of docs; places and lengths in words."""
-    require(docs, key, text)
-    prepare(docs.sparkSession)
-    blocks = query_blocks(benchmark, block_bytes=block_bytes)
-    q, more = next(blocks), next(blocks, None)
-    if more is None:
-        got = _scan(docs, q, key, text)
-    else:
-        numbered, rid = _numbered(docs.select(key, text))
-        parts = _each_block(numbered, chain([q, more], blocks), rid, text)
-        joined = parts.groupBy(rid).agg(
-            F.max("n_words").alias("n_words"),
-            F.flatten(F.collect_list("ranges")).alias("ranges"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.max(F.struct("longest_match", (-F.col("match_start")).alias("at"))).alias("best"),
-        )
-        got = numbered.select(key, rid).join(joined, rid).select(key, "n_words", "ranges", "items", F.col("best.longest_match").alias("longest_match"), (-F.col("best.at")).alias("match_start"))
+    got = docs.select(key, text).mapInArrow(frugal(scan), f"`{key}` {kind}, {RESULTS}")
     fold = F.aggregate(
         F.array_sort("ranges"),
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit")),
@@ -224,28 +223,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     return got.select(key, "n_words", fold.alias("n_hit"), "items", "longest_match", "match_start")
 
 
-def _each_block(numbered: DataFrame, blocks: Iterator[Queries], rid: str, text: str) -> DataFrame:
-    """RESULTS by rid of every block: each is looked up in a pass of its own, whose results are written."""
-    parts = [materialize(_scan(numbered, q, rid, text), "block-hits") for q in blocks]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs without those that hold a benchmark window."""
     prepare(docs.sparkSession)
-    blocks = query_blocks(benchmark, block_bytes=block_bytes)
-    q, more = next(blocks), next(blocks, None)
-    if more is not None:
-        numbered, rid = _numbered(docs)
-        hit = materialize(_each_block(numbered, chain([q, more], blocks), rid, text).where("size(ranges) > 0").select(rid).distinct(), "contaminated")
-        return without_ids(numbered, hit, rid).select(*docs.columns)
-    block = docs.sparkSession.sparkContext.broadcast(q)
+    blocks = _sent(docs, benchmark, block_bytes)
     at = docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in shards(b):
-                yield part.filter(pa.array([not x[1] for x in scan_shard(part.column(at).to_pylist(), block.value)], pa.bool_()))
+                yield part.filter(pa.array([not x[1] for x in scan_blocks(part.column(at).to_pylist(), blocks)], pa.bool_()))
 
     return docs.mapInArrow(frugal(keep), docs.schema)
 
