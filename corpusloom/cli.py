@@ -23,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
     mix.add_argument("--exclude", action="append", default=[])
     tok = sub.add_parser("tokenize", help="end tokens, ids, report and split")
     tok.add_argument("--tokenizer", help="a tokenizers JSON file; without it, the native tokenizer")
-    tok.add_argument("--eos", default="<eos>")
+    tok.add_argument("--eos", help="the end token; without it, the tokenizer's own")
     tok.add_argument("--data-path", required=True)
     tok.add_argument("--test-size", type=float, default=0.1)
     tok.add_argument("--output-path", default="tokenized_data")

@@ -20,7 +20,7 @@ class MixtureConfig:
 @dataclass
 class TokenizeConfig:
     tokenizer: str | None = None  # a tokenizers JSON file; None: the native expression
-    eos: str = "<eos>"
+    eos: str | None = None  # None: the definition's end token, "<eos>" for the native expression
     test_size: float = 0.1
     seed: int = 0
 

@@ -197,6 +197,14 @@ def save_last(spark: SparkSession, counters: Counters, folder: str) -> str:
     return f"{folder}/last"
 
 
+def save_last_of(counters: DataFrame, order: Sequence[str], folder: str) -> str:
+    """The counters of the last row of run_counters(), in order, to folder/last/state, overwritten; written by the executors."""
+    fields = ("epoch", "global_step", "step_in_epoch", "tokens_seen")
+    last = counters.agg(F.max_by(F.struct(*fields), F.struct(*order)).alias("c")).where("c IS NOT NULL").select("c.*")
+    last.coalesce(1).write.mode("overwrite").parquet(f"{folder}/last/state")
+    return f"{folder}/last"
+
+
 def resume(spark: SparkSession, checkpoint: str | None) -> Counters | None:
     """The counters in checkpoint/state; None, for a run from the start, where no checkpoint is named or it has no state."""
     if checkpoint is None:

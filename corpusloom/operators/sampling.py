@@ -27,13 +27,12 @@ def _cuts(keys: DataFrame, limits: dict[str, int]) -> dict[str, tuple[bytes, obj
     first digits of the shuffle key deal a group's rows to buckets, which are counted; only the bucket that holds the n-th row
     is ranked. Rows are dealt once, by these narrow columns; the driver gets a row per group.
     """
-    spark = keys.sparkSession
     dealt = keys.withColumn("bucket", F.substring(F.hex("shuffle"), 1, DIGITS)).repartition("group", "bucket")
     # counted by the columns that ranking needs too, so that both read the same exchange
     counts = dealt.groupBy("group", "bucket").agg(F.count(F.struct("shuffle", "key")).alias("n"))
     before = Window.partitionBy("group").orderBy("bucket")  # BUCKETS rows a group
-    limit = spark.createDataFrame(list(limits.items()), "group string, limit long")
-    sized = counts.join(F.broadcast(limit), "group").withColumn("upto", F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("group")].cast("long").alias("limit")
+    sized = counts.select("*", limit).withColumn("upto", F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, 0)))
     cut = sized.where("upto >= limit AND upto - n < limit").select("group", "bucket", (F.col("limit") - F.col("upto") + F.col("n")).alias("nth"))
     rank = F.row_number().over(Window.partitionBy("group", "bucket").orderBy("shuffle", "key"))
     same = Window.partitionBy("group", "bucket", "shuffle", "key")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -12,6 +14,8 @@ from pyspark.sql import types as T
 
 WHITESPACE = "[ \\t\\n\\r\\f]+"
 EOS = "<eos>"
+#: Special tokens that end a text in public tokenizers.
+END_TOKENS = ("<|endoftext|>", "<|end_of_text|>", "</s>", "<eos>", "<|eos|>", "<|im_end|>", "[EOS]")
 
 
 class Tokenizer(Protocol):
@@ -57,8 +61,6 @@ def by_bytes(batch: pa.RecordBatch, size: int = ENCODE_BYTES) -> Iterator[pa.Rec
 
 def _encoder(definition: str):
     """The encoder of a definition, made once per worker process."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer as Encoder
 
@@ -71,13 +73,54 @@ def _encoder(definition: str):
 class BpeTokenizer:
     """A tokenizers JSON definition, sent to the workers once as a string and encoded in Arrow batches."""
 
+    named_eos: str | None = None
+
     def __init__(self, definition: str):
         self.definition = definition
 
     @classmethod
     def from_file(cls, path: str) -> BpeTokenizer:
+        """The definition at a path of the driver; a tokenizer_config.json beside it may name the end token."""
         with open(path, encoding="utf-8") as f:
-            return cls(f.read())
+            made = cls(f.read())
+        beside = os.path.join(os.path.dirname(path), "tokenizer_config.json")
+        if os.path.exists(beside):
+            with open(beside, encoding="utf-8") as f:
+                named = json.load(f).get("eos_token")
+            made.named_eos = named.get("content") if isinstance(named, dict) else named
+        return made
+
+    @property
+    def _added(self) -> dict[str, int]:
+        """The definition's special tokens and their ids."""
+        return {t["content"]: t["id"] for t in json.loads(self.definition).get("added_tokens", []) if t.get("special")}
+
+    @property
+    def eos(self) -> str:
+        """The end token: the one that the configuration names, else the only special token that is known to be one."""
+        if self.named_eos:
+            return self.named_eos
+        known = [t for t in END_TOKENS if t in self._added]
+        if len(known) != 1:
+            raise ValueError(f"the definition tells no end token; its special tokens are {sorted(self._added)}")
+        return known[0]
+
+    @property
+    def eos_id(self) -> int:
+        """The end token's id, special or in the vocabulary."""
+        vocabulary = json.loads(self.definition)["model"]["vocab"]
+        found = self._added.get(self.eos, vocabulary.get(self.eos) if isinstance(vocabulary, dict) else None)
+        if found is None:
+            raise ValueError(f"the vocabulary has no {self.eos}")
+        return found
+
+    @property
+    def vocabulary_size(self) -> int:
+        """Ids from 0 to the largest, added tokens included."""
+        d = json.loads(self.definition)
+        vocabulary = d["model"]["vocab"]
+        ids = vocabulary.values() if isinstance(vocabulary, dict) else range(len(vocabulary))
+        return max([-1, *ids, *(t["id"] for t in d.get("added_tokens", []))]) + 1
 
     def tokenize(self, df: DataFrame) -> DataFrame:
         sent = df.sparkSession.sparkContext.broadcast(self.definition)  # a vocabulary: its size does not follow the data

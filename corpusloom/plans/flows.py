@@ -31,7 +31,8 @@ def tokenize_and_split(spark: SparkSession, config: RunConfig, data: str, out: s
     split = exact_split_of(rows, t.test_size, t.seed)  # on texts: tokens are made after it, once
     if t.tokenizer:
         ship_package(spark)
-        tokens = BpeTokenizer.from_file(t.tokenizer).tokenize(append_eos(split, t.eos))
+        encoder = BpeTokenizer.from_file(t.tokenizer)
+        tokens = encoder.tokenize(append_eos(split, t.eos or encoder.eos))
     else:
         tokens = NativeTokenizer().tokenize(split)
     write_splits(tokens, out)

@@ -102,7 +102,7 @@ ORACLES: dict[str, str] = {
     "mean_loss_per_step": "SELECT event_id % 97 AS step, round(avg(value), 4) AS loss FROM events GROUP BY 1",
     "stop_at_steps": f"SELECT epoch, step FROM {_EPOCHS} WHERE step < 120 OR (epoch % 7 = 3 AND step = 150)",
     "stop_at_tokens_first": f"SELECT epoch, step, (40 + s)::BIGINT AS tokens_seen FROM (SELECT *, sum(n) OVER (ORDER BY event_id) AS s FROM {_EPOCHS}) WHERE event_id = 0 OR 40 + s - n < 20000",
-    "resume_from_last": "SELECT 1 AS epoch, n // 16 AS global_step, n // 16 % 10 AS step_in_epoch, n AS tokens_seen, true AS fresh FROM (SELECT count(*) AS n FROM documents)",
+    "resume_from_last": f"SELECT (b - 1) // 10 AS epoch, b AS global_step, (b - 1) % 10 + 1 AS step_in_epoch, t AS tokens_seen, true AS fresh FROM (SELECT count(DISTINCT batch_id) AS b FROM {_BATCH}), (SELECT sum(num_tokens)::BIGINT AS t FROM {_COUNTED})",
     "packing_summary": f"SELECT format('{{:,}}', ceil(sum(num_tokens) / 2048)::BIGINT) AS sequences, format('{{:,}}', sum(num_tokens)::BIGINT) AS tokens, printf('%.1f', round(sum(num_tokens) / ceil(sum(num_tokens) / 2048), 4)) AS per_sequence, printf('%.2f', round(count(*) / ceil(sum(num_tokens) / 2048), 4)) AS examples FROM {_COUNTED}",
     "checkpoint_prunes": f"SELECT run, step, 'ckpt/' || gone AS removed FROM (SELECT *, max(CASE WHEN gone = step THEN r END) OVER (PARTITION BY run, step) AS own FROM (SELECT a.run, a.step, b.step AS gone, row_number() OVER (PARTITION BY a.run, a.step ORDER BY b.val_loss, b.step DESC) AS r FROM {_RUNS} a JOIN {_RUNS} b ON a.run = b.run AND b.step <= a.step)) WHERE (own <= 6 AND r = 6) OR (own > 6 AND gone = step)",
     "last_checkpoints": f"SELECT run, max(step) AS step, run || '/last' AS path FROM {_RUNS} GROUP BY run",

@@ -14,9 +14,7 @@ from corpusloom.operators.tokenizers import BpeTokenizer, NativeTokenizer, appen
 from corpusloom.shipping import ship_package
 from corpusloom.sources import (
     dataset_manifest,
-    file_manifest,
     file_table,
-    list_files,
     manifest_difference,
     read_packed,
     read_source,
@@ -175,17 +173,17 @@ def union_sources(spark, d):
 
 
 def source_file_manifest(spark, d):
-    """Files by the folder they lie in; the folders of tables stand for sources."""
+    """Files by the folder they lie in, by a scan; the folders of tables stand for sources."""
     root, _, name = d.rstrip("/").rpartition("/")
-    found = file_manifest(spark, root).where(F.col("dataset") == name)
-    return found.select("dataset", F.element_at(F.split("path", "/"), -1).alias("name"))
+    files = file_table(spark, f"{root}/{name}", "*.parquet", digest=False).where(~F.col("path").contains("/"))
+    return files.select(F.lit(name).alias("dataset"), F.col("path").alias("name"))
 
 
 def files_by_top_folder(spark, d):
-    """Files below the tables' parent folder, at any depth, by the first part of their path."""
-    root, _, name = d.rstrip("/").rpartition("/")
-    rows = [(name, f) for f in list_files(spark, d)]
-    return spark.createDataFrame(rows, "dataset string, path string").select("dataset", source_of_top(F.concat("dataset", F.lit("/"), "path")).alias("top"), "path")
+    """Files below the tables' folder, at any depth, by the first part of their path; by a scan."""
+    name = d.rstrip("/").rpartition("/")[2]
+    files = file_table(spark, d, "*.parquet", digest=False)
+    return files.select(F.lit(name).alias("dataset"), source_of_top(F.concat(F.lit(f"{name}/"), "path")).alias("top"), "path")
 
 
 def file_differences(spark, d):
@@ -357,12 +355,12 @@ def epoch_counters(spark, d):
 
 
 def resume_from_last(spark, d):
-    """The counters of a run over all documents, saved in the last slot and found again; a slot without state is none."""
-    n = spark.read.parquet(f"{d}/documents.parquet").count()
-    folder = scratch_path(spark, "run")
-    last = runlog.save_last(spark, runlog.Counters(1, n // BATCH, n // BATCH % 10, n), folder)
-    got, none = runlog.resume(spark, last), runlog.resume(spark, f"{folder}/none")
-    return spark.createDataFrame([(*got.state_dict().values(), none is None)], "epoch long, global_step long, step_in_epoch long, tokens_seen long, fresh boolean")
+    """A run over all documents in batches, with epochs of 10: its last counters, saved in the last slot and found again."""
+    steps = tokens_per_step(spark, d).withColumns({"ended": F.col("batch_id") % 10 == 9, "restored": F.lit(None).cast("struct<epoch:long,global_step:long,step_in_epoch:long,tokens_seen:long>")})
+    counted = runlog.run_counters(steps, ["batch_id"], key_bucket("batch_id"), tokens="tokens")
+    last = runlog.save_last_of(counted, ["batch_id"], scratch_path(spark, "run"))
+    none = runlog.resume(spark, last.removesuffix("last") + "none") is None
+    return spark.read.parquet(f"{last}/state").withColumn("fresh", F.lit(none))
 
 
 def packing_summary(spark, d):

@@ -144,3 +144,21 @@ def test_layered_files(spark, tmp_path):
     assert (config.pack.max_seq_length, config.pack.eos_token_id) == (16, 7)
     with pytest.raises(TypeError):
         RunConfig.from_dict(tree)  # sections that no run has
+
+
+def test_the_end_token_is_the_tokenizer_s(tmp_path):
+    import public_tokenizers
+
+    from corpusloom.operators.tokenizers import BpeTokenizer
+
+    got = BpeTokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert (got.eos, got.eos_id, got.vocabulary_size) == ("<|endoftext|>", 50256, 50257)
+    definition = {"added_tokens": [{"content": "<s>", "id": 3, "special": True}, {"content": "</s>", "id": 4, "special": True}], "model": {"vocab": {"a": 0, "b": 1, "!": 2}}}
+    (tmp_path / "tokenizer.json").write_text(json.dumps(definition))
+    plain = BpeTokenizer.from_file(f"{tmp_path}/tokenizer.json")
+    assert (plain.eos, plain.eos_id, plain.vocabulary_size) == ("</s>", 4, 5)
+    for named in ("!", {"content": "!"}):
+        (tmp_path / "tokenizer_config.json").write_text(json.dumps({"eos_token": named}))
+        assert BpeTokenizer.from_file(f"{tmp_path}/tokenizer.json").eos_id == 2
+    with pytest.raises(ValueError, match="no end token"):
+        _ = BpeTokenizer(json.dumps({"added_tokens": [], "model": {"vocab": {"a": 0}}})).eos
