@@ -43,9 +43,9 @@ HELD_OUT, ROUNDS, SURE = 0.2, 3, 0.97
 PASSES, UNIT = 4, 1 << 24
 #: Rows that a feature needs to be used, and the least log ratio of its shares in both kinds.
 MIN_ROWS, MIN_RATIO = 3, 0.3
-#: Share of the good held-out rows that are accepted at least: the threshold is 0.5 where that keeps as many, and lower
-#: where it doesn't, but no lower than where CATCH of the other held-out rows, and of the toxic ones, are rejected.
-KEEP, CATCH = 0.99, 0.8
+#: Shares of held-out rows by which the threshold is set, see threshold_of(): of good rows to keep, of either bad kind to
+#: reject, and of good rows to keep at least where both can't be had.
+KEEP, CATCH, LEAST_KEPT = 0.99, 0.8, 0.96
 #: Features of the text view (two to this power) and of the metadata view.
 TEXT_BITS, META_BITS = 18, 12
 #: Labels of rows: of good quality and not toxic, of low quality and not toxic, toxic.
@@ -325,11 +325,17 @@ def _pass(rows: DataFrame, judges: list[Judge], at: list[tuple[np.ndarray, float
 
 
 def threshold_of(p: np.ndarray, label: np.ndarray) -> float:
-    """The threshold by scores of labelled rows: see KEEP and CATCH."""
-    t = min(0.5, float(np.quantile(p[label == GOOD], 1 - KEEP)))
-    for kind in (label != GOOD, label == TOXIC):
+    """The threshold by scores of labelled rows: 0.5, or less if that keeps less than KEEP of the good ones.
+
+    Each kind of the others, low-quality and toxic, raises it until CATCH of them are rejected; above 0.5 only as far as
+    LEAST_KEPT of the good rows are kept. With few labels, fewer than CATCH of a kind may be rejected then.
+    """
+    good = p[label == GOOD]
+    t = min(0.5, float(np.quantile(good, 1 - KEEP)))
+    most = max(0.5, float(np.quantile(good, 1 - LEAST_KEPT, method="lower")))
+    for kind in (label == LOW, label == TOXIC):
         if kind.any():
-            t = max(t, min(0.5, float(np.nextafter(np.quantile(p[kind], CATCH, method="higher"), 1))))
+            t = max(t, min(most, float(np.nextafter(np.quantile(p[kind], CATCH, method="higher"), 1))))
     return t
 
 
