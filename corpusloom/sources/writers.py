@@ -66,6 +66,17 @@ def write_config(spark: SparkSession, config: dict, folder: str) -> str:
     return f"{folder}/config.yaml"
 
 
-def write_one_file(spark: SparkSession, paths: list[str], path: str) -> None:
-    """The rows of many Parquet files in a folder with one part file; the only task streams them."""
-    spark.read.parquet(*paths).coalesce(1).write.mode("overwrite").parquet(path)
+#: Bytes of a merged file, as its parts have them.
+MERGED_BYTES = 1 << 30
+
+
+def write_one_file(spark: SparkSession, paths: list[str], path: str, target: int = MERGED_BYTES) -> None:
+    """The rows of many Parquet files in a folder with as few part files as target allows: one for a small source.
+
+    Files are only put together, not shuffled; each task streams about target bytes of them.
+    """
+    conf, size = spark._jsc.hadoopConfiguration(), 0
+    for x in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(x)
+        size += p.getFileSystem(conf).getContentSummary(p).getLength()
+    spark.read.parquet(*paths).coalesce(max(1, -(-size // target))).write.mode("overwrite").parquet(path)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import batching
-from corpusloom.sources import read_packed, read_split, replace_splits, write_packed, write_splits
+from corpusloom.sources import read_packed, read_split, replace_splits, write_one_file, write_packed, write_splits
 from corpusloom.storage import bucketed
 
 
@@ -90,3 +90,16 @@ def test_blocks_come_in_order_from_their_folders(spark, tmp_path):
     files = spark.read.parquet(f"{path}/part=3").select("seq").collect()
     assert [r.seq for r in files] == list(range(30, 40))
     assert read_packed(spark, path, 0, 0, rows=10).count() == 0
+
+
+def test_many_files_become_few(spark, tmp_path):
+    paths = []
+    for i in range(6):
+        spark.range(i * 100, i * 100 + 100).write.parquet(f"{tmp_path}/in/{i}")
+        paths.append(f"{tmp_path}/in/{i}")
+    write_one_file(spark, paths, f"{tmp_path}/one")
+    assert len(list((tmp_path / "one").glob("part-*"))) == 1
+    size = sum(f.stat().st_size for f in (tmp_path / "in").rglob("*.parquet"))
+    write_one_file(spark, paths, f"{tmp_path}/three", target=size // 2)
+    assert 2 <= len(list((tmp_path / "three").glob("part-*"))) <= 3
+    assert spark.read.parquet(f"{tmp_path}/three").count() == spark.read.parquet(f"{tmp_path}/one").count() == 600
