@@ -26,7 +26,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import numpy as np
@@ -50,6 +51,9 @@ LEVELS = 4
 BROADCAST_BYTES = 32 << 20
 #: Cells of one dynamic programme's table; longer lists of unlike children are halved first, at the best place.
 CELLS = 40_000
+#: Pairs of children of one label from which their weights are found together; cells of such a table of weights at most (beyond
+#: it, pairs are weighed one by one), and numbers that one step of it handles.
+TOGETHER, TABLE, STEP = 2_000, 64 << 20, 2 << 20
 
 # Element names of HTML by their parts in parsing.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -290,6 +294,12 @@ def _weight(a: Node, b: Node, memo: dict) -> int:
         else:
             i, j = _ends(c.children, d.children)
             x, y = ({e.shape: e for e in z.children[i : len(z.children) - j]} for z in (c, d))
+            if (w := _together([*x.values()], [*y.values()])) is not None:
+                first, second = ({shape: k for k, shape in enumerate(z)} for z in (x, y))
+                rows, cols = (np.array([at[e.shape] for e in z.children[i : len(z.children) - j]]) for z, at in ((c, first), (d, second)))
+                ends = c.children[:i] + c.children[len(c.children) - j :]
+                memo[key] = 1 + sum(e.size for e in ends) + int(_last_row(w, rows, cols)[-1])
+                continue
             lacking = [(e, f) for e in x.values() for f in y.values() if e.label == f.label and (e.shape, f.shape) not in memo]
             if lacking:
                 todo += lacking
@@ -298,10 +308,85 @@ def _weight(a: Node, b: Node, memo: dict) -> int:
     return memo[a.shape, b.shape]
 
 
+def _paired(x: Iterable[Node], y: Iterable[Node]) -> int:
+    """How many pairs of x and y have one label."""
+    a, b = (Counter(n.label for n in z) for z in (x, y))
+    return sum(k * b[label] for label, k in a.items())
+
+
+def _padded(nodes: list[Node], at: dict[int, int]) -> np.ndarray:
+    """The places of each node's children in at, filled up with a place of no child."""
+    out = np.full((len(nodes), max(len(n.children) for n in nodes)), len(at), np.int64)
+    for row, n in zip(out, nodes, strict=True):
+        row[: len(n.children)] = [at[c.shape] for c in n.children]
+    return out
+
+
+def _classes(nodes: list[Node]) -> dict[str, dict[int, list[int]]]:
+    """Places of nodes by label, then by how many children they have, to a power of two."""
+    out: dict[str, dict[int, list[int]]] = {}
+    for i, n in enumerate(nodes):
+        out.setdefault(n.label, {}).setdefault(len(n.children).bit_length(), []).append(i)
+    return out
+
+
+def _table(x: list[Node], y: list[Node], kids: tuple[dict[int, int], dict[int, int]], below: np.ndarray | None) -> np.ndarray:
+    """Weights of all pairs of x and y: the matching of their children, for many pairs in each step."""
+    out = np.zeros((len(x), len(y)), np.int32)
+    left, right = _classes(x), _classes(y)
+    for label in left.keys() & right.keys():
+        for m, rows in left[label].items():
+            for n, cols in right[label].items():
+                if not m or not n or below is None:
+                    out[np.ix_(rows, cols)] = 1
+                    continue
+                a, b = _padded([x[i] for i in rows], kids[0]), _padded([y[i] for i in cols], kids[1])
+                many = max(1, STEP // b.size)
+                for first in range(0, len(rows), many):
+                    some = a[first : first + many]
+                    best = np.zeros((len(some), len(cols), b.shape[1] + 1), np.int32)
+                    for child in some.T:
+                        better = np.maximum(best[:, :, 1:], best[:, :, :-1] + below[child][:, b])
+                        np.maximum.accumulate(better, axis=2, out=best[:, :, 1:])
+                    out[np.ix_(rows[first : first + many], cols)] = 1 + best[:, :, -1]
+    return out
+
+
+def _together(x: list[Node], y: list[Node]) -> np.ndarray | None:
+    """Weights of all pairs of unlike shapes x and y, from the lowest level of their trees up.
+
+    None if they are few, or a level is too large: pairs are then weighed one by one.
+    """
+    if _paired(x, y) <= TOGETHER:
+        return None
+    levels = [(x, y)]
+    while all(levels[-1]):
+        if len(levels[-1][0]) * len(levels[-1][1]) > TABLE:
+            return None
+        a, b = ([*{c.shape: c for n in side for c in n.children}.values()] for side in levels[-1])
+        levels.append((a, b))
+    below = None
+    for (a, b), kids in zip(reversed(levels[:-1]), reversed(levels[1:]), strict=True):
+        places = tuple({n.shape: i for i, n in enumerate(side)} for side in kids)
+        if below is not None:
+            below = np.pad(below, ((0, 1), (0, 1)))  # no child weighs nothing
+        below = _table(a, b, places, below)
+    return below
+
+
 def _weights(x: list[Node], y: list[Node], memo: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights by shape of x and of y, and the shapes' numbers in both lists."""
     first, second = ({n.shape: n for n in z} for z in (x, y))
-    w = np.array([[_weight(c, d, memo) if c.label == d.label else 0 for d in second.values()] for c in first.values()], np.int64)
+    a, b = [*first.values()], [*second.values()]
+    w = _together(a, b)
+    if w is None:
+        w = np.zeros((len(a), len(b)), np.int32)
+        of: dict[str, list[int]] = {}
+        for j, d in enumerate(b):
+            of.setdefault(d.label, []).append(j)
+        for i, c in enumerate(a):
+            for j in of.get(c.label, ()):
+                w[i, j] = _weight(c, b[j], memo)
     places = [{shape: k for k, shape in enumerate(z)} for z in (first, second)]
     return w, np.array([places[0][c.shape] for c in x]), np.array([places[1][d.shape] for d in y])
 
@@ -348,6 +433,8 @@ def _pairs(a: Node, b: Node, memo: dict) -> list[tuple[Node, Node, int]]:
     i, j = _ends(x, y)
     out = [(c, d, c.size) for c, d in [*zip(x[:i], y[:i], strict=True), *zip(x[len(x) - j :], y[len(y) - j :], strict=True)]]
     x, y = x[i : len(x) - j], y[i : len(y) - j]
+    both = {c.label for c in x} & {d.label for d in y}  # children of other labels match nothing
+    x, y = [c for c in x if c.label in both], [d for d in y if d.label in both]
     if x and y:
         w, first, second = _weights(x, y, memo)
         out += [(x[p], y[q], int(w[first[p], second[q]])) for p, q in _middle(w, first, second)]
