@@ -93,13 +93,13 @@ def checkpoint_history(df: DataFrame, k: int, run: str | None = None, steps: int
     """df's saves (step, val_loss, path, forced) with admitted, removed and kept, after each of them in order of step.
 
     forced: a periodic save, which is never refused. removed: the path that goes as the list grows over k, possibly the new one;
-    null where none goes. kept: the paths that are there afterwards, best first. run tells runs apart; without it all rows are
-    one run. Steps are not negative and not repeated within a run; a save without a step or loss raises. k of 0 or less keeps nothing:
+    null where none goes. kept: the paths that are there afterwards, best first. run tells runs apart, null is one too; without it all rows
+    are one run. Steps are not negative and not repeated within a run; a save without a step or loss raises. k of 0 or less keeps nothing:
     validations are refused, periodic saves go at once.
     """
     k = max(k, 0)
     there = lambda c: F.coalesce(F.col(c), F.raise_error(F.lit(f"a save without {c}")))
-    name = F.lit(0) if run is None else F.col(run)
+    name = F.struct((F.lit(0) if run is None else F.col(run)).alias("name"))  # rows without a run are one: a struct is never null
     saves = df.select(name.alias("run"), there("step").cast("long").alias("step"), F.col("path"), there("val_loss").cast("double").alias("val_loss"), "forced")
     negative = F.raise_error(F.lit("a negative step")).cast("long")
     saves = saves.withColumn("bucket", F.when(F.col("step") < 0, negative).otherwise(F.floor(F.col("step") / steps)))
@@ -121,4 +121,4 @@ def checkpoint_history(df: DataFrame, k: int, run: str | None = None, steps: int
 
     told = buckets.select("run", F.explode(F.aggregate("saves", first, step)["out"]).alias("x")).select("run", "x.*")
     told = told.withColumn("kept", F.reverse(F.col("kept.path")))
-    return told.drop("run") if run is None else told.withColumnRenamed("run", run)
+    return told.select(*([] if run is None else [F.col("run.name").alias(run)]), *told.columns[1:])

@@ -172,8 +172,11 @@ def checkpoint_admission(df: DataFrame, k: int, order: str = "step", run: str |
         return df.withColumn("admitted", F.lit(False))
     keys = [run, order] if run else [order]
     saves = df.select(*keys, "val_loss").withColumnRenamed(order, "step").withColumns({"path": F.lit(""), "forced": F.lit(False)})
-    told = checkpoint_history(saves, k, run).withColumnRenamed("step", order).select(*keys, "admitted")
-    return df.join(told, keys)
+    told = checkpoint_history(saves, k, run).withColumnRenamed("step", order)
+    other = free_names(df, *[f"_key{i}" for i in range(len(keys))])
+    told = told.select(*[F.col(k).alias(x) for k, x in zip(keys, other, strict=True)], "admitted")
+    same = reduce(Column.__and__, [df[k].eqNullSafe(told[x]) for k, x in zip(keys, other, strict=True)])
+    return df.join(told, same).drop(*other)
 
 
 def checkpoint_prunes(df: DataFrame, k: int, run: str = "run") -> DataFrame:

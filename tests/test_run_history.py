@@ -60,6 +60,15 @@ def test_history_is_one_state(spark):
             history.checkpoint_history(spark.createDataFrame([bad], SAVES), 2).collect()
 
 
+def test_rows_without_a_run_are_one(spark):
+    saves = [(None, 1, 1.0, "a", True), (None, 2, 2.0, "b", True), (7, 1, 3.0, "c", True)]
+    df = spark.createDataFrame(saves, SAVES)
+    assert {(r.run, r.step): r.removed for r in history.checkpoint_history(df, 1, "run").collect()} == {(None, 1): None, (None, 2): "b", (7, 1): None}
+    got = runlog.checkpoint_admission(df.drop("forced"), 1, run="run")
+    assert {(r.run, r.step): r.admitted for r in got.collect()} == {(None, 1): True, (None, 2): False, (7, 1): True}
+    assert runlog.checkpoint_prunes(df, 1).collect()[0].removed == "b"
+
+
 def test_no_python_and_no_window_over_a_run(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(50)], "step long, val_loss double")
     plan = runlog.checkpoint_schedule(df, 10, 4)._jdf.queryExecution().optimizedPlan().toString()
