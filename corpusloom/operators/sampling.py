@@ -20,26 +20,34 @@ def shuffle_key(seed: int, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def _cuts(keys: DataFrame, limits: dict[str, int]) -> dict[str, tuple[bytes, object, int, int]]:
-    """For each group, the n-th smallest (shuffle, key): (shuffle, key, rows that are equal to it, how many of them belong to the n).
+def _cut_rows(keys: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """(group, shuffle, key, equal, taken): for each group, the n-th smallest (shuffle, key); see _cuts().
 
-    keys has group, shuffle, key; limits has n of 1 and more for each group. Raises if a group has fewer rows than n. The
-    first digits of the shuffle key deal a group's rows to buckets, which are counted; only the bucket that holds the n-th row
-    is ranked. Rows are dealt once, by these narrow columns; the driver gets a row per group.
+    The first digits of the shuffle key deal a group's rows to buckets, in which they are ranked; the buckets' last ranks tell
+    which one holds the n-th row. Rows are read and dealt once, by these narrow columns.
     """
-    dealt = keys.withColumn("bucket", F.substring(F.hex("shuffle"), 1, DIGITS)).repartition("group", "bucket")
-    # counted by the columns that ranking needs too, so that both read the same exchange
-    counts = dealt.groupBy("group", "bucket").agg(F.count(F.struct("shuffle", "key")).alias("n"))
+    there = F.col("group").isNotNull() & F.col("bucket").isNotNull() & F.col("key").isNotNull()
+    dealt = keys.withColumn("bucket", F.substring(F.hex("shuffle"), 1, DIGITS)).where(there).repartition("group", "bucket")
+    inside = Window.partitionBy("group", "bucket")
+    ranked = dealt.withColumn("rank", F.row_number().over(inside.orderBy("shuffle", "key")))
+    counts = ranked.groupBy("group", "bucket").agg(F.max("rank").alias("n"))  # of ranks, so that both sides read one exchange
     before = Window.partitionBy("group").orderBy("bucket")  # BUCKETS rows a group
     limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("group")].cast("long").alias("limit")
     sized = counts.select("*", limit).withColumn("upto", F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, 0)))
     cut = sized.where("upto >= limit AND upto - n < limit").select("group", "bucket", (F.col("limit") - F.col("upto") + F.col("n")).alias("nth"))
-    rank = F.row_number().over(Window.partitionBy("group", "bucket").orderBy("shuffle", "key"))
     same = Window.partitionBy("group", "bucket", "shuffle", "key")
-    ranked = dealt.join(F.broadcast(cut), ["group", "bucket"]).withColumn("rank", rank)  # a row per group
-    told = ranked.withColumns({"first": F.min("rank").over(same), "equal": F.count(F.lit(1)).over(same)}).where("rank = nth")
-    rows = told.select("group", "shuffle", "key", "equal", (F.col("nth") - F.col("first") + 1).alias("taken")).collect()
-    found = {r["group"]: (bytes(r["shuffle"]), r["key"], r["equal"], r["taken"]) for r in rows}
+    last = ranked.join(F.broadcast(cut), ["group", "bucket"])  # a row per group
+    told = last.withColumns({"first": F.min("rank").over(same), "equal": F.count(F.lit(1)).over(same)}).where("rank = nth")
+    return told.select("group", "shuffle", "key", "equal", (F.col("nth") - F.col("first") + 1).alias("taken"))
+
+
+def _cuts(keys: DataFrame, limits: dict[str, int]) -> dict[str, tuple[bytes, object, int, int]]:
+    """For each group, the n-th smallest (shuffle, key): (shuffle, key, rows that are equal to it, how many of them belong to the n).
+
+    keys has group, shuffle, key; limits has n of 1 and more for each group. Rows without a key don't count. Raises if a group
+    has fewer rows than n. The driver gets a row per group.
+    """
+    found = {r["group"]: (bytes(r["shuffle"]), r["key"], r["equal"], r["taken"]) for r in _cut_rows(keys, limits).collect()}
     if short := [g for g in limits if g not in found]:
         raise ValueError(f"sample larger than source {', '.join(sorted(short))}")
     return found
@@ -74,7 +82,7 @@ def _told_apart(equal: DataFrame, taken: int, name: str) -> DataFrame:
 def exact_sample(df: DataFrame, weights: dict[str, int | None], key: str, seed: int = 0, source: str = "dataset") -> DataFrame:
     """For each source in weights, exactly n rows without replacement; all rows where n is None; other sources go.
 
-    The n rows with the smallest shuffle keys are taken. One pass over keys and sources finds each source's n-th key; it runs
+    The n rows with the smallest shuffle keys are taken; rows without a key never are. One pass over keys and sources finds each source's n-th key; it runs
     at once and raises if a source has fewer than n rows. The rows are then taken where they lie, by comparing keys: nothing
     but keys is shuffled. Where the n-th key is one of several equal ones, as many of them as n needs are taken, in a pass of
     their own over them.

@@ -161,12 +161,25 @@ def test_equal_rows_are_split_to_size(spark, monkeypatch):
     assert sampling.exact_sample(df, {"s0": 0}, "text").count() == 0
 
 
+def test_rows_without_a_key_are_not_drawn(spark):
+    df = spark.createDataFrame([(None, "s0"), (None, "s0"), ("a", "s0")], "text string, dataset string")
+    assert [r.text for r in sampling.exact_sample(df, {"s0": 1}, "text").collect()] == ["a"]
+    with pytest.raises(ValueError, match="sample larger"):
+        sampling.exact_sample(df, {"s0": 2}, "text")
+    assert {r.split for r in sampling.threshold_split(df, 0.3, "text").where("text IS NULL").collect()} == {"train"}
+
+
 def test_sample_reads_twice_and_shuffles_keys_alone(spark, tmp_path):
     table(spark, 500).withColumn("text", F.lit("a long text")).write.parquet(f"{tmp_path}/t")
     df = spark.read.parquet(f"{tmp_path}/t")
     got = sampling.exact_sample(df, {"s0": 20, "s1": 30}, "k")
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "Exchange" not in plan and got.count() == 50
+    keys = df.select(F.col("dataset").alias("group"), F.unhex(sampling.shuffle_key(0, "k")).alias("shuffle"), F.col("k").alias("key"))
+    cuts = sampling._cut_rows(keys, {"s0": 20, "s1": 30})
+    assert len(cuts.collect()) == 2
+    final = cuts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
     split = sampling.threshold_split(df, 0.1, "k")
     assert split.select("text", "split")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
     by_rank = {r.k for r in sampling.exact_split(df, 0.1, "k").where("split = 'test'").collect()}
