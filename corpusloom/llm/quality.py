@@ -340,14 +340,20 @@ def threshold_of(p: np.ndarray, label: np.ndarray) -> float:
 
 
 def co_train(labelled: list, sums: Callable[[list[Judge], list | None], list[Sums]] | None, rounds: int = ROUNDS) -> Model:
-    """The model of rows (text features, metadata features, label), and of unlabelled ones by a pass over all of them."""
+    """The model of rows (text features, metadata features, label), and of unlabelled ones by a pass over all of them.
+
+    labelled is emptied as soon as its rows are held in another form: the driver has them once.
+    """
     label = np.array([r[2] for r in labelled])
     y = (label == GOOD).astype(float)
     held = np.arange(len(y)) % round(1 / HELD_OUT) == 0  # rows come in the order of hashes
     if len(y) < 10 or min(y[held].sum(), (1 - y[held]).sum(), y[~held].sum(), (1 - y[~held]).sum()) < 1:
         return UNKNOWN
     train, test = ([Rows.of([np.asarray(r[v]) for r, h in zip(labelled, held, strict=True) if h == which]) for v in (0, 1)] for which in (False, True))
-    models = [fit_logistic(train[v], y[~held], SIZES[v]) for v in (0, 1)]
+    label_held = label[held]
+    labelled.clear()
+    trim()
+    models: list[Logistic | None] = [fit_logistic(train[v], y[~held], SIZES[v]) for v in (0, 1)]
     judges: list[Judge] = []
     before = 0
     for _ in range(rounds if sums else 0):
@@ -358,7 +364,10 @@ def co_train(labelled: list, sums: Callable[[list[Judge], list | None], list[Sum
         if now == before:
             break
         before = now
-        models = [fit_logistic(train[v], y[~held], SIZES[v], others=counts[v]) if counts[v].a[-1] else models[v] for v in (0, 1)]
+        for v in (0, 1):
+            if counts[v].a[-1]:
+                models[v] = None  # its rows go before the next one's are made
+                models[v] = fit_logistic(train[v], y[~held], SIZES[v], others=counts[v])
         for _ in range(PASSES):
             others = sums(judges, [m.fitted() for m in models])
             for v in (0, 1):
@@ -375,7 +384,7 @@ def co_train(labelled: list, sums: Callable[[list[Judge], list | None], list[Sum
     combined = _calibrate(z[half], known[half])
     rest = ~half if half.sum() < len(half) else half
     p = _sigmoid(np.column_stack([z, np.ones(len(z))]) @ combined)[rest]
-    return Model(fitted[0], fitted[1], calibrated, combined, True, threshold_of(p, label[held][rest]))
+    return Model(fitted[0], fitted[1], calibrated, combined, True, threshold_of(p, label_held[rest]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> Model:
@@ -395,7 +404,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ro
     rows = materialize(_featured(without_ids(base, ids).withColumn("_good", F.lit(0))).select("t", "m"), "unlabelled")
     model = co_train(labelled, lambda judges, at: _pass(rows, judges, at), rounds)
     drop_tables(rows, ids)
-    del labelled
     trim()
     return model
 
