@@ -66,8 +66,8 @@ def write_config(spark: SparkSession, config: dict, folder: str) -> str:
     return f"{folder}/config.yaml"
 
 
-#: Bytes of a merged file, as its parts have them.
-MERGED_BYTES = 1 << 30
+#: Bytes of a merged file, as its parts have them: one scan task's, so that a task's share doesn't follow the source's size.
+MERGED_BYTES = 128 << 20
 
 
 def write_one_file(spark: SparkSession, paths: list[str], path: str, target: int = MERGED_BYTES) -> None:

@@ -103,3 +103,13 @@ def test_many_files_become_few(spark, tmp_path):
     write_one_file(spark, paths, f"{tmp_path}/three", target=size // 2)
     assert 2 <= len(list((tmp_path / "three").glob("part-*"))) <= 3
     assert spark.read.parquet(f"{tmp_path}/three").count() == spark.read.parquet(f"{tmp_path}/one").count() == 600
+
+
+def test_a_merged_file_is_one_scan_task_s(spark, tmp_path):
+    """A large source's files hold some 128 MB each, by default too: no task reads most of it."""
+    path = str(tmp_path / "in")
+    spark.range(0, 45_000_000, 1, 8).select(F.rand(1).alias("x")).write.parquet(path)
+    write_one_file(spark, [path], f"{tmp_path}/merged")
+    sizes = [f.stat().st_size for f in (tmp_path / "merged").glob("part-*")]
+    assert sum(sizes) > 300_000_000 and 3 <= len(sizes) <= 4 and max(sizes) < 200_000_000
+    assert spark.read.parquet(f"{tmp_path}/merged").count() == 45_000_000
